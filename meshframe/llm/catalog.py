@@ -6,8 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.functions.presence import STAND_INS
-from meshframe.llm import groups, survive
-from meshframe.runtime import read
+from meshframe.llm import groups, setjoin, survive
+from meshframe.runtime import cut, read
+
+
+#: Similarity of p1: 7 / 10, and the least number of ids in a set.
+P1 = (7, 10)
+P1_LEAST = 4
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    member, found = setjoin.classes(setjoin.sides(read(spark, d, "inode")), P1_LEAST)
+    found = cut(found)
+    return setjoin.expand(member, found, cut(setjoin.class_pairs(found, *P1)))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each node's class of equal sets per side, and the number of other classes that overlap with it."""
+    member, found = setjoin.classes(setjoin.sides(read(spark, d, "inode")), P1_LEAST)
+    found = cut(found)
+    return setjoin.links(member, found, cut(setjoin.class_pairs(found, *P1)))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +53,7 @@ def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d).select("uid", "n_rows", F.when(F.col("node_value").isNotNull(), value).alias("node_value"), F.col("name")["value"].alias("name"), F.col("str_metric")["value"].alias("str_metric"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p4_found, p4_nodes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_sizes, p4_found, p4_nodes)}
 
 _WORDS = ", ".join("'" + s.replace("'", "''") + "'" for s in STAND_INS)
 
@@ -58,6 +76,15 @@ def _best(has: str, cols: str) -> str:
     return f"select uid, {cols} from r where {has} qualify row_number() over (partition by uid order by trust desc nulls last, d desc nulls last, rec_id) = 1"
 
 
+_SETS = """
+  s as (select side, id, max(list_sort(list_distinct(list_filter(v, lambda x: x is not null)))) as v
+        from (select 'in' as side, id, in_ids as v from inode union all select 'out', id, out_ids from inode)
+        where id is not null and v is not null and len(list_distinct(list_filter(v, lambda x: x is not null))) >= 4 group by 1, 2),
+  e as (select side, id, len(v) as n, unnest(v) as x from s),
+  p as (select a.side, a.id as node_lo, b.id as node_hi from e a join e b on a.side = b.side and a.x = b.x and a.id < b.id
+        group by a.side, a.id, b.id, a.n, b.n having 10 * count(*) >= 7 * (a.n + b.n - count(*)))
+"""
+
 _LINKED = """
 with recursive e as (select a, b from match_edge where a <> b union select b, a from match_edge where a <> b),
   n as (select a as id from match_edge where a is not null union select b from match_edge where b is not null),
@@ -66,6 +93,13 @@ with recursive e as (select a, b from match_edge where a <> b union select b, a
 """
 
 SQL = {
+    "p1_found": f"with {_SETS} select side, node_lo, node_hi from p",
+    "p1_classes": f"""
+with {_SETS}, c as (select side, id, v, min(id) over (partition by side, v) as class_id from s),
+  l as (select side, k, count(distinct o) as n from (
+      select p.side, a.class_id as k, b.class_id as o from p join c a on a.side = p.side and a.id = node_lo join c b on b.side = p.side and b.id = node_hi
+      union all select p.side, b.class_id, a.class_id from p join c a on a.side = p.side and a.id = node_lo join c b on b.side = p.side and b.id = node_hi) where k <> o group by 1, 2)
+select c.side, c.id as node_id, c.class_id, coalesce(l.n, 0) as n_links from c left join l on l.side = c.side and l.k = c.class_id""",
     "p2_found": f"{_LINKED} select node_id, group_id from best",
     "p2_sizes": f"{_LINKED} select group_size, count(*) as n_groups from (select group_id, count(*) as group_size from best group by 1) group by 1",
     "p4_found": f"""
