@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.functions.presence import STAND_INS
-from meshframe.llm import groups, setjoin, survive
+from meshframe.llm import groups, leak, packing, setjoin, survive
 from meshframe.runtime import cut, read
 
 
@@ -53,7 +53,31 @@ def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d).select("uid", "n_rows", F.when(F.col("node_value").isNotNull(), value).alias("node_value"), F.col("name")["value"].alias("name"), F.col("str_metric")["value"].alias("str_metric"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_sizes, p4_found, p4_nodes)}
+#: Capacity of p6's containers in tokens, and the ranks of the tokenizer that measures texts.
+P6_CAPACITY = 2048
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.measured(read(spark, d, "documents"), TOKENIZER), P6_CAPACITY)
+
+
+def p6_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the least number that the tokens need, and the share of their space that is filled."""
+    x = p6_pack(spark, d).groupBy("container").agg(F.sum("size").alias("size"))
+    x = x.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("size").alias("n_tokens"))
+    return x.select("n_containers", "n_tokens", F.ceil(F.col("n_tokens") / P6_CAPACITY).alias("least_containers"), F.round(F.col("n_tokens") / (F.col("n_containers") * P6_CAPACITY), 5).alias("filled"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaks(read(spark, d, "documents"), read(spark, d, "eval_item"))
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leak.removal_spans(read(spark, d, "documents"), read(spark, d, "eval_item"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_sizes, p4_found, p4_nodes, p6_pack, p6_summary, p7_found, p7_spans)}
 
 _WORDS = ", ".join("'" + s.replace("'", "''") + "'" for s in STAND_INS)
 
