@@ -8,7 +8,7 @@ _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
 _FENCE = re.compile(r"\s*(`{3,}(?=[^`]*$)|~{3,})")
 _OPENS = re.compile(r"\s{0,3}(?:#{1,6}(?=\s|$)|>)|\s*(?:[-*+•‣⁃◦▪●]|\d{1,4}[.)])(?=\s)")
 #: Markers at the start of a block, before its first word.
-_MARKS = re.compile(r"(?:\s|>|#{1,6}(?=\s)|[-*+•‣⁃◦▪●](?=\s)|\d{1,4}[.)](?=\s))*")
+_MARKS = re.compile(r"\s*(?:>\s*)*(?:#{1,6}\s+)?(?:[-*+•‣⁃◦▪●]\s+|\d{1,4}[.)]\s+(?!\d{1,3}\.\s))?")
 _PRE = re.compile(r"<pre\b[^>]*>", re.I)
 _PRE_END = re.compile(r"</pre\s*>", re.I)
 

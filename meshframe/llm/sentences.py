@@ -16,20 +16,21 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from zlib import crc32
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.llm.blocks import blocks
 from meshframe.runtime import cut
 
-#: Entries of the hashed table of counts: the bound of what is collected and sent to tasks.
-TABLE = 1 << 20
+#: The table of counts is a count-min sketch of ROWS x WIDTH entries: the bound of what is collected and sent to tasks.
+ROWS, WIDTH = 3, 1 << 20
+TABLE = ROWS * WIDTH
 ROUNDS = 4
 #: Weights of the back-off distributions.
-K_WORD, K_PAIR, K_EVENT = 2.0, 3.0, 4.0
+K_WORD, K_PAIR, K_EVENT, K_CLASS = 2.0, 3.0, 4.0, 0.05
 RARE = 1e-4
 
 #: Marks that end a sentence wherever they stand, marks that may, and what can close behind a mark.
@@ -46,11 +47,13 @@ _SPACE = re.compile(r"\s*")
 _TOKEN = re.compile(r"\S+")
 _THAI = re.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])")
 _GREEK = re.compile("[Ͱ-ͽͿ-Ͽἀ-῿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _DIGITS = re.compile(r"\d+")
 _FRONT = re.compile("^[\"'“”‘’«»„「」『』(（\\[【《*_~¿¡]+")
 _BACK = re.compile("[\"'“”‘’«»„「」『』)）\\]】》*_~.,;:!?…。，、！？；：]+$")
 _NO_SPACES = re.compile("[⺀-ヿ㐀-䶿一-鿿豈-﫿＀-￯]")
 _WORDLIKE = re.compile(r"[^\W\d_]")
+CASELESS = "\x08"
 CODE, URL = "", ""
 
 
@@ -95,7 +98,7 @@ def _norm(token: str) -> str:
     """A word as the model knows it: digits as one 0, code and addresses as one letter, cut to 24 characters."""
     if token.isalpha() and CODE not in token and URL not in token:
         return token[:24]
-    x = _DIGITS.sub("0", token)
+    x = _DIGITS.sub("0", _INVISIBLE.sub("", token))
     x = re.sub(f"{CODE}+", CODE, x)
     return re.sub(f"{URL}+", URL, x)[:24]
 
@@ -120,19 +123,30 @@ def right_word(s: str, i: int) -> str:
         return mark + raw[:2]
     if _NO_SPACES.match(word) or "฀" <= word[0] < "຀":
         return mark + word[:2]
+    follows = ""
+    if cjk := _NO_SPACES.search(word):
+        word, follows = word[: cjk.start()], word[cjk.start() : cjk.start() + 2]
     word = _norm(_BACK.sub("", word) or word)
     if _vague(word):
-        nxt = _TOKEN.match(s, _SPACE.match(s, m.end()).end())
-        word = (word if len(word) < 9 else "F") + " " + (nxt.group()[:2] if nxt and _NO_SPACES.match(nxt.group()) else _norm(_BACK.sub("", _FRONT.sub("", nxt.group()))) if nxt else "")
+        if not follows and (nxt := _TOKEN.match(s, _SPACE.match(s, m.end()).end())):
+            follows = _FRONT.sub("", nxt.group())
+            follows = follows[:2] if _NO_SPACES.match(follows) else _norm(_BACK.sub("", follows))
+            if cjk := _NO_SPACES.search(follows):
+                follows = follows[: cjk.start() + 1]
+        word = ("F" if "." in word and _WORDLIKE.search(word) and CODE not in word and URL not in word else word) + " " + follows
     return mark + word
 
 
-def shape(word: str) -> str:
+def _opener(word: str) -> tuple[str, str]:
+    """What opens before a right word, and the word alone."""
+    return (word[0], word[1:]) if word[:1] in ('"', "(", "¿") and len(word) > 1 else ("", word)
+
+
+def shape(w: str) -> str:
     """Class of a right word."""
-    front, w = ("", word) if word[:1] not in ('"', "(", "¿") else (word[0], word[1:])
     c = w[:1]
     kind = "A" if len(w) > 1 and w.isupper() and w.isalpha() else "C" if c.isupper() else "l" if c.islower() else "0" if c.isdigit() else "x" if c in (CODE, URL) else "o" if c.isalpha() else "p"
-    return "\x01" + front + kind
+    return "\x01" + kind
 
 
 def left_class(left: str) -> str:
@@ -154,15 +168,16 @@ class Gaps:
     word begins its sentence. end: (first, left) if the block ends with a mark. starts: right words of certain starts.
     """
 
-    __slots__ = ("sure", "runs", "end", "starts")
+    __slots__ = ("sure", "runs", "end", "starts", "caseless")
 
-    def __init__(self, text: str, start: int, end: int, word: int):
+    def __init__(self, text: str, start: int, end: int, word: int, lowered: bool):
         self.sure: list[int] = []
         self.runs: list[tuple[bool, list[tuple[int, str, str]]]] = []
         self.end: tuple[bool, str] | None = None
         s = _mask(text[word:end])
         base = word
-        self.starts = [x] if (x := right_word(s, 0)) else []
+        self.caseless = lowered or s.islower() or s.isupper()
+        self.starts = [x] if (x := self._right(s, 0)) else []
         size = len(s.rstrip())
         inside = _enclosures(s) if _QUOTES.search(s) else []
         marks = list(_MARK.finditer(s))
@@ -214,11 +229,11 @@ class Gaps:
             if mark[-1] in SURE and not closed or ";" in mark or ";" in mark:
                 self.sure.append(base + at)
                 begin = at
-                if x := right_word(s, at):
+                if x := self._right(s, at):
                     self.starts.append(x)
                 continue
             left_at = self._left_at(s, i)
-            gap = (base + at, self._left(s, i, j, m, closed, inside), right_word(s, at))
+            gap = (base + at, self._left(s, i, j, m, closed, inside), self._right(s, at))
             if previous >= 0 and left_at <= previous < i:
                 self.runs[-1][1].append(gap)
             else:
@@ -226,6 +241,11 @@ class Gaps:
             previous = at
         self.sure.sort()
 
+    def _right(self, s: str, i: int) -> str:
+        """In a block that is all in one case, case says nothing about the word."""
+        word = right_word(s, i)
+        return CASELESS + word.casefold() if self.caseless and word else word
+
     @staticmethod
     def _left_at(s: str, i: int) -> int:
         k = i
@@ -248,45 +268,88 @@ class Gaps:
         return _norm(_FRONT.sub("", s[k : m.end()]) or s[k : m.end()])
 
 
-def _at(key: str) -> int:
-    return crc32(key.encode("utf-8", "replace")) & (TABLE - 1)
+def gaps(text: str) -> list[tuple[int, int, Gaps]]:
+    """(start, end, gaps) of each block. Where nearly all blocks begin in lower case, case says nothing about words."""
+    found, lower, upper = blocks(text), 0, 0
+    for _, end, word in found:
+        m = _TOKEN.match(text, word, end)
+        first = _FRONT.sub("", m.group()) if m else ""
+        if first and first[0].isalpha() and not _vague(first):
+            lower += first[0].islower()
+            upper += first[0].isupper()
+    lowered = lower > 4 * upper
+    return [(start, end, Gaps(text, start, end, word, lowered)) for start, end, word in found]
+
+
+def _at(key: str) -> list[int]:
+    """The key's entries, one in each row of the sketch."""
+    h = xxhash.xxh3_64_intdigest(key.encode("utf-8", "replace"))
+    return [h & (WIDTH - 1), WIDTH + (h >> 20 & (WIDTH - 1)), 2 * WIDTH + (h >> 40 & (WIDTH - 1))]
+
+
+def _add(table: np.ndarray, key: str, n: float) -> None:
+    for i in _at(key):
+        table[i] += n
 
 
 def _event_keys(first: bool, left: str) -> tuple[str, str, str]:
-    return f"\x04{int(first)}{left}", f"\x05{left}", f"\x06{left_class(left)}"
+    return f"\x04{int(first)}{left}", f"\x05{left.casefold()}", f"\x06{left_class(left)}"
+
+
+def _likely(share: float) -> float:
+    """Words end sentences or they don't: shares well above none count as ends."""
+    return share * share / (share * share + 0.0144)
 
 
 class Model:
-    """Probabilities from the hashed table. Keys: S start, W inside, P pair, L left word of pairs, E block end, O open gap."""
+    """Probabilities from the hashed table.
+
+    Keys: S start, Z start of a block, W inside, R right of an open gap, P pair, L left word of pairs, E block end, O open gap.
+    """
 
     def __init__(self, table: np.ndarray):
-        self.t = table
-        self.starts, self.inside = max(table[_at("S")], 1.0), max(table[_at("W")], 1.0)
-        ends, opens = table[_at("E\x06\x03.l")], table[_at("O\x06\x03.l")]
+        self.table = table
+        self.starts, self.inside = max(self.n("S"), 1.0), max(self.n("W"), 1.0)
+        self.rights = max(self.n("R"), 1.0)
+        ends, opens = self.n("E\x06\x03.l"), self.n("O\x06\x03.l")
         self.odds = (opens + 1) / (ends + 1)  # open gaps a block end, after ordinary words
         self.known: dict[tuple, float] = {}
 
+    def n(self, key: str) -> float:
+        return float(min(self.table[i] for i in _at(key)))
+
     def _word(self, kind: str, total: float, word: str) -> float:
-        t = self.t
-        p = (t[_at(kind + shape(word))] + 0.1) / (total + 1) * RARE
-        p = (t[_at(kind + "\x07" + word.casefold())] + K_WORD * p) / (total + K_WORD)
-        return (t[_at(kind + word)] + K_WORD * p) / (total + K_WORD)
+        caseless, (front, word) = word[:1] == CASELESS, _opener(word.lstrip(CASELESS))
+        opened = (self.n(kind + "\x0f" + front) + 0.1) / (total + 1)
+        p = (self.n(kind + shape(word)) + 0.1) / (total + 1) * RARE
+        p = (self.n(kind + "\x07" + word.casefold()) + K_WORD * p) / (total + K_WORD)
+        return opened * (p if caseless else (self.n(kind + word) + K_WORD * p) / (total + K_WORD))
+
+    def _inside(self, word: str) -> float:
+        """Probability of a right word without a boundary: as inside of sentences, or as in open gaps that block starts don't explain."""
+        plain = self._word("W", self.inside, word)
+        front, w = _opener(word.lstrip(CASELESS))
+        key = "\x07" + w if word[:1] == CASELESS else w
+        rest = max(0.0, self.n("R" + key) - 2 * self.odds * self.n("Z" + key))
+        opened = (self.n("R\x0f" + front) + 0.1) / (self.rights + 1)
+        return 0.5 * plain + 0.5 * opened * (rest + K_WORD * plain) / (self.rights + K_WORD)
 
     def ends(self, first: bool, left: str) -> float:
         """Probability that the left word ends a sentence: its block ends tell how many of its open gaps should be ends."""
-        p = 0.5
+        p, of_class = 0.5, 0.5
         for key, k in zip(reversed(_event_keys(first, left)), (1.0, K_EVENT, K_EVENT), strict=True):
-            n = self.t[_at("O" + key)]
-            p = min(1.0, (min(self.t[_at("E" + key)] * self.odds, n) + k * p) / (n + k))
-        return min(max(p, 1e-4), 1 - 1e-4)
+            n = self.n("O" + key)
+            p = min(1.0, (min(self.n("E" + key) * self.odds, n) + k * p) / (n + k))
+            of_class = p if k == 1.0 else of_class
+        return min(max((1 - K_CLASS) * _likely(p) + K_CLASS * _likely(of_class), 1e-4), 1 - 1e-4)
 
     def weights(self, first: bool, left: str, right: str) -> tuple[float, float]:
         """Joint probabilities of the right word with no boundary and with one."""
         key = (first, left, right)
         if (w := self.known.get(key)) is None:
             b = self.ends(first, left)
-            inside = (self.t[_at(f"P{left}\t{right}")] + K_PAIR * self._word("W", self.inside, right)) / (self.t[_at("L" + left)] + K_PAIR)
-            w = self.known[key] = ((1 - b) * float(inside), b * float(self._word("S", self.starts, right)))
+            inside = (self.n(f"P{left}\t{right}") + K_PAIR * self._inside(right)) / (self.n("L" + left) + K_PAIR)
+            w = self.known[key] = ((1 - b) * inside, b * self._word("S", self.starts, right))
             if len(self.known) > 200_000:
                 self.known.clear()
         return w
@@ -317,8 +380,12 @@ class Model:
         return out
 
 
-def _word_keys(kind: str, word: str) -> tuple[str, str, str, str]:
-    return kind, kind + word, kind + "\x07" + word.casefold(), kind + shape(word)
+def _word_keys(kind: str, word: str) -> tuple[str, ...]:
+    if word[:1] == CASELESS:
+        front, word = _opener(word[1:])
+        return kind, kind + "\x0f" + front, kind + "\x07" + word
+    front, word = _opener(word)
+    return kind, kind + "\x0f" + front, kind + word, kind + "\x07" + word.casefold(), kind + shape(word)
 
 
 def _observe(batches):
@@ -326,13 +393,15 @@ def _observe(batches):
     import pyarrow as pa
 
     table, runs = np.zeros(TABLE, np.float64), Counter()
-    inside, seen, kinds = Counter(), Counter(), Counter()
+    inside, seen, rights, kinds = Counter(), Counter(), Counter(), Counter()
 
     def flush_words():
         for word, n in inside.items():
-            w = _norm(_BACK.sub("", _FRONT.sub("", word)) or word)
-            for key in _word_keys("W", w):
-                table[_at(key)] += n
+            if not word:
+                continue
+            front = '"' if word[0] in "\"'“„«" else "(" if word[0] in "([" else ""
+            for key in _word_keys("W", front + _norm(_BACK.sub("", _FRONT.sub("", word)) or word)):
+                _add(table, key, n)
         inside.clear()
 
     def out(buckets, values, names):
@@ -343,9 +412,8 @@ def _observe(batches):
 
     for b in batches:
         for text in b.column("text").to_pylist():
-            for start, end, word in blocks(text):
-                g = Gaps(text, start, end, word)
-                inside.update(text[word:end].split())
+            for start, end, g in gaps(text):
+                inside.update(text[start:end].split())
                 for x in g.starts:
                     seen[x] += 1
                 if g.end:
@@ -353,7 +421,8 @@ def _observe(batches):
                 for first, run in g.runs:
                     for k, (_, left, right) in enumerate(run):
                         kinds[("O", first and k == 0, left)] += 1
-                        inside[right.split(" ")[0]] -= 1
+                        inside[_opener(right.lstrip(CASELESS))[1].split(" ")[0]] -= 1
+                        rights[right] += 1
                     runs["\x1f".join([str(int(first)), *(x for gap in run for x in gap[1:])])] += 1
             if len(inside) > 200_000:
                 flush_words()
@@ -361,14 +430,15 @@ def _observe(batches):
                 yield flush_runs()
                 runs.clear()
     for x in seen:
-        inside[x.split(" ")[0]] -= seen[x]
+        inside[_opener(x.lstrip(CASELESS))[1].split(" ")[0]] -= seen[x]
     flush_words()
-    for x, n in seen.items():
-        for key in _word_keys("S", x):
-            table[_at(key)] += n
+    for kind, words in (("S", seen), ("Z", seen), ("R", rights)):
+        for x, n in words.items():
+            for key in _word_keys(kind, x):
+                _add(table, key, n)
     for (kind, first, left), n in kinds.items():
         for key in _event_keys(first, left):
-            table[_at(kind + key)] += n
+            _add(table, kind + key, n)
     yield flush_runs()
     at = np.flatnonzero(table)
     yield out(at.astype(np.int32), table[at], [None] * len(at))
@@ -387,9 +457,10 @@ def _expect(shared):
                 gaps = list(zip(words[::2], words[1::2], strict=True))
                 for (left, right), p in zip(gaps, model.posteriors(first == "1", gaps), strict=True):
                     for key in _word_keys("S", right):
-                        table[_at(key)] += n * p
-                    table[_at(f"P{left}\t{right}")] += n * (1 - p)
-                    table[_at("L" + left)] += n * (1 - p)
+                        _add(table, key, n * p)
+                    if p < 0.5:  # a pair is learnt from gaps that are rather none, else it would confirm itself
+                        _add(table, f"P{left}\t{right}", n * (1 - p))
+                        _add(table, "L" + left, n * (1 - p))
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["bucket", "n"])
 
@@ -421,8 +492,7 @@ def train(documents: DataFrame) -> np.ndarray:
 def units(text: str, model: Model) -> list[tuple[int, int]]:
     """(start, end) of the sentence units of text, in code points, without outer blanks."""
     out = []
-    for start, end, word in blocks(text):
-        g = Gaps(text, start, end, word)
+    for start, end, g in gaps(text):
         ends = list(g.sure)
         for first, run in g.runs:
             ends += [gap[0] for gap, p in zip(run, model.posteriors(first, [gap[1:] for gap in run]), strict=True) if p >= 0.5]
