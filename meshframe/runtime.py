@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,26 @@ def checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written to the shared checkpoint folder and read from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: df is written as a table to the shared checkpoint folder and read from there.
+
+    A written table carries no constraints or statistics of the plan that made it, which grow with every round of a loop
+    where checkpoint() hands them on; and it is columnar, compressed and of known size.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by cut() that no later step reads."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
