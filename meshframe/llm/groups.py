@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshframe.runtime import cut, lookup
+from meshframe.runtime import cut, drop, lookup
 
 #: Pointer doublings per written table: each squares the reach, 3 of them follow chains of 8.
 JUMPS = 3
@@ -42,10 +42,10 @@ def _collapse(tree: DataFrame) -> DataFrame:
             out = lookup(out.select("c", F.col("p").alias(f"p{k}")), f"p{k}", out, "c", "p", "p", rows).select("c", f"p{k}", "p")
             moved = F.col(f"p{k}") != F.col("p")
             out = out.select("c", "p", moved.alias("moved")) if k == JUMPS - 1 else out.select("c", "p")
-        tree = cut(out)
+        before, tree = tree, cut(out)
+        drop(before)
         if tree.where("moved").isEmpty():
-            return tree.select("c", "p")
-        tree = tree.select("c", "p")
+            return tree
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -63,7 +63,8 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         maps.append(tree)
         at_u = lookup(edges, "u", tree, "c", "p", "ru", rows)
         both = lookup(at_u, "v", tree, "c", "p", "rv", rows)
-        edges = cut(both.where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        before, edges = edges, cut(both.where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        drop(before)
     if not maps:
         return nodes.select("node_id", F.col("node_id").alias("group_id"))
     final = maps[-1]

@@ -265,7 +265,8 @@ class Gaps:
         if _NO_SPACES.match(s, i - 1):
             return "\x02" + m.group()[-1]
         k = self._left_at(s, i)
-        return _norm(_FRONT.sub("", s[k : m.end()]) or s[k : m.end()])
+        word = _norm(_FRONT.sub("", s[k : m.end()]) or s[k : m.end()])
+        return word.casefold() if self.caseless else word
 
 
 def gaps(text: str) -> list[tuple[int, int, Gaps]]:
