@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.functions.presence import STAND_INS
-from meshframe.llm import groups, leak, packing, setjoin, survive
+from meshframe.llm import groups, leak, packing, sentences, setjoin, survive
 from meshframe.runtime import cut, read
 
 
@@ -77,7 +77,11 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return leak.removal_spans(read(spark, d, "documents"), read(spark, d, "eval_item"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_sizes, p4_found, p4_nodes, p6_pack, p6_summary, p7_found, p7_spans)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(read(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_sizes, p4_found, p4_nodes, p6_pack, p6_summary, p7_found, p7_spans, p8_found)}
 
 _WORDS = ", ".join("'" + s.replace("'", "''") + "'" for s in STAND_INS)
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from meshframe.runtime import cut, drop, lookup
 
-#: Pointer doublings per written table: each squares the reach, 3 of them follow chains of 8.
-JUMPS = 3
+#: Pointer doublings per written table: each squares the reach, 2 of them follow chains of 4.
+JUMPS = 2
 
 
 def _hook(edges: DataFrame) -> DataFrame:
