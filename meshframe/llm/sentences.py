@@ -15,6 +15,7 @@ size, which is summed on the cluster and is all that is sent to the tasks.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -32,6 +33,8 @@ ROUNDS = 4
 #: Weights of the back-off distributions.
 K_WORD, K_PAIR, K_EVENT, K_CLASS = 2.0, 3.0, 4.0, 0.05
 RARE = 1e-4
+#: Depth of quotations and parentheses, beyond which an opening mark encloses nothing.
+DEEPEST = 32
 
 #: Marks that end a sentence wherever they stand, marks that may, and what can close behind a mark.
 SURE = "。！？｡؟።፧।॥۔"
@@ -84,12 +87,12 @@ def _enclosures(s: str) -> list[tuple[int, int]]:
             if closes is not None and not (opening and c == "'" and False) and not (before.isspace() and opening):
                 out.append((stack[closes][0], i))
                 del stack[closes:]
-            elif opening or (closes is None and _NO_SPACES.match(after)):
+            elif (opening or (closes is None and _NO_SPACES.match(after))) and len(stack) < DEEPEST:
                 stack.append((i, c))
         elif closes is not None:
             out.append((stack[closes][0], i))
             del stack[closes:]
-        elif c in PAIRS and c not in "’”" and not (c == "»" and before and not before.isspace()):
+        elif c in PAIRS and len(stack) < DEEPEST and c not in "’”" and not (c == "»" and before and not before.isspace()):
             stack.append((i, PAIRS[c]))
     return out
 
@@ -161,6 +164,28 @@ def left_class(left: str) -> str:
     return "\x03" + mark + kind
 
 
+class Inside:
+    """Enclosures of a block: which marks open or close one, and whether a position lies inside of any."""
+
+    __slots__ = ("opens", "partner", "begins", "ends")
+
+    def __init__(self, found: list[tuple[int, int]]):
+        self.opens = {a for a, _ in found}
+        self.partner = {b: a for a, b in found}
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(found):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.begins.append(a)
+                self.ends.append(b)
+
+    def __contains__(self, i: int) -> bool:
+        k = bisect_left(self.begins, i) - 1
+        return k >= 0 and i <= self.ends[k]
+
+
 class Gaps:
     """Gaps of one block: units' ends that are certain, and runs of open gaps.
 
@@ -179,11 +204,11 @@ class Gaps:
         self.caseless = lowered or s.islower() or s.isupper()
         self.starts = [x] if (x := self._right(s, 0)) else []
         size = len(s.rstrip())
-        inside = _enclosures(s) if _QUOTES.search(s) else []
+        inside = Inside(_enclosures(s) if _QUOTES.search(s) else [])
         marks = list(_MARK.finditer(s))
         thai = [m.end() for m in _THAI.finditer(s)]
         for i in thai:
-            if not any(a < i <= b for a, b in inside):
+            if i not in inside:
                 self.sure.append(base + i)
         previous = -1  # where the word to the right of the last open gap begins
         begin = 0  # where the last certain sentence begins
@@ -198,19 +223,19 @@ class Gaps:
             closed = False
             while c := _CLOSE.match(s, j):
                 k = c.end()
-                if s[c.end() - 1] == "“" and not any(b == c.end() - 1 for _, b in inside):
+                if s[k - 1] == "“" and k - 1 not in inside.partner:
                     k = c.start() + len(c.group()) - 1
                 for x in range(c.start(), k):  # an opening mark closes nothing
-                    if s[x] in "\"'*_" and s[x - 1 : x].isspace() or any(a == x for a, _ in inside):
+                    if s[x] in "\"'*_" and s[x - 1 : x].isspace() or x in inside.opens:
                         k = x
                         break
-                if s[j : j + 1].isspace() and not any(b == k - 1 for _, b in inside):
+                if s[j : j + 1].isspace() and k - 1 not in inside.partner:
                     break
                 if k <= j:
                     break
                 closed = closed or s[j:k].strip("*_~") != ""
                 j = k
-            if inside and any(a < j <= b for a, b in inside):
+            if j in inside:
                 continue
             nxt = s[j : j + 1]
             if j >= size:
@@ -256,10 +281,10 @@ class Gaps:
     def _first(self, s: str, i: int, begin: int) -> bool:
         return self._left_at(s, i) <= begin
 
-    def _left(self, s: str, i: int, j: int, m: re.Match, closed: bool, inside: list[tuple[int, int]]) -> str:
+    def _left(self, s: str, i: int, j: int, m: re.Match, closed: bool, inside: Inside) -> str:
         if closed:
-            opened = max((a for a, b in inside if i < b < j), default=-1)
-            before = s[:opened].rstrip() if opened >= 0 else "x"
+            opened = max((inside.partner[b] for b in range(i + 1, j) if b in inside.partner), default=-1)
+            before = s[max(0, opened - 40) : opened].rstrip() if opened >= 0 else "x"
             whole = not before or before[-1] in SURE + OPEN_MARKS + CLOSERS.replace("\\", "")
             return "\x02" + m.group()[-1] + s[j - 1] + ("w" if whole else "p" if before[-1] in ":：" else "")
         if _NO_SPACES.match(s, i - 1):
