@@ -42,7 +42,7 @@ class LayerPriority(IntEnum):
     TERMINATES_OTHERS = 4
 
 
-ERROR_SCHEMA = "kind string, error string, entity_id string, message string, source array<string>"
+
 
 
 @dataclass(frozen=True)

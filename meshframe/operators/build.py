@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meshframe.functions import weights as W
-from meshframe.model import ERROR_SCHEMA, ErrorType, Network, ValueMode
+from meshframe.model import ErrorType, Network, ValueMode
 from meshframe.operators.index import dense_index
 
 Accessor = str | Column | Callable[[DataFrame], Column]
@@ -23,8 +23,14 @@ Accessor = str | Column | Callable[[DataFrame], Column]
 
 @dataclass(frozen=True)
 class NetworkResult:
+    """The network, and how to get its errors: their plan is made when they are asked for."""
+
     network: Network
-    errors: DataFrame
+    make_errors: Callable[[], DataFrame]
+
+    @property
+    def errors(self) -> DataFrame:
+        return self.make_errors()
 
 
 def access(df: DataFrame, accessor: Accessor | None) -> Column:
@@ -56,8 +62,8 @@ def identifier(c: Column, tag: str = "") -> Column:
     return F.concat(F.lit(tag), s) if tag else s
 
 
-def _rows(df: DataFrame, ids: Accessor | None, order: list[str], cols: dict[str, Column], tag: str) -> DataFrame:
-    """(id, ord, source, cols...): one row an id of a row, missing ids numbered."""
+def _rows(df: DataFrame, ids: Accessor | None, order: list[str], cols: dict[str, Column], tag: str, complete: bool) -> DataFrame:
+    """(id, ord, source, cols...): one row an id of a row, missing ids numbered, or left out if `complete`."""
     c = access(df, ids)
     many = ids is not None and isinstance(_type(df, c), T.ArrayType)
     keep = [F.to_json(F.struct(*[F.col(x) for x in df.columns])).alias("source"), *[v.alias(k) for k, v in cols.items()]]
@@ -66,6 +72,8 @@ def _rows(df: DataFrame, ids: Accessor | None, order: list[str], cols: dict[str,
         x = x.select(identifier(F.col("__id"), tag).alias("id"), F.struct(*[F.col(o) for o in order], "__pos").alias("ord"), "source", *cols)
     else:
         x = df.select(identifier(c, tag).alias("id"), F.struct(*[F.col(o) for o in order]).alias("ord"), *keep)
+    if complete:
+        return x.where("id is not null")
     if ids is None or not many and any(f.nullable for f in df.select(c.alias("x")).schema):
         missing = x.where("id is null")
         if not missing.isEmpty():
@@ -78,17 +86,21 @@ def _error(kind: str, error: ErrorType, message: Column, source: Column) -> list
     return [F.lit(kind).alias("kind"), F.lit(error.name).alias("error"), F.col("id").alias("entity_id"), message.alias("message"), source.alias("source")]
 
 
-def _last_wins(x: DataFrame, payload: list[str], kind: str, error: ErrorType) -> tuple[DataFrame, DataFrame]:
+def _last_wins(x: DataFrame, payload: list[str], kind: str, error: ErrorType) -> tuple[DataFrame, Callable[[], DataFrame]]:
     """Last row of each id, and an error for every later occurrence with (row, previous row).
 
     The rows themselves come from an aggregation with partial results; only ids with several rows go through a window.
     """
     kept = x.groupBy("id").agg(F.max_by(F.struct(*payload), "ord").alias("b"), F.max("ord").alias("ord"), F.count(F.lit(1)).alias("__n"))
-    many = kept.where("__n > 1").select(F.col("id").alias("__id"))
-    w = Window.partitionBy("id").orderBy("ord")
-    again = x.select("id", "ord", "source").join(many, F.col("id") == F.col("__id"), "left_semi").withColumn("before", F.lag("source").over(w)).where("before is not null")
-    message = F.format_string(f"Duplicate {kind} id: %s", "id")
-    return kept.select("id", "b.*", "ord"), again.select(*_error(kind, error, message, F.array("source", "before")))
+
+    def errors() -> DataFrame:
+        many = kept.where("__n > 1").select(F.col("id").alias("__id"))
+        w = Window.partitionBy("id").orderBy("ord")
+        again = x.select("id", "ord", "source").join(many, F.col("id") == F.col("__id"), "left_semi").withColumn("before", F.lag("source").over(w)).where("before is not null")
+        message = F.format_string(f"Duplicate {kind} id: %s", "id")
+        return again.select(*_error(kind, error, message, F.array("source", "before")))
+
+    return kept.select("id", "b.*", "ord"), errors
 
 
 def _merged_meta(x: DataFrame, meta: T.DataType) -> list[Column]:
@@ -117,30 +129,35 @@ def make_network(
     aggregate_value_mode: ValueMode = ValueMode.NONE,
     suppress_errors: Iterable[ErrorType] = (),
     delete_while_processing: bool = False,
+    ids_complete: bool = False,
 ) -> NetworkResult:
     """Build a network. Errors are always a DataFrame, maybe empty; suppressing some never changes the network.
 
     edge_values is the pair (a to b, b to a); if either of an edge's is missing, both are no value. delete_while_processing
     is accepted and does nothing: Spark never holds the source. If node and edge rows have ids of different kinds (numbers
     and strings), ids are tagged with their kind, so that 1 and "1" differ. A null end of an edge is an unknown node.
+    ids_complete says that no row lacks its id: rows are then not searched for missing ids, and one without is left out.
     """
     del delete_while_processing
     kinds = {_kind(_type(d, access(d, a))) for d, a in ((node_data, node_id), (edge_data, edge_a), (edge_data, edge_b)) if a is not None}
     tagged = lambda d, a: f"{_kind(_type(d, access(d, a)))}:" if len(kinds) > 1 and a is not None else ("n:" if len(kinds) > 1 else "")
-    nodes, node_errors = _nodes(node_data, node_id, node_values, node_meta, node_order, aggregate_results, aggregate_value_mode, tagged(node_data, node_id))
+    nodes, node_errors = _nodes(node_data, node_id, node_values, node_meta, node_order, aggregate_results, aggregate_value_mode, tagged(node_data, node_id), ids_complete)
     ends = [identifier(access(edge_data, a), tagged(edge_data, a)) for a in (edge_a, edge_b)]
-    edges, edge_errors = _edges(edge_data, nodes, ends, edge_id, edge_values, edge_meta, edge_order, aggregate_results, aggregate_value_mode)
-    errors = edge_errors if node_errors is None else node_errors.unionByName(edge_errors)
-    if names := [e.name for e in suppress_errors]:
-        errors = errors.where(~F.col("error").isin(names))
+    edges, edge_errors = _edges(edge_data, nodes, ends, edge_id, edge_values, edge_meta, edge_order, aggregate_results, aggregate_value_mode, ids_complete)
+    names = [e.name for e in suppress_errors]
+
+    def errors() -> DataFrame:
+        x = edge_errors() if node_errors is None else node_errors().unionByName(edge_errors())
+        return x.where(~F.col("error").isin(names)) if names else x
+
     return NetworkResult(Network(nodes, edges), errors)
 
 
-def _nodes(df, ids, values, meta, order, aggregate, mode, tag):
+def _nodes(df, ids, values, meta, order, aggregate, mode, tag, complete):
     v = access(df, values)
     kind = _type(df, v) if values is not None else T.ArrayType(T.DoubleType())
     value = W.as_list(v, kind) if values is not None else F.lit(None).cast("array<double>")
-    x = _rows(df, ids, order, {"value": value, "value_is_scalar": F.lit(W.is_scalar(kind)), "meta": access(df, meta)}, tag)
+    x = _rows(df, ids, order, {"value": value, "value_is_scalar": F.lit(W.is_scalar(kind)), "meta": access(df, meta)}, tag, complete)
     none = F.expr(W.NO_VALUE)
     if not aggregate:
         kept, errors = _last_wins(x, ["value", "value_is_scalar", "meta"], "node", ErrorType.DUPLICATE_NODE_ID)
@@ -163,34 +180,38 @@ def _not_found() -> Column:
     return F.when(none, "Could not find either node for this edge").when(~F.col("a_found"), "Could not find node a for this edge").otherwise("Could not find node b for this edge")
 
 
-def _edges(df, nodes, ends, ids, values, meta, order, aggregate, mode):
+def _edges(df, nodes, ends, ids, values, meta, order, aggregate, mode, complete):
     both = [access(df, a) for a in values] if values else []
     kind = _type(df, both[0]) if values else T.ArrayType(T.DoubleType())
     ab, ba = (W.as_list(c, _type(df, c)) for c in both) if values else (F.lit(None).cast("array<double>"),) * 2
     there = ab.isNotNull() & ba.isNotNull()
     scalar = F.lit(W.is_scalar(kind))
     cols = {"src": ends[0], "dst": ends[1], "atob": F.when(there, ab), "atob_is_scalar": scalar, "btoa": F.when(there, ba), "btoa_is_scalar": scalar, "meta": access(df, meta)}
-    x = _rows(df, ids, order, cols, "")
+    x = _rows(df, ids, order, cols, "", complete)
     none = F.expr(W.NO_VALUE)
     value = [F.coalesce(c, none).alias(c) if s is None else (F.coalesce(s, F.lit(False)) & F.col(c).isNotNull()).alias(f"{c}_is_scalar") for c in ("atob", "btoa") for s in (None, F.col(f"{c}_is_scalar"))]
     if not aggregate:
         x = _found(x, nodes)
         valid = x.where("a_found and b_found")
-        orphan = x.where("not (a_found and b_found)").select(*_error("edge", ErrorType.NODE_NOT_FOUND, _not_found(), F.array("source")))
         kept, again = _last_wins(valid, ["src", "dst", "atob", "atob_is_scalar", "btoa", "btoa_is_scalar", "meta"], "edge", ErrorType.DUPLICATE_EDGE_ID)
-        return kept.select("id", "src", "dst", *value, "meta", "ord"), orphan.unionByName(again)
+
+
+        def errors() -> DataFrame:
+            orphan = x.where("not (a_found and b_found)").select(*_error("edge", ErrorType.NODE_NOT_FOUND, _not_found(), F.array("source")))
+            return orphan.unionByName(again())
+
+        return kept.select("id", "src", "dst", *value, "meta", "ord"), errors
     x = _found(x, nodes)
     last = lambda c, found: F.max_by(c, F.when(F.col(found), F.col("ord"))).alias(c)
     base = x.groupBy("id").agg(last("src", "a_found"), last("dst", "b_found"), F.max("a_found").alias("a_found"), F.max("b_found").alias("b_found"), *_merged_meta(x, x.schema["meta"].dataType), F.min("ord").alias("ord"))
-    bad = base.where("not (a_found and b_found)")
-    rows_of_bad = x.join(bad.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "source"))).alias("rows"))
-    errors = bad.select("id", "a_found", "b_found").join(rows_of_bad.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"))
-    errors = errors.select(*_error("edge", ErrorType.NODE_NOT_FOUND, _not_found(), F.transform("rows", lambda r: r["source"])))
+
+    def errors() -> DataFrame:
+        bad = base.where("not (a_found and b_found)")
+        rows_of_bad = x.join(bad.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "source"))).alias("rows"))
+        found = bad.select("id", "a_found", "b_found").join(rows_of_bad.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"))
+        return found.select(*_error("edge", ErrorType.NODE_NOT_FOUND, _not_found(), F.transform("rows", lambda r: r["source"])))
+
     out = base.where("a_found and b_found")
     for c in ("atob", "btoa"):
         out = out.join(W.combine(x, mode, c, f"{c}_is_scalar").withColumnRenamed("id", f"__{c}"), F.col("id") == F.col(f"__{c}"), "left")
     return out.select("id", "src", "dst", *value, "meta", "ord"), errors
-
-
-def no_errors(spark) -> DataFrame:
-    return spark.createDataFrame([], ERROR_SCHEMA)

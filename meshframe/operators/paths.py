@@ -59,8 +59,8 @@ def _weighted(net: Network, a: str, b: str, directed: bool) -> DataFrame:
     if not directed:
         walk = walk.unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("nbr"), F.col("id").alias("edge_id"), F.get("btoa", F.lit(0)).alias("w")))
     walk = walk.where(F.col("w").isNotNull() & ~F.isnan("w"))
-    walk = cut(walk.groupBy("node", "nbr").agg(F.min(F.struct("w", "edge_id")).alias("b")).select("node", "nbr", "b.*").repartition("node"))
-    if not walk.where("w < 0").isEmpty():
+    walk = cut(walk.groupBy("node", "nbr").agg(F.min(F.struct("w", "edge_id")).alias("b")).select("node", "nbr", "b.*").repartition("node"), F.col("w") < 0)
+    if walk.n_flagged:
         raise ValueError("negative weight")
     best = spark.createDataFrame([(a, 0.0, None, None)], "node string, d double, parent string, edge_id string")
     changed = best
@@ -74,9 +74,9 @@ def _weighted(net: Network, a: str, b: str, directed: bool) -> DataFrame:
         both = best.withColumn("old", F.lit(True)).unionByName(offers.withColumn("old", F.lit(False)))
         key = F.struct("d", F.coalesce("parent", F.lit("")).alias("p"), F.coalesce("edge_id", F.lit("")).alias("e"), "old", "parent", "edge_id")
         x = both.groupBy("node").agg(F.min(key).alias("k"), F.max(F.when(F.col("old"), F.col("d"))).alias("d_old"))
-        x = cut(x.select("node", F.col("k.d").alias("d"), F.col("k.parent").alias("parent"), F.col("k.edge_id").alias("edge_id"), (F.col("d_old").isNull() | (F.col("k.d") < F.col("d_old"))).alias("changed")))
+        x = cut(x.select("node", F.col("k.d").alias("d"), F.col("k.parent").alias("parent"), F.col("k.edge_id").alias("edge_id"), (F.col("d_old").isNull() | (F.col("k.d") < F.col("d_old"))).alias("changed")), F.col("changed"))
         best, changed = x.drop("changed"), x.where("changed").drop("changed")
-        if changed.isEmpty():
+        if not x.n_flagged:
             break
     at = best.where(F.col("node") == b).first()
     if at is None:

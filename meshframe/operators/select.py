@@ -98,7 +98,7 @@ def spread_layers(
     visited = frontier.withColumn("depth", F.lit(0))
     edges_seen: DataFrame | None = None
     state.visited_nodes, state.visited_edges = visited, edges_seen
-    if frontier.isEmpty():
+    if not frontier.n_rows:
         return
     yield Layer(0, frontier, None, None)
     depth = 0
@@ -122,8 +122,8 @@ def spread_layers(
         ends = F.struct(F.when(forward, F.col("node")).otherwise(F.col("nbr")).alias("a"), F.when(forward, F.col("nbr")).otherwise(F.col("node")).alias("b"))
         edges = out.groupBy("source", "edge_id").agg(F.min(ends).alias("e"), F.min("node").alias("by")).select("source", "edge_id", F.col("e.a").alias("src_node"), F.col("e.b").alias("dst_node"), "by")
         depth += 1
-        empty = new.isEmpty()
-        if empty and reach.isEmpty():
+        empty = not new.n_rows
+        if empty and not reach.n_rows:
             return
         nodes = new.select("source", "node")
         visited = visited.unionByName(nodes.withColumn("depth", F.lit(depth)))
@@ -153,7 +153,7 @@ def spread_layers(
 def _parts(depth: int, frontier: DataFrame, new: DataFrame, edges: DataFrame, size: int, keep_path: bool) -> Iterator[Layer]:
     """Parts of a layer: the frontier in chunks of `size` by id, with what each chunk is the first to reach."""
     ranked = cut(dense_index(frontier.select("node").distinct(), ["node"], "__rank").select("node", F.floor(F.col("__rank") / size).alias("chunk")))
-    rows = new.count()
+    rows = new.n_rows
     nodes = cut(lookup(new, "parent", ranked, "node", "chunk", "chunk", rows))
     edges = cut(lookup(edges, "by", ranked, "node", "chunk", "chunk", rows).drop("by"))
     for k in range(ranked.agg(F.max("chunk")).first()[0] + 1):
@@ -192,7 +192,7 @@ def overlap(state: SpreadState) -> DataFrame:
 def shared_connection(net: Network, nodes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """Nodes (node) within `depth` of every one of `nodes` (a column `node`), themselves left out, and edges among both."""
     wanted = cut(nodes.select("node").where("node is not null").distinct())
-    n = wanted.count()
+    n = wanted.n_rows
     state = spread(net, wanted, by_source=True, max_depth=depth)
     near = state.visited_nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n).select("node")
     shared = near.join(wanted.select(F.col("node").alias("__w")), F.col("node") == F.col("__w"), "left_anti")

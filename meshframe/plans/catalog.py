@@ -368,15 +368,15 @@ def sp_waits(s: SparkSession, d: str) -> DataFrame:
 
 
 def sh_connection_nodes(s: SparkSession, d: str) -> DataFrame:
-    return select.shared_connection(graphs.supply(s, d).network, _ids(s, "s0", "s1"), 3)[0]
+    return select.shared_connection(graphs.trade(s, d).network, _ids(s, "s0", "s1"), 1)[0]
 
 
 def sh_connection_edges(s: SparkSession, d: str) -> DataFrame:
-    return select.shared_connection(graphs.supply(s, d).network, _ids(s, "s0", "s1"), 3)[1].select("id", "src", "dst")
+    return select.shared_connection(graphs.trade(s, d).network, _ids(s, "s0", "s1"), 1)[1].select("id", "src", "dst")
 
 
 def pa_hops(s: SparkSession, d: str) -> DataFrame:
-    return paths.path(graphs.geo(s, d).network, "s0", "r1").select("step", "node", "distance")
+    return paths.path(graphs.trade(s, d).network, "c0", "c1").select("step", "node", "distance")
 
 
 def pa_weighted(s: SparkSession, d: str) -> DataFrame:
@@ -430,8 +430,8 @@ _N1, _E1 = _HALF("{k} < 8")
 _N2, _E2 = _HALF("{k} > 16")
 _MORE = """(select 'sr' || s_suppkey as id, 's' || s_suppkey as src, 'r' || n_regionkey as dst from supplier join nation on s_nationkey = n_nationkey)"""
 _PAIR = _seed("s0"), _seed("s1")
-_NEAR = f"""e as {_SUPPLY}, adj as (select src as n, dst as m from e union all select dst, src from e),
-  walk as (select x as source, x as node, 0 as depth from (values ('s0'), ('s1')) t(x) union select source, m, depth + 1 from walk join adj on n = node where depth < 3),
+_NEAR = f"""e as {_TRADE}, adj as (select src as n, dst as m from e union all select dst, src from e),
+  walk as (select x as source, x as node, 0 as depth from (values ('s0'), ('s1')) t(x) union select source, m, depth + 1 from walk join adj on n = node where depth < 1),
   near as (select node from walk group by 1 having count(distinct source) = 2), shared as (select node from near where node not in ('s0', 's1'))"""
 
 SQL = {
@@ -500,7 +500,7 @@ select node from walk group by 1 having count(distinct source) = 2 and node <> '
 select node, min(depth) as depth from walk group by 1""",
     "sh_connection_nodes": f"with recursive {_NEAR} select node from shared",
     "sh_connection_edges": f"with recursive {_NEAR} select id, src, dst from e where (src in (select node from shared) or src in ('s0', 's1')) and (dst in (select node from shared) or dst in ('s0', 's1'))",
-    "pa_hops": f"""with recursive {_bfs(_GEO, _seed('s0'), 9)}, back as (select node, depth from dist where node = 'r1'
+    "pa_hops": f"""with recursive {_bfs(_TRADE, _seed('c0'), 4)}, back as (select node, depth from dist where node = 'c1'
   union all select (select min(a.node) from dist a join adj on n = a.node and m = back.node where a.depth = back.depth - 1), depth - 1 from back where depth > 0)
 select depth as step, node, cast(depth as double) as distance from back""",
     "pa_weighted": f"""with recursive e as {_SUPPLY}, adj as (select src as n, dst as m, ab as w from e union all select dst, src, 1.0 from e),

@@ -5,16 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows up to which a table counts as small enough to broadcast, once counted.
 BROADCAST_ROWS = 200_000
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table `name` of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table `name` of a data folder; its schema is looked up once an application."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def parts(spark: SparkSession) -> int:
@@ -29,18 +37,20 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="meshframe-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, flag: Column | None = None) -> DataFrame:
     """Cut the lineage: df is written as a table to the shared checkpoint folder and read from there.
 
     A written table carries no constraints or statistics of the plan that made it, which grow with every round of a loop
-    where checkpoint() hands them on; and it is columnar, compressed and of known size.
+    where checkpoint() hands them on; and it is columnar, compressed and of known size. The rows are counted as they are
+    written: `n_rows` of the result is their number, `n_flagged` that of the rows where `flag` is true.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.lit(False) if flag is None else flag).alias("n_flagged")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
+    out.written_to, out.n_rows, out.n_flagged = path, seen.get["n_rows"], seen.get["n_flagged"]
     return out
 
 

@@ -44,7 +44,7 @@ def write_network(net, path: str, kind: str = "parquet") -> None:
 
 
 def _made(nodes: DataFrame, edges: DataFrame, **more) -> NetworkResult:
-    return make_network(nodes, edges, node_id="id", edge_id="id", edge_a="a", edge_b="b", node_order=["id"], edge_order=more.pop("edge_order", ["id"]), **more)
+    return make_network(nodes, edges, node_id="id", edge_id="id", edge_a="a", edge_b="b", node_order=["id"], edge_order=more.pop("edge_order", ["id"]), ids_complete=True, **more)
 
 
 def _geo_nodes(spark: SparkSession, d: str) -> DataFrame:
