@@ -35,16 +35,16 @@ def _root_cycles(hooks: DataFrame) -> DataFrame:
 def _collapse(tree: DataFrame) -> DataFrame:
     """Pointer doubling until every component points at its root."""
     tree = cut(tree)
-    rows = tree.count()
+    rows = tree.n_rows
     while True:
         out = tree
         for k in range(JUMPS):
             out = lookup(out.select("c", F.col("p").alias(f"p{k}")), f"p{k}", out, "c", "p", "p", rows).select("c", f"p{k}", "p")
             moved = F.col(f"p{k}") != F.col("p")
             out = out.select("c", "p", moved.alias("moved")) if k == JUMPS - 1 else out.select("c", "p")
-        before, tree = tree, cut(out)
+        before, tree = tree, cut(out, F.col("moved"))
         drop(before)
-        if tree.where("moved").isEmpty():
+        if not tree.n_flagged:
             return tree
 
 
@@ -58,7 +58,7 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     nodes = x.select(F.explode(F.array("a", "b")).alias("node_id")).where("node_id is not null").distinct()
     edges = cut(x.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     maps: list[DataFrame] = []
-    while rows := edges.count():
+    while rows := edges.n_rows:
         tree = _collapse(_root_cycles(_hook(edges)))
         maps.append(tree)
         at_u = lookup(edges, "u", tree, "c", "p", "ru", rows)
@@ -69,8 +69,8 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         return nodes.select("node_id", F.col("node_id").alias("group_id"))
     final = maps[-1]
     for earlier in reversed(maps[:-1]):  # the maps shrink by half or more a round, so all of this costs about one join of the first
-        final = lookup(earlier, "p", final, "c", "p", "r", earlier.count(), "left").select("c", F.coalesce("r", "p").alias("p"))
+        final = lookup(earlier, "p", final, "c", "p", "r", earlier.n_rows, "left").select("c", F.coalesce("r", "p").alias("p"))
     smallest = final.groupBy("p").agg(F.min("c").alias("group_id"))
     named = cut(final) if len(maps) > 1 else final
-    named = lookup(named, "p", smallest, "p", "group_id", "group_id", named.count())
+    named = lookup(named, "p", smallest, "p", "group_id", "group_id", named.n_rows)
     return nodes.join(named.select("c", "group_id"), F.col("node_id") == F.col("c"), "left").select("node_id", F.coalesce("group_id", "node_id").alias("group_id"))
