@@ -105,6 +105,9 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     by_room: dict[int, list[int]] = defaultdict(list)
     out: list[list[int]] = []
     for i in order:
+        if out and not sizes[i]:  # takes no room, so it goes anywhere
+            out[-1].append(i)
+            continue
         k = bisect_left(room, sizes[i])
         if k < len(room):
             free = room[k]
@@ -116,7 +119,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
             free, c = capacity, len(out)
             out.append([i])
         free -= sizes[i]
-        if free or sizes[i] == 0:
+        if free:
             if not by_room[free]:
                 insort(room, free)
             by_room[free].append(c)

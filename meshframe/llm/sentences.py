@@ -33,6 +33,8 @@ ROUNDS = 4
 #: Weights of the back-off distributions.
 K_WORD, K_PAIR, K_EVENT, K_CLASS = 2.0, 3.0, 4.0, 0.05
 RARE = 1e-4
+#: Share of words that are new to a distribution; the same for all, else small ones would attract new words.
+NEW = 0.001
 #: Depth of quotations and parentheses, beyond which an opening mark encloses nothing.
 DEEPEST = 32
 
@@ -40,6 +42,7 @@ DEEPEST = 32
 SURE = "。！？｡؟።፧।॥۔"
 OPEN_MARKS = ".!?…‼⁇⁈⁉"
 CLOSERS = "\"'”’»›)\\]）」』】》〉*_~“"
+ENDS = frozenset(SURE + OPEN_MARKS + CLOSERS.replace("\\", "") + ";")
 PAIRS = {"“": "”", "‘": "’", "«": "»", "„": "“”", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "»": "«"}
 
 _MASK = re.compile(r"(`+)(?!`).+?(?<!`)\1(?!`)|https?://[^\s<>`\"'”“«»「」（）。，、！？；؟।።፧]+", re.S)
@@ -51,6 +54,7 @@ _TOKEN = re.compile(r"\S+")
 _THAI = re.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])")
 _GREEK = re.compile("[Ͱ-ͽͿ-Ͽἀ-῿]")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_AFTER = re.compile(r"[^\W\d_]{4}[.!?]\s+([^\W\d_])")
 _DIGITS = re.compile(r"\d+")
 _FRONT = re.compile("^[\"'“”‘’«»„「」『』(（\\[【《*_~¿¡]+")
 _BACK = re.compile("[\"'“”‘’«»„「」『』)）\\]】》*_~.,;:!?…。，、！？；：]+$")
@@ -295,16 +299,24 @@ class Gaps:
 
 
 def gaps(text: str) -> list[tuple[int, int, Gaps]]:
-    """(start, end, gaps) of each block. Where nearly all blocks begin in lower case, case says nothing about words."""
+    """(start, end, gaps) of each block.
+
+    Where most paragraphs (blocks without a marker that end with a mark), and what follows end marks in them, begin in lower
+    case, case says nothing about the words of paragraphs.
+    """
     found, lower, upper = blocks(text), 0, 0
-    for _, end, word in found:
-        m = _TOKEN.match(text, word, end)
-        first = _FRONT.sub("", m.group()) if m else ""
-        if first and first[0].isalpha() and not _vague(first):
+    plain = [not text[start:word].strip() for start, _, word in found]
+    for (_, end, word), p in zip(found, plain, strict=True):
+        if not p or text[word:end].rstrip()[-1:] not in ENDS:
+            continue
+        first = _TOKEN.match(text, word, end).group()
+        if len(first) > 1 and first[0].isalpha() and not _vague(first):  # a single letter may be upper case of its own
             lower += first[0].islower()
             upper += first[0].isupper()
-    lowered = lower > 4 * upper
-    return [(start, end, Gaps(text, start, end, word, lowered)) for start, end, word in found]
+        for c in _AFTER.findall(text, word, end):
+            lower += c.islower()
+            upper += c.isupper()
+    return [(start, end, Gaps(text, start, end, word, p and lower > upper)) for (start, end, word), p in zip(found, plain, strict=True)]
 
 
 def _at(key: str) -> list[int]:
@@ -348,8 +360,9 @@ class Model:
         caseless, (front, word) = word[:1] == CASELESS, _opener(word.lstrip(CASELESS))
         opened = (self.n(kind + "\x0f" + front) + 0.1) / (total + 1)
         p = (self.n(kind + shape(word)) + 0.1) / (total + 1) * RARE
-        p = (self.n(kind + "\x07" + word.casefold()) + K_WORD * p) / (total + K_WORD)
-        return opened * (p if caseless else (self.n(kind + word) + K_WORD * p) / (total + K_WORD))
+        k = K_WORD + NEW * total
+        p = (self.n(kind + "\x07" + word.casefold()) + k * p) / (total + k)
+        return opened * (p if caseless else (self.n(kind + word) + k * p) / (total + k))
 
     def _inside(self, word: str) -> float:
         """Probability of a right word without a boundary: as inside of sentences, or as in open gaps that block starts don't explain."""
