@@ -9,7 +9,8 @@ by bisection for the candidates that remain.
 
 A partition of an element in more than `HOT` sets is split by the next two elements that a pair has in common (a pair with
 the required overlap has them within two more places of the prefix), so a frequent element is no hot group. A pair is
-emitted only where the partition's key is its first common elements: once.
+emitted only where the partition's key is its first common elements: once. A partition that is still too large for a task
+is split by the sets that probe it.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import groupby
+from itertools import chain, groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.runtime import cut, lookup
+from meshframe.runtime import cut, hot_values, lookup, parts
 
 #: Number of sets that hold an element, beyond which its partition is split by two further elements.
 HOT = 2000
@@ -119,11 +120,24 @@ def merge_skip(lists: list[list[int]], need: int, lo: int, hi: int) -> list[tupl
     return out
 
 
-def _pairs_of(side: str, key: tuple, group: list[tuple[bool, int, list]], num: int, den: int) -> Iterator[tuple]:
-    """Pairs of one partition: listed sets go into inverted lists, in order of (size, rep); every set probes them."""
-    listed = sorted((len(els), rep, els) for is_listed, rep, els in group if is_listed)
-    if not listed or len(group) < 2:
+def _pairs_of(side: str, key: tuple, group: Iterator[tuple[bool, bool, int, list]], num: int, den: int) -> Iterator[tuple]:
+    """Pairs of one partition. Its listed sets come first and go into inverted lists, in order of (size, rep); then every
+    set that is to probe does so as it streams by: only the listed sets are held."""
+    listed: list[tuple[int, int, list]] = []
+    probing: list[tuple[int, list]] = []
+    rest = None
+    for is_listed, probes, rep, els in group:
+        if not is_listed:
+            rest = (rep, els)
+            break
+        listed.append((len(els), rep, els))
+        if probes:
+            probing.append((rep, els))
+    if not listed:
+        for _ in group:
+            pass
         return
+    listed.sort()
     order = [(n, rep) for n, rep, _ in listed]
     inverted: dict[int, list[int]] = {}
     shared = set(key)
@@ -131,7 +145,8 @@ def _pairs_of(side: str, key: tuple, group: list[tuple[bool, int, list]], num: i
         for e in els:
             if e not in shared:
                 inverted.setdefault(e, []).append(k)
-    for _, rep, els in group:
+    others = chain([rest] if rest else [], (r[2:] for r in group))
+    for rep, els in chain(probing, others):
         n = len(els)
         least = -(-num * n // den)
         hi = bisect_left(order, (n, rep))
@@ -140,7 +155,7 @@ def _pairs_of(side: str, key: tuple, group: list[tuple[bool, int, list]], num: i
             continue
         need = least - len(key)
         found = merge_skip([x for e in els if (x := inverted.get(e))], need, lo, hi) if need > 0 else [(k, -1) for k in range(lo, hi)]
-        for k, count in found:
+        for k, _ in found:
             m, other, items = listed[k]
             both = set(items)
             common = [e for e in els if e in both]
@@ -150,13 +165,14 @@ def _pairs_of(side: str, key: tuple, group: list[tuple[bool, int, list]], num: i
 
 
 def _join(num: int, den: int):
+    names = ("side", "key", "salt", "listed", "probes", "rep", "els")
+
     def run(batches):
         import pyarrow as pa
 
         def rows():
             for b in batches:
-                keys, els = b.column("key"), b.column("els")
-                yield from zip(b.column("side").to_pylist(), keys.to_pylist(), b.column("listed").to_pylist(), b.column("rep").to_pylist(), els.to_pylist(), strict=True)
+                yield from zip(*(b.column(c).to_pylist() for c in names), strict=True)
 
         out: list[tuple] = []
 
@@ -164,21 +180,37 @@ def _join(num: int, den: int):
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["side", "rep_lo", "rep_hi", "overlap"])
 
-        for (side, key), group in groupby(rows(), key=lambda r: (r[0], tuple(r[1]))):
-            out.extend(_pairs_of(side, key, [r[2:] for r in group], num, den))
-            if len(out) > 10_000:
-                yield batch()
-                out.clear()
+        for (side, key, _), group in groupby(rows(), key=lambda r: (r[0], tuple(r[1]), r[2])):
+            for pair in _pairs_of(side, key, (r[3:] for r in group), num, den):
+                out.append(pair)
+                if len(out) > 10_000:
+                    yield batch()
+                    out.clear()
         yield batch()
 
     return run
 
 
+def _salted(keyed: DataFrame, rows: int) -> DataFrame:
+    """keyed with `salt` and `probes`: a partition that is too large for a task is split by the sets that probe it; its
+    lists are in every part of it, and each listed set probes in one."""
+    name = F.concat_ws(",", "side", F.col("key").cast("array<string>"))
+    named = keyed.withColumn("name", name)
+    hot = hot_values(named.where(F.size("key") > 1), "name", rows)
+    if not hot:
+        return keyed.withColumn("salt", F.lit(0)).withColumn("probes", F.lit(True))
+    n = parts(keyed.sparkSession)
+    own = F.when(F.col("name").isin(hot), F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")).otherwise(0)
+    every = F.when(F.col("name").isin(hot) & F.col("listed"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array("own"))
+    return named.withColumn("own", own).withColumn("salt", F.explode(every)).withColumn("probes", F.col("salt") == F.col("own")).drop("name", "own")
+
+
 def class_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
     """(side, rep_lo, rep_hi, overlap) for all pairs of classes with |A & B| / |A | B| >= num / den, compared exactly."""
-    keyed = _keys(cut(_ranked(found)), num, den)
-    keyed = keyed.repartition("side", "key").sortWithinPartitions("side", "key")
-    return keyed.mapInArrow(_join(num, den), "side string, rep_lo bigint, rep_hi bigint, overlap int")
+    ranked = cut(_ranked(found))
+    keyed = _salted(_keys(ranked, num, den), ranked.n_rows)
+    keyed = keyed.repartition("side", "key", "salt").sortWithinPartitions("side", "key", "salt", F.desc("listed"))
+    return keyed.select("side", "key", "salt", "listed", "probes", "rep", "els").mapInArrow(_join(num, den), "side string, rep_lo bigint, rep_hi bigint, overlap int")
 
 
 def _members(member: DataFrame, found: DataFrame) -> DataFrame:

@@ -45,9 +45,11 @@ def found(df):
     return setjoin.expand(member, classes, setjoin.class_pairs(classes, 7, 10))
 
 
-@pytest.mark.parametrize("hot, hubs", [(2000, 12), (3, 12), (3, 5), (1, 8)])
-def test_against_brute_force(spark, monkeypatch, hot, hubs):
+@pytest.mark.parametrize("hot, hubs, salted", [(2000, 12, False), (3, 12, False), (3, 5, True), (1, 8, True)])
+def test_against_brute_force(spark, monkeypatch, hot, hubs, salted):
     monkeypatch.setattr(setjoin, "HOT", hot)
+    if salted:
+        monkeypatch.setattr(setjoin, "hot_values", lambda df, key, rows: [x[0] for x in df.groupBy(key).count().where("count > 3").select(key).collect()])
     sets = made(120, hubs)
     got = rows(found(frame(spark, sets)))
     assert len(got) == len(set(got)) and set(got) == brute(sets)
