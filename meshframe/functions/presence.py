@@ -66,3 +66,24 @@ def list_present(c: Column) -> Column:
 def number_present(c: Column) -> Column:
     """Neither null nor NaN; zero is a value."""
     return c.isNotNull() & ~F.isnan(c)
+
+
+def is_defined(c: Column) -> Column:
+    """Not null; 0, NaN and "" are defined."""
+    return c.isNotNull()
+
+
+def is_identifier(c: Column) -> Column:
+    """Can c be an id: not null, not NaN, not ""? 0 is one. Never null."""
+    s = c.cast("string")
+    return F.coalesce((s != "") & (s != "NaN"), F.lit(False))
+
+
+def is_weight_number(c: Column, scalar: Column) -> Column:
+    """Is the weight (a list with a flag) a single number? Never null."""
+    return F.coalesce(scalar & (F.size(c) == 1), F.lit(False))
+
+
+def is_weights(c: Column) -> Column:
+    """Does the list of weights hold any slot, be it null? Never null."""
+    return F.coalesce(F.size(c) > 0, F.lit(False))

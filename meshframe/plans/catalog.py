@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshframe.functions import presence
 from meshframe.model import ErrorType, LayerPriority, ValueMode
 from meshframe.operators import clone, lookup, mutate, paths, select, setops
 from meshframe.operators.build import make_network
@@ -389,7 +390,17 @@ def pa_absent(s: SparkSession, d: str) -> DataFrame:
     return paths.path(graphs.geo(s, d).network, "s0", "nowhere")
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if name[:3] in ("mk_", "lk_", "mu_", "cl_", "so_", "nb_", "sp_", "sh_", "pa_")}
+# ---- predicates
+
+
+def fn_presence(s: SparkSession, d: str) -> DataFrame:
+    """Per edge of iedge what of it is there."""
+    e = read(s, d, "iedge")
+    flags = {"has_id": presence.is_identifier(F.col("id")), "has_ends": presence.is_identifier(F.col("a")) & presence.is_identifier(F.col("b")), "has_atob": presence.is_weights(F.col("atob")), "one_atob": presence.is_weight_number(F.col("atob"), F.size("atob") == 1), "has_number": presence.list_present(F.col("btoa")), "has_kind": presence.is_defined(F.col("meta.kind")), "has_name": presence.text_present(F.col("meta.kind"))}
+    return e.groupBy(*[c.alias(k) for k, c in flags.items()]).agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if name[:3] in ("mk_", "lk_", "mu_", "cl_", "so_", "nb_", "sp_", "sh_", "pa_", "fn_")}
 
 # ---- SQL
 
@@ -435,6 +446,8 @@ _NEAR = f"""e as {_TRADE}, adj as (select src as n, dst as m from e union all se
   near as (select node from walk group by 1 having count(distinct source) = 2), shared as (select node from near where node not in ('s0', 's1'))"""
 
 SQL = {
+    "fn_presence": """select id is not null as has_id, a is not null and b is not null as has_ends, coalesce(len(atob) > 0, false) as has_atob, coalesce(len(atob) = 1, false) as one_atob,
+  coalesce(len(list_filter(btoa, lambda x: x is not null and not isnan(x))) > 0, false) as has_number, meta.kind is not null as has_kind, coalesce(regexp_matches(meta.kind, '[A-Za-z]'), false) as has_name, count(*) as n from iedge group by all""",
     "mk_nodes_geo": f"select id, name from {_GEO_NODES}",
     "mk_edges_geo": f"select id, src, dst from {_GEO}",
     "mk_dup_edges_last": f"select id, src, dst, l_quantity as ab, l_tax as ba from {_LINE} qualify row_number() over (partition by id order by ord desc) = 1",
