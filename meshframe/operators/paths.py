@@ -35,7 +35,7 @@ def path(net: Network, a: str, b: str, weighted: bool = False, directed: bool =
 def _hops(net: Network, a: str, b: str, directed: bool) -> DataFrame:
     spark = net.nodes.sparkSession
     adj = net.adjacency()
-    adj = cut((adj.where("dir = 'out'") if directed else adj).repartition("node"))
+    adj = cut(adj.where("dir = 'out'") if directed else adj)
     found: list[DataFrame] = []
     for layer in spread_layers(net, spark.createDataFrame([(a,)], "node string"), keep_path=True, adjacency=adj):
         if layer.depth == 0:
@@ -59,7 +59,7 @@ def _weighted(net: Network, a: str, b: str, directed: bool) -> DataFrame:
     if not directed:
         walk = walk.unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("nbr"), F.col("id").alias("edge_id"), F.get("btoa", F.lit(0)).alias("w")))
     walk = walk.where(F.col("w").isNotNull() & ~F.isnan("w"))
-    walk = cut(walk.groupBy("node", "nbr").agg(F.min(F.struct("w", "edge_id")).alias("b")).select("node", "nbr", "b.*").repartition("node"), F.col("w") < 0)
+    walk = cut(walk.groupBy("node", "nbr").agg(F.min(F.struct("w", "edge_id")).alias("b")).select("node", "nbr", "b.*"), F.col("w") < 0)
     if walk.n_flagged:
         raise ValueError("negative weight")
     best = spark.createDataFrame([(a, 0.0, None, None)], "node string, d double, parent string, edge_id string")

@@ -84,7 +84,7 @@ def spread_layers(
     (see lookup), and an anti join with what is visited; its result is written, so rounds don't grow the plan.
     """
     state = state if state is not None else SpreadState()
-    adj = adjacency if adjacency is not None else cut(net.adjacency().repartition("node"))
+    adj = adjacency if adjacency is not None else cut(net.adjacency())
     first = start.select("node").where("node is not null").distinct()
     first = first.join(net.nodes.select(F.col("id").alias("__id")), F.col("node") == F.col("__id"), "left_semi")
     source = F.col("node") if by_source else F.lit("*")
