@@ -123,11 +123,10 @@ def lk_get_edge(s: SparkSession, d: str) -> DataFrame:
 
 
 def lk_get_edges(s: SparkSession, d: str) -> DataFrame:
-    """The last event edge from each type to each type."""
+    """The last event edge back from where each edge leads, and one that doesn't exist."""
     net = graphs.event(s, d).network
-    t = net.nodes.select(F.col("id").alias("a"))
-    pairs = t.join(t.select(F.col("a").alias("b"), F.lit(1).alias("k")), F.lit(1) == F.col("k")).drop("k")  # a handful of event types
-    return lookup.get_edges(net, pairs).select("a", "b", "edge_id")
+    pairs = net.edges.select(F.col("dst").alias("a"), F.col("src").alias("b")).distinct()
+    return lookup.get_edges(net, pairs.unionByName(s.createDataFrame([("click", "nowhere")], "a string, b string"))).select("a", "b", "edge_id")
 
 
 def lk_has_node(s: SparkSession, d: str) -> DataFrame:
@@ -468,7 +467,7 @@ select id, cast(row_number() over (partition by id order by ord, k) - 1 as int)
   arg_max(o_orderpriority, (o_orderdate, o_orderkey)) filter (where o_orderstatus = 'F') as priority, arg_max(o_totalprice, (o_orderdate, o_orderkey)) as value from orders group by o_custkey""",
     "mk_agg_partial_edges": f"select id, src, dst from {_SUPPLY}",
     "lk_get_edge": f"select id, src, dst from {_GEO} where src = 'r0' and dst = 'n0'",
-    "lk_get_edges": f"select a.t as a, b.t as b, e.id as edge_id from (select distinct event_type as t from events) a, (select distinct event_type as t from events) b left join (select src, dst, max(id) as id from {_EVENT} group by 1, 2) e on e.src = a.t and e.dst = b.t",
+    "lk_get_edges": f"select p.a, p.b, e.id as edge_id from (select distinct dst as a, src as b from {_EVENT} union all select 'click', 'nowhere') p left join (select src, dst, max(id) as id from {_EVENT} group by 1, 2) e on e.src = p.a and e.dst = p.b",
     "lk_has_node": "select 'n' || (n_nationkey + 10) as id, n_nationkey + 10 in (select n_nationkey from nation) as is_member from nation",
     "lk_atob_last": f"select src, dst, max(id) as edge_id from {_EVENT} group by 1, 2",
     "mu_add_edge": f"select id, src, dst from {_GEO} union all select id, src, dst from {_MORE}",
