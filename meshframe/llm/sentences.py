@@ -8,8 +8,9 @@ ends a sentence, times that of the right word and the one after it given a bound
 depend on each other (a word's history ends at a boundary), so posteriors come from the forward-backward algorithm.
 
 Training needs no labels. Starts and ends of blocks show how sentences begin and end; gaps without an end mark show how
-they go on; expectation-maximization over all open gaps of the corpus does the rest. Counts live in a hashed table of fixed
-size, which is summed on the cluster and is all that is sent to the tasks.
+they go on; expectation-maximization over all open gaps of the corpus does the rest. Counts are exact at every size: they
+are rows (key, n) on the cluster, and runs of open gaps are joined with the counts of the keys that they ask for. Only the
+counts of the FIXED keys, whose number doesn't depend on the texts, are collected and sent to the tasks.
 """
 
 from __future__ import annotations
@@ -17,19 +18,18 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator, Mapping
+from uuid import uuid4
 
-import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.llm.blocks import blocks
-from meshframe.runtime import cut
+from meshframe.runtime import cut, drop, lookup
 
-#: The table of counts is a count-min sketch of ROWS x WIDTH entries: the bound of what is collected and sent to tasks.
-ROWS, WIDTH = 3, 1 << 20
-TABLE = ROWS * WIDTH
 ROUNDS = 4
+#: Entries of a task's partial counts, after which they are handed on.
+FLUSH = 200_000
 #: Weights of the back-off distributions.
 K_WORD, K_PAIR, K_EVENT, K_CLASS = 2.0, 3.0, 4.0, 0.05
 RARE = 1e-4
@@ -61,6 +61,9 @@ _BACK = re.compile("[\"'“”‘’«»„「」『』)）\\]】》*_~.,;:!?…
 _NO_SPACES = re.compile("[⺀-ヿ㐀-䶿一-鿿豈-﫿＀-￯]")
 _WORDLIKE = re.compile(r"[^\W\d_]")
 CASELESS = "\x08"
+#: Totals, opening marks and classes of right words, classes of left words: keys that most gaps ask for.
+FIXED = [k + x for k in "SZWR" for x in ("", "\x0f", '\x0f"', "\x0f(", "\x0f¿", *("\x01" + c for c in "ACl0xop"))]
+FIXED += [k + "\x06\x03" + m + c for k in "EO" for m in ".…!m" for c in (*"x0p1dAClo", "As", "Cs", "ls", "os")]
 CODE, URL = "", ""
 
 
@@ -195,15 +198,16 @@ class Gaps:
 
     sure: positions. runs: (first, [(position, left, right), ...]): neighbouring open gaps, `first` tells whether the left
     word begins its sentence. end: (first, left) if the block ends with a mark. starts: right words of certain starts.
+    masked: the block's text behind its marker.
     """
 
-    __slots__ = ("sure", "runs", "end", "starts", "caseless")
+    __slots__ = ("sure", "runs", "end", "starts", "caseless", "masked")
 
     def __init__(self, text: str, start: int, end: int, word: int, lowered: bool):
         self.sure: list[int] = []
         self.runs: list[tuple[bool, list[tuple[int, str, str]]]] = []
         self.end: tuple[bool, str] | None = None
-        s = _mask(text[word:end])
+        s = self.masked = _mask(text[word:end])
         base = word
         self.caseless = lowered or s.islower() or s.isupper()
         self.starts = [x] if (x := self._right(s, 0)) else []
@@ -319,17 +323,6 @@ def gaps(text: str) -> list[tuple[int, int, Gaps]]:
     return [(start, end, Gaps(text, start, end, word, p and lower > upper)) for (start, end, word), p in zip(found, plain, strict=True)]
 
 
-def _at(key: str) -> list[int]:
-    """The key's entries, one in each row of the sketch."""
-    h = xxhash.xxh3_64_intdigest(key.encode("utf-8", "replace"))
-    return [h & (WIDTH - 1), WIDTH + (h >> 20 & (WIDTH - 1)), 2 * WIDTH + (h >> 40 & (WIDTH - 1))]
-
-
-def _add(table: np.ndarray, key: str, n: float) -> None:
-    for i in _at(key):
-        table[i] += n
-
-
 def _event_keys(first: bool, left: str) -> tuple[str, str, str]:
     return f"\x04{int(first)}{left}", f"\x05{left.casefold()}", f"\x06{left_class(left)}"
 
@@ -340,13 +333,14 @@ def _likely(share: float) -> float:
 
 
 class Model:
-    """Probabilities from the hashed table.
+    """Probabilities from counts: a mapping, or a DataFrame (key, n), which is collected (for small tables, on a driver).
 
     Keys: S start, Z start of a block, W inside, R right of an open gap, P pair, L left word of pairs, E block end, O open gap.
     """
 
-    def __init__(self, table: np.ndarray):
+    def __init__(self, table: Mapping[str, float] | DataFrame):
         self.table = table
+        self.counts = {r.key: r.n for r in table.select("key", "n").toLocalIterator()} if isinstance(table, DataFrame) else table
         self.starts, self.inside = max(self.n("S"), 1.0), max(self.n("W"), 1.0)
         self.rights = max(self.n("R"), 1.0)
         ends, opens = self.n("E\x06\x03.l"), self.n("O\x06\x03.l")
@@ -354,7 +348,7 @@ class Model:
         self.known: dict[tuple, float] = {}
 
     def n(self, key: str) -> float:
-        return float(min(self.table[i] for i in _at(key)))
+        return self.counts.get(key, 0.0)
 
     def _word(self, kind: str, total: float, word: str) -> float:
         caseless, (front, word) = word[:1] == CASELESS, _opener(word.lstrip(CASELESS))
@@ -427,34 +421,75 @@ def _word_keys(kind: str, word: str) -> tuple[str, ...]:
     return kind, kind + "\x0f" + front, kind + word, kind + "\x07" + word.casefold(), kind + shape(word)
 
 
-def _observe(batches):
-    """Counts of certain events by bucket, and open runs by their words."""
+def _inside_word(token: str) -> str:
+    """A token of a masked text as right_word gives it: what opens before it, and the word."""
+    front = '"' if token[0] in "\"'“„«" else "(" if token[0] in "([" else ""
+    word = _FRONT.sub("", token) or token
+    if _NO_SPACES.match(word) or "฀" <= word[0] < "຀":
+        return front + word[:2]
+    if cjk := _NO_SPACES.search(word):
+        word = word[: cjk.start()]
+    return front + _norm(_BACK.sub("", word) or word)
+
+
+_PARSED = "key string, n double, row_id string, doc_id bigint, pieces array<int>, runs array<string>"
+
+
+def _pieces(text: str, found: list[tuple[int, int, Gaps]]) -> tuple[list[int], list[str]]:
+    """What lies between possible ends, as (start, end, run, place) in one list, and runs by their words.
+
+    Pieces are trimmed; start and end are equal for blank ones. A piece begins at an open gap of a run, or, with run -1, at a certain end.
+    """
+    pieces, runs = [], []
+    for start, end, g in found:
+        at = [(start, -1, -1), *((e, -1, -1) for e in g.sure)]
+        for first, run in g.runs:
+            at += [(gap[0], len(runs), k) for k, gap in enumerate(run)]
+            runs.append("\x1f".join([str(int(first)), *(x for gap in run for x in gap[1:])]))
+        at.sort()
+        for (a, run, k), (e, *_) in zip(at, [*at[1:], (end,)], strict=True):
+            part = text[a:e]
+            bare = part.strip()
+            a += len(part) - len(part.lstrip()) if bare else 0
+            pieces += (a, a + len(bare), run, k)
+    return pieces, runs
+
+
+def _parse(batches):
+    """Counts of certain events by key, and each text's pieces and open runs."""
     import pyarrow as pa
 
-    table, runs = np.zeros(TABLE, np.float64), Counter()
+    task, n_texts = uuid4().hex, 0
     inside, seen, rights, kinds = Counter(), Counter(), Counter(), Counter()
+    kind = pa.schema([("key", pa.string()), ("n", pa.float64()), ("row_id", pa.string()), ("doc_id", pa.int64()), ("pieces", pa.list_(pa.int32())), ("runs", pa.list_(pa.string()))])
 
-    def flush_words():
+    def counted():
+        keys = Counter()
         for word, n in inside.items():
-            if not word:
-                continue
-            front = '"' if word[0] in "\"'“„«" else "(" if word[0] in "([" else ""
-            for key in _word_keys("W", front + _norm(_BACK.sub("", _FRONT.sub("", word)) or word)):
-                _add(table, key, n)
-        inside.clear()
-
-    def out(buckets, values, names):
-        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.float64())], names=["bucket", "run", "n"])
-
-    def flush_runs():
-        return out([None] * len(runs), list(runs.values()), list(runs))
+            for key in _word_keys("W", _inside_word(word)) if word else ():
+                keys[key] += n
+        for what, words in (("S", seen), ("Z", seen), ("R", rights)):
+            for x, n in words.items():
+                for key in _word_keys(what, x):
+                    keys[key] += n
+        for (what, first, left), n in kinds.items():
+            for key in _event_keys(first, left):
+                keys[what + key] += n
+        for x in (inside, seen, rights, kinds):
+            x.clear()
+        none = [None] * len(keys)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([list(keys), list(keys.values()), none, none, none, none], kind.types, strict=True)], schema=kind)
 
     for b in batches:
-        for text in b.column("text").to_pylist():
-            for start, end, g in gaps(text):
-                inside.update(text[start:end].split())
+        ids, docs, pieces, runs = [], [], [], []
+        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            found = gaps(text)
+            for start, end, g in found:
+                inside.update(text[start : end - len(g.masked)].split())
+                inside.update(g.masked.split())
                 for x in g.starts:
                     seen[x] += 1
+                    inside[_opener(x.lstrip(CASELESS))[1].split(" ")[0]] -= 1
                 if g.end:
                     kinds[("E", *g.end)] += 1
                 for first, run in g.runs:
@@ -462,70 +497,175 @@ def _observe(batches):
                         kinds[("O", first and k == 0, left)] += 1
                         inside[_opener(right.lstrip(CASELESS))[1].split(" ")[0]] -= 1
                         rights[right] += 1
-                    runs["\x1f".join([str(int(first)), *(x for gap in run for x in gap[1:])])] += 1
-            if len(inside) > 200_000:
-                flush_words()
-            if len(runs) > 100_000:
-                yield flush_runs()
-                runs.clear()
-    for x in seen:
-        inside[_opener(x.lstrip(CASELESS))[1].split(" ")[0]] -= seen[x]
-    flush_words()
-    for kind, words in (("S", seen), ("Z", seen), ("R", rights)):
-        for x, n in words.items():
-            for key in _word_keys(kind, x):
-                _add(table, key, n)
-    for (kind, first, left), n in kinds.items():
-        for key in _event_keys(first, left):
-            _add(table, kind + key, n)
-    yield flush_runs()
-    at = np.flatnonzero(table)
-    yield out(at.astype(np.int32), table[at], [None] * len(at))
-
-
-def _expect(shared):
+            cut_up, open_runs = _pieces(text, found)
+            n_texts += 1
+            ids.append(f"{task}{n_texts:x}")
+            docs.append(doc)
+            pieces.append(cut_up)
+            runs.append(open_runs)
+            if len(inside) + len(seen) + len(rights) + len(kinds) > FLUSH:
+                yield counted()
+        none = [None] * len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([none, none, ids, docs, pieces, runs], kind.types, strict=True)], schema=kind)
+    yield counted()
+
+
+def _split(run: str) -> tuple[bool, list[tuple[str, str]]]:
+    first, *words = run.split("\x1f")
+    return first == "1", list(zip(words[::2], words[1::2], strict=True))
+
+
+class _Asked(dict):
+    """Counts that note which keys are asked for."""
+
+    def get(self, key, default=None):
+        self[key] = None
+        return default
+
+
+def _ask(batches):
+    """The keys but FIXED that the model asks for in each run."""
+    import pyarrow as pa
+
+    fixed = set(FIXED)
+    for b in batches:
+        ids, keys = [], []
+        for i, run in zip(b.column("run_id").to_pylist(), b.column("run").to_pylist(), strict=True):
+            model = Model({})
+            model.counts = _Asked()
+            model.posteriors(*_split(run))
+            asked = [k for k in model.counts if k not in fixed]
+            ids += [i] * len(asked)
+            keys += asked
+            if len(keys) > FLUSH:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.string())], names=["run_id", "key"])
+                ids, keys = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.string())], names=["run_id", "key"])
+
+
+def _judged(batch, model: Model, fixed: dict[str, float]) -> Iterator[tuple]:
+    """(run_id, n, gaps, posteriors) of runs with their counts."""
+    columns = [batch.column(c).to_pylist() for c in ("run_id", "run", "n", "keys", "counts")]
+    for i, run, n, keys, counts in zip(*columns, strict=True):
+        model.counts = {**fixed, **dict(zip(keys or (), counts or (), strict=True))}
+        first, gaps = _split(run)
+        yield i, n, gaps, model.posteriors(first, gaps)
+
+
+def _expect(fixed: dict[str, float]):
     """Expected counts of open runs under the model so far."""
 
     def run(batches):
         import pyarrow as pa
 
-        model, table = Model(shared.value), np.zeros(TABLE, np.float64)
+        model, sums = Model(fixed), Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], names=["key", "n"])
+
         for b in batches:
-            for text, n in zip(b.column("run").to_pylist(), b.column("n").to_pylist(), strict=True):
-                first, *words = text.split("\x1f")
-                gaps = list(zip(words[::2], words[1::2], strict=True))
-                for (left, right), p in zip(gaps, model.posteriors(first == "1", gaps), strict=True):
+            for _, n, gaps, found in _judged(b, model, fixed):
+                for (left, right), p in zip(gaps, found, strict=True):
                     for key in _word_keys("S", right):
-                        _add(table, key, n * p)
+                        sums[key] += n * p
                     if p < 0.5:  # a pair is learnt from gaps that are rather none, else it would confirm itself
-                        _add(table, f"P{left}\t{right}", n * (1 - p))
-                        _add(table, "L" + left, n * (1 - p))
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=["bucket", "n"])
+                        sums[f"P{left}\t{right}"] += n * (1 - p)
+                        sums["L" + left] += n * (1 - p)
+                if len(sums) > FLUSH:
+                    yield out()
+                    sums.clear()
+        yield out()
 
     return run
 
 
-def _collected(df: DataFrame) -> np.ndarray:
-    """The table of at most TABLE sums."""
-    x = df.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(TABLE, np.float64)
-    out[x.column("bucket").to_numpy()] = x.column("n").to_numpy()
-    return out
+def _decide(fixed: dict[str, float]):
+    """Of each run, a 1 for every gap that is a boundary, else a 0."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = Model(fixed)
+        for b in batches:
+            found = [(i, "".join("01"[p >= 0.5] for p in ps)) for i, _, _, ps in _judged(b, model, fixed)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["run_id", "ends"])
+
+    return run
 
 
-def train(documents: DataFrame) -> np.ndarray:
-    """The model's table, from all texts."""
-    seen = documents.select("text").where("text is not null").mapInArrow(_observe, "bucket int, run string, n double")
-    seen = cut(seen.groupBy("bucket", "run").agg(F.sum("n").alias("n")))
-    base = _collected(seen.where("bucket is not null").select("bucket", "n"))
-    np.maximum(base, 0, out=base)
-    runs = seen.where("run is not null").select("run", "n")
-    sc, table = documents.sparkSession.sparkContext, base
-    for _ in range(ROUNDS):
-        shared = sc.broadcast(table.astype(np.float32))
-        table = base + _collected(runs.mapInArrow(_expect(shared), "bucket int, n double"))
-    return table.astype(np.float32)
+def _assemble(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        docs, starts, ends = [], [], []
+        for doc, pieces, at, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "pieces", "at", "ends")), strict=True):
+            decided, begin, last = dict(zip(at or (), found or (), strict=True)), -1, -1
+            for a, e, run, k in [*zip(*[iter(pieces)] * 4, strict=True), (0, 0, -1, -1)]:
+                if begin >= 0 and (run < 0 or decided[run][k] == "1"):
+                    docs.append(doc)
+                    starts.append(begin)
+                    ends.append(last)
+                    begin = -1
+                if a < e:
+                    begin, last = a if begin < 0 else begin, e
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, starts, ends)], names=["doc_id", "start_pos", "end_pos"])
+
+
+class _Corpus:
+    """Texts read once: base (key, n) counts of certain events, texts with pieces and runs, distinct runs, the keys they ask for."""
+
+    def __init__(self, documents: DataFrame):
+        parsed = cut(documents.select("doc_id", "text").where("text is not null").mapInArrow(_parse, _PARSED))
+        base = parsed.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"))
+        self.base = base.where("n > 0")
+        self.texts = parsed.where("row_id is not null").select("row_id", "doc_id", "pieces", "runs")
+        runs = self.texts.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        self.runs = cut(runs.select(F.md5("run").alias("run_id"), "run", "n"))
+        self.asked = cut(self.runs.select("run_id", "run").mapInArrow(_ask, "run_id string, key string"))
+
+    def wanted(self, counts: DataFrame) -> DataFrame:
+        """Counts of FIXED keys and of those that runs ask for."""
+        spark = counts.sparkSession
+        keys = self.asked.select(F.col("key").alias("__k")).distinct().unionByName(spark.createDataFrame([(k,) for k in FIXED], "__k string"))
+        return cut(counts.join(keys, F.col("key") == F.col("__k"), "left_semi").select("key", "n"))
+
+    def judge(self, counts: DataFrame, by, schema: str) -> DataFrame:
+        """What `by` of the counts of the FIXED keys makes of the runs with the counts they ask for."""
+        fixed = {r.key: r.n for r in counts.where(F.col("key").isin(FIXED)).collect()}
+        found = lookup(self.asked, "key", counts, "key", "n", "n", self.asked.n_rows)
+        found = found.groupBy("run_id").agg(F.collect_list(F.struct("key", "n")).alias("c")).select(F.col("run_id").alias("__r"), F.col("c.key").alias("keys"), F.col("c.n").alias("counts"))
+        runs = self.runs.join(found, F.col("run_id") == F.col("__r"), "left").drop("__r")
+        return runs.mapInArrow(by(fixed), schema)
+
+    def fit(self, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Counts that runs ask for, by expectation-maximization from those of certain events, and what it has added to them."""
+        counts = base
+        for _ in range(ROUNDS):
+            before, added = counts, cut(self.judge(counts, _expect, "key string, n double").groupBy("key").agg(F.sum("n").alias("n")))
+            counts = cut(_sum(base, added))
+            if before is not base:
+                drop(before)
+        return counts, added
+
+    def units(self, counts: DataFrame) -> DataFrame:
+        decided = cut(self.judge(counts, _decide, "run_id string, ends string"))
+        open_runs = self.texts.where(F.size("runs") > 0).select("row_id", F.posexplode("runs").alias("at", "run"))
+        open_runs = cut(open_runs.select("row_id", "at", F.md5("run").alias("run_id")))
+        ends = lookup(open_runs, "run_id", decided, "run_id", "ends", "ends", open_runs.n_rows)
+        ends = ends.groupBy("row_id").agg(F.collect_list(F.struct("at", "ends")).alias("c")).select(F.col("row_id").alias("__r"), F.col("c.at").alias("at"), F.col("c.ends").alias("ends"))
+        whole = self.texts.where(F.size("runs") == 0).select("doc_id", "pieces", F.expr("cast(null as array<int>)").alias("at"), F.expr("cast(null as array<string>)").alias("ends"))
+        parted = self.texts.where(F.size("runs") > 0).join(ends, F.col("row_id") == F.col("__r")).select("doc_id", "pieces", "at", "ends")
+        return whole.unionByName(parted).mapInArrow(_assemble, "doc_id bigint, start_pos bigint, end_pos bigint")
+
+
+def _sum(x: DataFrame, y: DataFrame) -> DataFrame:
+    return x.unionByName(y).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def train(documents: DataFrame) -> DataFrame:
+    """The model's counts (key, n), from all texts."""
+    corpus = _Corpus(documents)
+    return cut(_sum(corpus.base, corpus.fit(corpus.wanted(corpus.base))[1]))
 
 
 def units(text: str, model: Model) -> list[tuple[int, int]]:
@@ -545,27 +685,11 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-def _decode(shared):
-    def run(batches):
-        import pyarrow as pa
-
-        model = Model(shared.value)
-        for b in batches:
-            docs, starts, ends = [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for a, e in units(text, model):
-                    docs.append(doc)
-                    starts.append(a)
-                    ends.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, starts, ends)], names=["doc_id", "start_pos", "end_pos"])
-
-    return run
-
-
-def sentences(documents: DataFrame, table: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, start_pos, end_pos): one row a sentence unit of every text; without a table, one is trained on them first.
+def sentences(documents: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """(doc_id, start_pos, end_pos): one row a sentence unit of every text; without a table of counts, one is trained on them first.
 
     Null, empty and blank texts have no units; repeated rows give repeated units; other columns are ignored.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(train(documents) if table is None else table)
-    return documents.select("doc_id", "text").where("text is not null").mapInArrow(_decode(shared), "doc_id bigint, start_pos bigint, end_pos bigint")
+    corpus = _Corpus(documents)
+    counts = corpus.wanted(corpus.base if table is None else table)
+    return corpus.units(corpus.fit(counts)[0] if table is None else counts)

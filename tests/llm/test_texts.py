@@ -109,3 +109,13 @@ def test_hard_texts(spark, model):
     d = spark.createDataFrame([(1, TWO), (1, TWO), (2, None), (3, ""), (4, " ")], "doc_id bigint, text string")
     assert rows(sentences.sentences(d, model.table)) == [(1, 0, 17)] * 2 + [(1, 18, 35)] * 2
     assert sentences.sentences(d.limit(0)).isEmpty()
+
+
+def test_counts_are_exact(spark):
+    """With more words than a table of fixed size holds apart, each was seen once; addresses, code and unspaced text are few words."""
+    words = "array_join(transform(sequence(1, 3000), x -> translate('w' || id || 'x' || x, '0123456789', 'abcdefghij')), ' ')"
+    d = spark.range(200).selectExpr("id as doc_id", f"'so ' || {words} || ' see https://a.example/' || id || ' and `c' || id || '` 我们用了它' || id || ' so' as text")
+    counts = sentences.train(d)
+    asked = ["Wwhxj", "Wwbjjxdaaa", "Wwunseen", "Wsee", "W我们"]
+    assert {r.key: r.n for r in counts.where(counts.key.isin(asked)).collect()} == {"Wwhxj": 1, "Wwbjjxdaaa": 1, "Wsee": 200, "W我们": 200}
+    assert counts.where("key like 'W%a.example%' or key like 'W%我们用%'").isEmpty()
