@@ -271,13 +271,22 @@ def sp_depths(s: SparkSession, d: str) -> DataFrame:
     return _depths(select.spread(graphs.geo(s, d).network, _ids(s, "r0")))
 
 
-def sp_layers(s: SparkSession, d: str) -> DataFrame:
-    """Layer sizes over the supply graph from s0, as the callback sees them."""
+def _layers(s: SparkSession, d: str, max_depth: int | None) -> DataFrame:
     seen: list[tuple[int, int]] = []
-    select.spread(graphs.supply(s, d).network, _ids(s, "s0"), lambda layer: seen.append((layer.depth, layer.nodes.count())), max_depth=6)
+    select.spread(graphs.supply(s, d).network, _ids(s, "s0"), lambda layer: seen.append((layer.depth, layer.nodes.count())), max_depth=max_depth)
     return s.createDataFrame(seen, "depth int, n_nodes bigint")
 
 
+def sp_layers(s: SparkSession, d: str) -> DataFrame:
+    """Layer sizes over the supply graph from s0, as the callback sees them; to depth 6, as its SQL."""
+    return _layers(s, d, 6)
+
+
+def sp_all_layers(s: SparkSession, d: str) -> DataFrame:
+    """sp_layers to the end of the spread, with the last layer without nodes if edges are left for it."""
+    return _layers(s, d, None)
+
+
 def sp_multi_seed(s: SparkSession, d: str) -> DataFrame:
     return _depths(select.spread(graphs.geo(s, d).network, _ids(s, "n0", "n1", "s2", "none")))
 
@@ -287,7 +296,16 @@ def sp_maxdepth(s: SparkSession, d: str) -> DataFrame:
 
 
 def sp_paths(s: SparkSession, d: str) -> DataFrame:
-    found = [layer.path for layer in select.spread_layers(graphs.supply(s, d).network, _ids(s, "s0"), keep_path=True, max_depth=4) if layer.path is not None]
+    return _parents(s, d, 4)
+
+
+def sp_all_paths(s: SparkSession, d: str) -> DataFrame:
+    """sp_paths to the end of the spread."""
+    return _parents(s, d, None)
+
+
+def _parents(s: SparkSession, d: str, max_depth: int | None) -> DataFrame:
+    found = [layer.path for layer in select.spread_layers(graphs.supply(s, d).network, _ids(s, "s0"), keep_path=True, max_depth=max_depth) if layer.path is not None]
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -304,7 +322,16 @@ def sp_no_same_depth(s: SparkSession, d: str) -> DataFrame:
 
 def sp_tree_edges(s: SparkSession, d: str) -> DataFrame:
     """Edges that lead to a node not reached before."""
-    state = select.spread(graphs.supply(s, d).network, _ids(s, "s0"), max_depth=4, exclude_same_depth_edges=True)
+    return _tree_edges(s, d, 4)
+
+
+def sp_all_tree_edges(s: SparkSession, d: str) -> DataFrame:
+    """sp_tree_edges to the end of the spread."""
+    return _tree_edges(s, d, None)
+
+
+def _tree_edges(s: SparkSession, d: str, max_depth: int | None) -> DataFrame:
+    state = select.spread(graphs.supply(s, d).network, _ids(s, "s0"), max_depth=max_depth, exclude_same_depth_edges=True)
     return state.visited_edges.select("edge_id", "depth")
 
 
@@ -312,6 +339,11 @@ def sp_overlap(s: SparkSession, d: str) -> DataFrame:
     return select.overlap(select.spread(graphs.supply(s, d).network, _ids(s, "s0", "s1", "s2"), by_source=True, max_depth=3))
 
 
+def sp_all_overlap(s: SparkSession, d: str) -> DataFrame:
+    """sp_overlap to the end of the spread."""
+    return select.overlap(select.spread(graphs.supply(s, d).network, _ids(s, "s0", "s1", "s2"), by_source=True))
+
+
 def sp_stop(s: SparkSession, d: str) -> DataFrame:
     """Stopped at layer 2: layers seen until then; the state is empty afterwards."""
     seen: list[tuple[int, int]] = []
@@ -326,7 +358,7 @@ def sp_stop(s: SparkSession, d: str) -> DataFrame:
 
 def sp_chunked(s: SparkSession, d: str) -> DataFrame:
     """Parts of at most 20 nodes expanded at once: sizes of the parts' results."""
-    seen = [(k, x.depth, x.nodes.count()) for k, x in enumerate(select.spread_layers(graphs.supply(s, d).network, _ids(s, "s0"), max_nodes_per_execution=20, max_depth=3))]
+    seen = [(k, x.depth, x.nodes.count()) for k, x in enumerate(select.spread_layers(graphs.supply(s, d).network, _ids(s, "s0"), max_nodes_per_execution=20))]
     return s.createDataFrame(seen, "part int, depth int, n_nodes bigint")
 
 
