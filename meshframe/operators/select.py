@@ -47,6 +47,9 @@ class SpreadState:
     #: Numbers of the earlier spreads that this one has cancelled, and (node) where they may not spread any more.
     cancelled: set[int] = field(default_factory=set)
     overridden: DataFrame | None = None
+    #: What other spreads have done to this one: ended it, or taken nodes (node) over that it may not expand any more.
+    ended: bool = False
+    taken: DataFrame | None = None
 
 
 def _union(x: DataFrame | None, y: DataFrame) -> DataFrame:
@@ -76,9 +79,11 @@ def spread_layers(
     reaches it. max_nodes_per_execution cuts a layer into parts by node id that share their depth. `toward` keeps
     candidates (source, node, parent, edge_id) for which its Column is true.
 
-    layers and priority: BLENDS ignores earlier spreads; OVERRIDES notes in state.overridden where they may not go on;
-    TERMINATES takes no node of theirs; COMPLETELY_TERMINATES ends with the layer that meets one; TERMINATES_OTHERS
-    notes the numbers of the spreads that it meets in state.cancelled.
+    layers and priority: BLENDS ignores earlier spreads; OVERRIDES takes over the nodes of theirs that it reaches, where they
+    may not go on (state.overridden, and `taken` of their states); TERMINATES takes no node of theirs; COMPLETELY_TERMINATES
+    ends with the layer that meets one; TERMINATES_OTHERS ends the spreads that it meets (their numbers in `layers` are in
+    state.cancelled). Every round looks at what the others have visited by then, so they may run in lock step; a spread
+    that has been ended, or whose nodes were taken, heeds it from its next round on.
 
     A round is a join of the frontier with the adjacency, in which frontier nodes are distinct and hubs are split
     (see lookup), and an anti join with what is visited; its result is written, so rounds don't grow the plan.
@@ -89,12 +94,7 @@ def spread_layers(
     first = first.join(net.nodes.select(F.col("id").alias("__id")), F.col("node") == F.col("__id"), "left_semi")
     source = F.col("node") if by_source else F.lit("*")
     frontier = cut(first.select(source.alias("source"), "node"))
-    others, owners = None, []
-    if layers and priority != LayerPriority.BLENDS:
-        owners = [s.visited_nodes.select("node").distinct() for s in layers if s.visited_nodes is not None]
-        for o in owners:
-            others = o if others is None else others.unionByName(o)
-        others = others.distinct() if others is not None else None
+    layered = bool(layers) and priority != LayerPriority.BLENDS
     visited = frontier.withColumn("depth", F.lit(0))
     edges_seen: DataFrame | None = None
     state.visited_nodes, state.visited_edges = visited, edges_seen
@@ -102,8 +102,14 @@ def spread_layers(
         return
     yield Layer(0, frontier, None, None)
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while (max_depth is None or depth < max_depth) and not state.ended:
+        owners = {k: x.visited_nodes.select("node").distinct() for k, x in enumerate(layers) if x.visited_nodes is not None} if layered else {}
+        others = None
+        for o in owners.values():
+            others = _union(others, o)
         f = frontier.select(F.col("source").alias("__s"), F.col("node").alias("__n"))
+        if state.taken is not None:
+            f = f.join(state.taken.select(F.col("node").alias("__o")), F.col("__n") == F.col("__o"), "left_anti")
         reach = f.join(adj, F.col("__n") == F.col("node")).select(F.col("__s").alias("source"), "node", "nbr", "edge_id", "dir")
         seen = visited.select(F.col("source").alias("__s"), F.col("node").alias("__n"), F.col("depth").alias("nbr_depth"))
         reach = reach.join(seen, (F.col("source") == F.col("__s")) & (F.col("nbr") == F.col("__n")), "left").drop("__s", "__n")
@@ -132,14 +138,21 @@ def spread_layers(
             visited, edges_seen = cut(visited), cut(edges_seen)
         state.visited_nodes, state.visited_edges = visited, edges_seen
         met = False
-        if others is not None and not empty:
-            hit = nodes.join(others.select(F.col("node").alias("__o")), F.col("node") == F.col("__o"), "left_semi")
+        if others is not None:
+            mine = visited.where("depth > 0").select("node")  # all, as the others may have come later to what was visited before
             if priority == LayerPriority.COMPLETELY_TERMINATES:
-                met = not hit.isEmpty()
+                met = not mine.join(others, "node", "left_semi").isEmpty()
             elif priority == LayerPriority.TERMINATES_OTHERS:
-                state.cancelled |= {k for k, o in enumerate(owners) if not nodes.join(o, "node", "left_semi").isEmpty()}
+                for k in owners.keys() - state.cancelled:
+                    if not mine.join(owners[k], "node", "left_semi").isEmpty():
+                        state.cancelled.add(k)
+                        layers[k].ended = True
             elif priority == LayerPriority.OVERRIDES:
-                state.overridden = hit.select("node").distinct() if state.overridden is None else state.overridden.unionByName(hit.select("node")).distinct()
+                for k, o in owners.items():
+                    hit = cut(mine.join(o, "node", "left_semi").distinct())
+                    if hit.n_rows:
+                        layers[k].taken = cut(_union(layers[k].taken, hit).distinct())
+                        state.overridden = cut(_union(state.overridden, hit).distinct())
         path = new if keep_path else None
         if max_nodes_per_execution is None or empty:
             yield Layer(depth, nodes, edges.drop("by"), path)

@@ -399,6 +399,23 @@ def sp_waits(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(i, k, x.depth, x.nodes.count()) for i, (k, x) in enumerate(steps)], "turn int, spread int, depth int, n_nodes bigint")
 
 
+def _layered_steps(s: SparkSession, d: str, priority: LayerPriority) -> DataFrame:
+    """A spread from s1 in lock step with one from s0 that is layered over it, both to their end."""
+    net, first = graphs.supply(s, d).network, select.SpreadState()
+    steps = select.in_lock_step(select.spread_layers(net, _ids(s, "s1"), state=first), select.spread_layers(net, _ids(s, "s0"), layers=[first], priority=priority))
+    return s.createDataFrame([(i, k, x.depth, x.nodes.count()) for i, (k, x) in enumerate(steps)], "turn int, spread int, depth int, n_nodes bigint")
+
+
+def sp_waits_overrides(s: SparkSession, d: str) -> DataFrame:
+    """The second spread takes over nodes that the first, still running, may not expand any more."""
+    return _layered_steps(s, d, LayerPriority.OVERRIDES)
+
+
+def sp_waits_others(s: SparkSession, d: str) -> DataFrame:
+    """The second spread ends the first, still running, where it meets it."""
+    return _layered_steps(s, d, LayerPriority.TERMINATES_OTHERS)
+
+
 def sh_connection_nodes(s: SparkSession, d: str) -> DataFrame:
     return select.shared_connection(graphs.trade(s, d).network, _ids(s, "s0", "s1"), 1)[0]
 

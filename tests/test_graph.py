@@ -153,3 +153,24 @@ def test_spreads_to_the_end(spark):
     assert rows(catalog.sp_all_overlap(spark, tables)) == sorted(((x, k) for x, k in n.items() if k > 1), key=repr)
     parts = catalog.sp_chunked(spark, tables).collect()
     assert sum(r.n_nodes for r in parts) == len(d) and max(r.depth for r in parts) >= max(d.values())
+
+
+def test_layered_in_lock_step(spark):
+    """Two spreads over a chain 0 - 1 - ... - 9, from 0 and from 6: they meet while both still run."""
+    nodes = spark.createDataFrame([(str(i),) for i in range(10)], "id string")
+    edges = spark.createDataFrame([(f"e{i}", str(i), str(i + 1)) for i in range(9)], "id string, a string, b string")
+    chain = make_network(nodes, edges, node_id="id", edge_id="id", edge_a="a", edge_b="b", node_order=["id"], edge_order=["id"]).network
+
+    def run(priority):
+        one, two = select.SpreadState(), select.SpreadState()
+        steps = select.in_lock_step(select.spread_layers(chain, ids(spark, "0"), state=one), select.spread_layers(chain, ids(spark, "6"), state=two, layers=[one], priority=priority))
+        assert max(k for k, _ in steps) == 1
+        return one, two, *(["".join(sorted(r.node for r in x.visited_nodes.collect())) for x in (one, two)])
+
+    assert run(LayerPriority.BLENDS)[2:] == ("0123456789",) * 2
+    one, two, a, b = run(LayerPriority.TERMINATES_OTHERS)  # both reach 3 in their third round
+    assert (one.ended, two.cancelled, a, b) == (True, {0}, "0123", "0123456789")
+    one, two, a, b = run(LayerPriority.OVERRIDES)
+    assert (a, b) == ("0123", "0123456789") and sorted(r.node for r in two.overridden.collect()) == list("0123")
+    assert run(LayerPriority.TERMINATES)[2:] == ("0123456789", "456789")
+    assert run(LayerPriority.COMPLETELY_TERMINATES)[3] == "3456789"
