@@ -104,13 +104,13 @@ def _enclosures(s: str) -> list[tuple[int, int]]:
     return out
 
 
-def _norm(token: str) -> str:
-    """A word as the model knows it: digits as one 0, code and addresses as one letter, cut to 24 characters."""
+def _norm(token: str, size: int = 24) -> str:
+    """A word as the model knows it: digits as one 0, code and addresses as one letter, cut to `size` characters."""
     if token.isalpha() and CODE not in token and URL not in token:
-        return token[:24]
+        return token[:size]
     x = _DIGITS.sub("0", _INVISIBLE.sub("", token))
     x = re.sub(f"{CODE}+", CODE, x)
-    return re.sub(f"{URL}+", URL, x)[:24]
+    return re.sub(f"{URL}+", URL, x)[:size]
 
 
 def _vague(token: str) -> bool:
@@ -298,7 +298,7 @@ class Gaps:
         if _NO_SPACES.match(s, i - 1):
             return "\x02" + m.group()[-1]
         k = self._left_at(s, i)
-        word = _norm(_FRONT.sub("", s[k : m.end()]) or s[k : m.end()])
+        word = _norm(_FRONT.sub("", s[k : m.start()]) or s[k : m.start()], 48) + _norm(m.group())  # the mark stays whatever is cut
         return word.casefold() if self.caseless else word
 
 

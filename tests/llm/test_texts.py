@@ -119,3 +119,10 @@ def test_counts_are_exact(spark):
     asked = ["Wwhxj", "Wwbjjxdaaa", "Wwunseen", "Wsee", "W我们"]
     assert {r.key: r.n for r in counts.where(counts.key.isin(asked)).collect()} == {"Wwhxj": 1, "Wwbjjxdaaa": 1, "Wsee": 200, "W我们": 200}
     assert counts.where("key like 'W%a.example%' or key like 'W%我们用%'").isEmpty()
+
+
+def test_long_left_words():
+    """The mark stays, and words that share 24 characters are two."""
+    one, two = ("Donaudampfschifffahrtsgesell" + x for x in ("schaft.", "en."))
+    lefts = [g.runs[0][1][0][1] for w in (one, two) for _, _, g in sentences.gaps(f"Die {w} Das ist neu.")]
+    assert lefts == [one, two] and {sentences.left_class(x) for x in lefts} == {"\x03.C"}
