@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 from uuid import uuid4
 
@@ -35,8 +35,6 @@ K_WORD, K_PAIR, K_EVENT, K_CLASS = 2.0, 3.0, 4.0, 0.05
 RARE = 1e-4
 #: Share of words that are new to a distribution; the same for all, else small ones would attract new words.
 NEW = 0.001
-#: Depth of quotations and parentheses, beyond which an opening mark encloses nothing.
-DEEPEST = 32
 
 #: Marks that end a sentence wherever they stand, marks that may, and what can close behind a mark.
 SURE = "。！？｡؟።፧।॥۔"
@@ -82,25 +80,35 @@ def _mask(text: str) -> str:
 
 def _enclosures(s: str) -> list[tuple[int, int]]:
     """Matched quotations and parentheses (open, close) of a block; marks without a partner enclose nothing."""
-    out, stack = [], []
+    out, stack, places = [], [], defaultdict(list)  # places: by closing mark, where in the stack it has a partner
+
+    def opens(i: int, closers: str) -> None:
+        for x in closers:
+            places[x].append(len(stack))
+        stack.append((i, closers))
+
+    def close(k: int, i: int) -> None:
+        out.append((stack[k][0], i))
+        while len(stack) > k:
+            for x in stack.pop()[1]:
+                places[x].pop()
+
     for m in _QUOTES.finditer(s):
         c, i = m.group(), m.start()
         before, after = s[i - 1 : i], s[i + 1 : i + 2]
-        closes = next((k for k in range(len(stack) - 1, -1, -1) if c in stack[k][1]), None)
+        closes = places[c][-1] if places[c] else None
         if c in "\"'":
             opening = (not before or before.isspace() or before in "([（“„«¿¡—*_-") and after and not after.isspace()
             if c == "'" and not (opening and (after.isalnum() or after in "\"¿¡" + CODE)) and (closes is None or after.isalnum() or before.isspace()):
                 continue
             if closes is not None and not (opening and c == "'" and False) and not (before.isspace() and opening):
-                out.append((stack[closes][0], i))
-                del stack[closes:]
-            elif (opening or (closes is None and _NO_SPACES.match(after))) and len(stack) < DEEPEST:
-                stack.append((i, c))
+                close(closes, i)
+            elif opening or (closes is None and _NO_SPACES.match(after)):
+                opens(i, c)
         elif closes is not None:
-            out.append((stack[closes][0], i))
-            del stack[closes:]
-        elif c in PAIRS and len(stack) < DEEPEST and c not in "’”" and not (c == "»" and before and not before.isspace()):
-            stack.append((i, PAIRS[c]))
+            close(closes, i)
+        elif c in PAIRS and c not in "’”" and not (c == "»" and before and not before.isspace()):
+            opens(i, PAIRS[c])
     return out
 
 

@@ -126,3 +126,10 @@ def test_long_left_words():
     one, two = ("Donaudampfschifffahrtsgesell" + x for x in ("schaft.", "en."))
     lefts = [g.runs[0][1][0][1] for w in (one, two) for _, _, g in sentences.gaps(f"Die {w} Das ist neu.")]
     assert lefts == [one, two] and {sentences.left_class(x) for x in lefts} == {"\x03.C"}
+
+
+def test_deep_enclosures():
+    """Marks that never close don't stop later ones from enclosing."""
+    text = "( " * 40 + "He said «it is done. It is new» then."
+    assert sentences._enclosures(text) == [(text.index("«"), text.index("»"))]
+    assert len(sentences._enclosures("(" * 5000 + ")" * 5000)) == 5000
