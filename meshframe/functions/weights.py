@@ -23,32 +23,66 @@ def is_scalar(kind: T.DataType) -> bool:
     return not isinstance(kind, T.ArrayType)
 
 
-def combine(rows: DataFrame, mode: ValueMode, value: str, scalar: str) -> DataFrame:
-    """(id, value, scalar) of each id in rows (id, ord, value, scalar), combined in order of ord.
+def merged(rows: DataFrame, mode: ValueMode, channels: list[tuple[str, str]], aggs: list[Column]) -> DataFrame:
+    """(id, aggs..., value, scalar of each channel): rows (id, ord, ...) of an id combined in order of ord, in one pass.
 
-    Rows whose value is null or an empty list don't take part: what is missing never overwrites. ids without any value
-    are absent from the result.
+    aggs are aggregations of the rows by id. A channel is a pair (value, scalar); rows whose value is null or an empty list
+    don't take part in it: what is missing never overwrites, and a channel without any value is null.
 
     NONE: the last value. OVERRIDE: a number replaces all before it and is replaced by a list after it; a list overrides
     slot by slot where it isn't null. CONCAT: all values one after another, nulls stripped, always a list when several
-    rows contribute. NONE and OVERRIDE keep partial results only, whatever the size of a group; the result of CONCAT has
-    every value of an id by definition.
+    rows contribute. NONE and OVERRIDE keep partial results only, whatever the size of a group: OVERRIDE groups by slot
+    before it groups by id. The result of CONCAT has every value of an id by definition.
     """
-    x = rows.where(F.size(value) > 0).select("id", "ord", F.col(value).alias("v"), F.col(scalar).alias("s"))
-    if mode == ValueMode.NONE:
-        return x.groupBy("id").agg(F.max_by(F.struct("v", "s"), "ord").alias("b")).select("id", F.col("b.v").alias(value), F.col("b.s").alias(scalar))
-    if mode == ValueMode.CONCAT:
-        every = F.array_sort(F.collect_list(F.struct("ord", "v")))
-        out = x.groupBy("id").agg(F.flatten(F.transform(every, lambda r: r["v"])).alias("v"), (F.count(F.lit(1)) == 1).alias("one"), F.first("s").alias("s"))
-        return out.select("id", F.filter("v", lambda w: w.isNotNull()).alias(value), (F.col("one") & F.col("s")).alias(scalar))
-    slots = x.select("id", "ord", "s", F.posexplode("v").alias("pos", "w")).withColumn("pos", F.when(F.col("s"), F.lit(-1)).otherwise(F.col("pos")))
-    # one row a slot of an id: the last list that reaches it, and the last number in it (a number is slot -1)
-    slots = slots.groupBy("id", "pos").agg(F.max("ord").alias("reached"), F.max_by(F.struct("ord", "w"), F.when(F.col("w").isNotNull(), F.col("ord"))).alias("w"))
-    all_slots = F.array_sort(F.collect_list(F.struct("pos", "reached", "w")))
-    out = slots.groupBy("id").agg(all_slots.alias("a"), F.max(F.when(F.col("pos") < 0, F.col("reached"))).alias("number_at"), F.max(F.when(F.col("pos") >= 0, F.col("reached"))).alias("list_at"))
-    after = lambda o: F.col("number_at").isNull() | (o > F.col("number_at"))
-    lists = F.filter("a", lambda r: (r["pos"] >= 0) & after(r["reached"]))
-    taken = F.transform(lists, lambda r: F.when(after(r["w"]["ord"]), r["w"]["w"]))
-    number = F.filter("a", lambda r: r["pos"] < 0)
-    ends_scalar = F.coalesce(F.col("number_at") > F.col("list_at"), F.col("number_at").isNotNull())
-    return out.select("id", F.when(ends_scalar, F.transform(number, lambda r: r["w"]["w"])).otherwise(taken).alias(value), ends_scalar.alias(scalar))
+    if mode == ValueMode.OVERRIDE and channels:
+        return _overridden(rows, channels, aggs)
+    out, cols = list(aggs), []
+    for value, scalar in channels:
+        there = F.size(value) > 0
+        if mode == ValueMode.CONCAT:
+            every = F.array_sort(F.collect_list(F.when(there, F.struct(F.col("ord").alias("o"), F.col(value).alias("v")))))
+            one = F.count(F.when(there, F.lit(1)))
+            out.append(F.struct(F.filter(F.flatten(F.transform(every, lambda r: r["v"])), lambda w: w.isNotNull()).alias("v"), ((one == 1) & F.first(F.when(there, F.col(scalar)), True)).alias("s"), one.alias("n")).alias(f"__{value}"))
+            cols += [F.when(F.col(f"__{value}.n") > 0, F.col(f"__{value}.v")).alias(value), F.when(F.col(f"__{value}.n") > 0, F.col(f"__{value}.s")).alias(scalar)]
+        else:
+            out.append(F.max_by(F.struct(F.col(value).alias("v"), F.col(scalar).alias("s")), F.when(there, F.col("ord"))).alias(f"__{value}"))
+            cols += [F.col(f"__{value}.v").alias(value), F.col(f"__{value}.s").alias(scalar)]
+    x = rows.groupBy("id").agg(*out)
+    return x.select(*[c for c in x.columns if c not in {f"__{v}" for v, _ in channels}], *cols)
+
+
+def _overridden(rows: DataFrame, channels: list[tuple[str, str]], aggs: list[Column]) -> DataFrame:
+    """A row comes once for itself (channel -1) and once a slot of its lists (a number is slot -1): the last list that
+    reaches a slot and the last number in it are combined by slot, then the slots by id."""
+    slot = lambda k, pos, w: F.struct(F.lit(k).alias("c"), pos.alias("pos"), w.alias("w"))
+    none = F.expr("cast(array() as array<struct<c:int,pos:int,w:double>>)")
+
+    def slots(k: int, v: str, s: str) -> Column:
+        return F.coalesce(F.transform(v, lambda w, i: slot(k, F.when(F.col(s), F.lit(-1)).otherwise(i.cast("int")), w)), none)
+
+    lists = [slots(k, v, s) for k, (v, s) in enumerate(channels)]
+    x = rows.select("*", F.inline(F.concat(F.array(slot(-1, F.lit(-1), F.lit(None).cast("double"))), *lists)))
+    whole = F.col("c") == -1
+    at, w = F.when(~whole, F.col("ord")), F.col("w")
+    first = x.groupBy("id", "c", "pos").agg(F.when(whole, F.struct(*aggs) if aggs else F.lit(None).cast("struct<x:int>")).alias("__b"), F.max(at).alias("reached"), F.max_by(F.struct("ord", "w"), F.when(w.isNotNull(), at)).alias("w"))
+    of = lambda k, c: F.when(F.col("c") == k, c)
+    per = [F.first("__b", True).alias("__b")]
+    for k, (v, _) in enumerate(channels):
+        per += [F.array_sort(F.collect_list(of(k, F.struct("pos", "reached", "w")))).alias(f"__a{k}")]
+        per += [F.max(of(k, F.when(F.col("pos") < 0, F.col("reached")))).alias(f"__n{k}"), F.max(of(k, F.when(F.col("pos") >= 0, F.col("reached")))).alias(f"__l{k}")]
+    out = first.groupBy("id").agg(*per)
+    cols = []
+    for k, (v, s) in enumerate(channels):
+        number_at, list_at = F.col(f"__n{k}"), F.col(f"__l{k}")
+        after = lambda o, n=number_at: n.isNull() | (o > n)
+        taken = F.transform(F.filter(f"__a{k}", lambda r: (r["pos"] >= 0) & after(r["reached"])), lambda r: F.when(after(r["w"]["ord"]), r["w"]["w"]))
+        number = F.transform(F.filter(f"__a{k}", lambda r: r["pos"] < 0), lambda r: r["w"]["w"])
+        scalar = F.coalesce(number_at > list_at, number_at.isNotNull())
+        there = number_at.isNotNull() | list_at.isNotNull()
+        cols += [F.when(there, F.when(scalar, number).otherwise(taken)).alias(v), F.when(there, scalar).alias(s)]
+    return out.select("id", "__b.*", *cols) if aggs else out.select("id", *cols)
+
+
+def combine(rows: DataFrame, mode: ValueMode, value: str, scalar: str) -> DataFrame:
+    """(id, value, scalar) of each id in rows (id, ord, value, scalar) that has any value; see merged()."""
+    return merged(rows, mode, [(value, scalar)], []).where(F.col(value).isNotNull())

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,24 +63,39 @@ def identifier(c: Column, tag: str = "") -> Column:
     return F.concat(F.lit(tag), s) if tag else s
 
 
-def _rows(df: DataFrame, ids: Accessor | None, order: list[str], cols: dict[str, Column], tag: str, complete: bool) -> DataFrame:
-    """(id, ord, source, cols...): one row an id of a row, missing ids numbered, or left out if `complete`."""
+def _rows(df: DataFrame, ids: Accessor | None, order: list[str], cols: dict[str, Column], tag: str, complete: bool, strict: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(id, ord, source, cols...): one row an id of a row, missing ids numbered; and the rows whose missing id is an error, if any may be.
+
+    All rows without an id are errors if ids are said to be `complete`; if `strict`, only missing entries of a list of ids are.
+    An empty list of ids makes no row, a null list is a missing id.
+    """
     c = access(df, ids)
     many = ids is not None and isinstance(_type(df, c), T.ArrayType)
     keep = [F.to_json(F.struct(*[F.col(x) for x in df.columns])).alias("source"), *[v.alias(k) for k, v in cols.items()]]
     if many:
-        x = df.select(F.posexplode(c).alias("__pos", "__id"), *order, *keep)
-        x = x.select(identifier(F.col("__id"), tag).alias("id"), F.struct(*[F.col(o) for o in order], "__pos").alias("ord"), "source", *cols)
+        x = df.where(c.isNull() | (F.size(c) > 0)).select(c.isNotNull().alias("__listed"), F.posexplode_outer(c).alias("__pos", "__id"), *order, *keep)
+        x = x.select(identifier(F.col("__id"), tag).alias("id"), F.struct(*[F.col(o) for o in order], F.coalesce("__pos", F.lit(0)).alias("__pos")).alias("ord"), "source", *cols, "__listed")
     else:
-        x = df.select(identifier(c, tag).alias("id"), F.struct(*[F.col(o) for o in order]).alias("ord"), *keep)
+        x = df.select(identifier(c, tag).alias("id"), F.struct(*[F.col(o) for o in order]).alias("ord"), *keep, F.lit(False).alias("__listed"))
+    bad = None
     if complete:
-        return x.where("id is not null")
-    if ids is None or not many and any(f.nullable for f in df.select(c.alias("x")).schema):
+        bad, x = x.where("id is null"), x.where("id is not null")
+    elif strict and many:
+        bad, x = x.where("id is null and __listed"), x.where("id is not null or not __listed")
+    if not complete and (ids is None or many or isinstance(_type(df, c), (T.StringType, T.FractionalType)) or any(f.nullable for f in df.select(c.alias("x")).schema)):
         missing = x.where("id is null")
         if not missing.isEmpty():
             numbered = dense_index(missing, ["ord"], "__n").withColumn("id", F.concat(F.lit(tag), F.col("__n").cast("string"))).drop("__n")
             x = x.where("id is not null").unionByName(numbered)
-    return x
+    return x.drop("__listed"), bad
+
+
+def _bad_ids(bad: DataFrame | None, kind: str) -> list[DataFrame]:
+    return [] if bad is None else [bad.select(*_error(kind, ErrorType.BAD_ID, F.lit(f"{'An edge' if kind == 'edge' else 'A node'} was generated that has an invalid ID"), F.array("source")))]
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def _error(kind: str, error: ErrorType, message: Column, source: Column) -> list[Column]:
@@ -103,14 +119,26 @@ def _last_wins(x: DataFrame, payload: list[str], kind: str, error: ErrorType) ->
     return kept.select("id", "b.*", "ord"), errors
 
 
-def _merged_meta(x: DataFrame, meta: T.DataType) -> list[Column]:
-    """Shallow merge in order: per field the last value that is there; null is absent."""
+def _merged_meta(x: DataFrame) -> list[Column]:
+    """Shallow merge of structs in order: per field the last value that is there; null is absent. Other types: the last value."""
+    meta = x.schema["meta"].dataType
     if isinstance(meta, T.StructType):
         fields = [F.max_by(F.col("meta")[f.name], F.when(F.col("meta")[f.name].isNotNull(), F.col("ord"))).alias(f.name) for f in meta.fields]
         return [F.struct(*fields).alias("meta")]
+    if isinstance(meta, T.MapType):
+        return []
     return [F.max_by("meta", F.when(F.col("meta").isNotNull(), F.col("ord"))).alias("meta")]
 
 
+def _with_map_meta(out: DataFrame, x: DataFrame) -> DataFrame:
+    """out with `meta`, if it is a map: per key of an id's maps the last value that is there, from partial results a key."""
+    if not isinstance(x.schema["meta"].dataType, T.MapType):
+        return out
+    last = x.select("id", "ord", F.explode("meta").alias("k", "v")).where("v is not null").groupBy("id", "k").agg(F.max_by("v", "ord").alias("v"))
+    maps = last.groupBy(F.col("id").alias("__id")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("meta"))
+    return out.join(maps, F.col("id") == F.col("__id"), "left").drop("__id")
+
+
 def make_network(
     node_data: DataFrame,
     edge_data: DataFrame,
@@ -136,7 +164,9 @@ def make_network(
     edge_values is the pair (a to b, b to a); if either of an edge's is missing, both are no value. delete_while_processing
     is accepted and does nothing: Spark never holds the source. If node and edge rows have ids of different kinds (numbers
     and strings), ids are tagged with their kind, so that 1 and "1" differ. A null end of an edge is an unknown node.
-    ids_complete says that no row lacks its id: rows are then not searched for missing ids, and one without is left out.
+    ids_complete says that no row lacks its id: rows are then not searched for missing ids, and one without is a BAD_ID error.
+    With aggregate_results, a missing entry of an edge's list of ids is one as well. Endpoints are looked up by outer joins,
+    where an end that most edges share is split by adaptive execution (spark.sql.adaptive.skewJoin).
     """
     del delete_while_processing
     kinds = {_kind(_type(d, access(d, a))) for d, a in ((node_data, node_id), (edge_data, edge_a), (edge_data, edge_b)) if a is not None}
@@ -157,14 +187,16 @@ def _nodes(df, ids, values, meta, order, aggregate, mode, tag, complete):
     v = access(df, values)
     kind = _type(df, v) if values is not None else T.ArrayType(T.DoubleType())
     value = W.as_list(v, kind) if values is not None else F.lit(None).cast("array<double>")
-    x = _rows(df, ids, order, {"value": value, "value_is_scalar": F.lit(W.is_scalar(kind)), "meta": access(df, meta)}, tag, complete)
+    x, bad = _rows(df, ids, order, {"value": value, "value_is_scalar": F.lit(W.is_scalar(kind)), "meta": access(df, meta)}, tag, complete)
     none = F.expr(W.NO_VALUE)
     if not aggregate:
-        kept, errors = _last_wins(x, ["value", "value_is_scalar", "meta"], "node", ErrorType.DUPLICATE_NODE_ID)
-        return kept.select("id", F.coalesce("value", none).alias("value"), (F.col("value_is_scalar") & F.col("value").isNotNull()).alias("value_is_scalar"), "meta", "ord"), errors
-    base = x.groupBy("id").agg(*_merged_meta(x, x.schema["meta"].dataType), F.min("ord").alias("ord"))
-    out = base.join(W.combine(x, mode, "value", "value_is_scalar").withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left")
-    return out.select("id", F.coalesce("value", none).alias("value"), F.coalesce("value_is_scalar", F.lit(False)).alias("value_is_scalar"), "meta", "ord"), None
+        kept, again = _last_wins(x, ["value", "value_is_scalar", "meta"], "node", ErrorType.DUPLICATE_NODE_ID)
+        return kept.select("id", F.coalesce("value", none).alias("value"), (F.col("value_is_scalar") & F.col("value").isNotNull()).alias("value_is_scalar"), "meta", "ord"), lambda: _all([again(), *_bad_ids(bad, "node")])
+    out = W.merged(x, mode, [("value", "value_is_scalar")] if values is not None else [], [*_merged_meta(x), F.min("ord").alias("ord")])
+    out = _with_map_meta(out, x)
+    if values is None:
+        out = out.withColumns({"value": none, "value_is_scalar": F.lit(False)})
+    return out.select("id", F.coalesce("value", none).alias("value"), F.coalesce("value_is_scalar", F.lit(False)).alias("value_is_scalar"), "meta", "ord"), (lambda: _all(_bad_ids(bad, "node"))) if bad is not None else None
 
 
 def _found(x: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -187,7 +219,7 @@ def _edges(df, nodes, ends, ids, values, meta, order, aggregate, mode, complete)
     there = ab.isNotNull() & ba.isNotNull()
     scalar = F.lit(W.is_scalar(kind))
     cols = {"src": ends[0], "dst": ends[1], "atob": F.when(there, ab), "atob_is_scalar": scalar, "btoa": F.when(there, ba), "btoa_is_scalar": scalar, "meta": access(df, meta)}
-    x = _rows(df, ids, order, cols, "", complete)
+    x, bad = _rows(df, ids, order, cols, "", complete, strict=aggregate)
     none = F.expr(W.NO_VALUE)
     value = [F.coalesce(c, none).alias(c) if s is None else (F.coalesce(s, F.lit(False)) & F.col(c).isNotNull()).alias(f"{c}_is_scalar") for c in ("atob", "btoa") for s in (None, F.col(f"{c}_is_scalar"))]
     if not aggregate:
@@ -198,20 +230,22 @@ def _edges(df, nodes, ends, ids, values, meta, order, aggregate, mode, complete)
 
         def errors() -> DataFrame:
             orphan = x.where("not (a_found and b_found)").select(*_error("edge", ErrorType.NODE_NOT_FOUND, _not_found(), F.array("source")))
-            return orphan.unionByName(again())
+            return _all([orphan, again(), *_bad_ids(bad, "edge")])
 
         return kept.select("id", "src", "dst", *value, "meta", "ord"), errors
     x = _found(x, nodes)
     last = lambda c, found: F.max_by(c, F.when(F.col(found), F.col("ord"))).alias(c)
-    base = x.groupBy("id").agg(last("src", "a_found"), last("dst", "b_found"), F.max("a_found").alias("a_found"), F.max("b_found").alias("b_found"), *_merged_meta(x, x.schema["meta"].dataType), F.min("ord").alias("ord"))
+    ends_of = [last("src", "a_found"), last("dst", "b_found"), F.max("a_found").alias("a_found"), F.max("b_found").alias("b_found")]
+    channels = [(c, f"{c}_is_scalar") for c in ("atob", "btoa")] if values else []
+    base = W.merged(x, mode, channels, [*ends_of, *_merged_meta(x), F.min("ord").alias("ord")])
 
     def errors() -> DataFrame:
-        bad = base.where("not (a_found and b_found)")
-        rows_of_bad = x.join(bad.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "source"))).alias("rows"))
-        found = bad.select("id", "a_found", "b_found").join(rows_of_bad.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"))
-        return found.select(*_error("edge", ErrorType.NODE_NOT_FOUND, _not_found(), F.transform("rows", lambda r: r["source"])))
-
-    out = base.where("a_found and b_found")
-    for c in ("atob", "btoa"):
-        out = out.join(W.combine(x, mode, c, f"{c}_is_scalar").withColumnRenamed("id", f"__{c}"), F.col("id") == F.col(f"__{c}"), "left")
+        gone = x.groupBy("id").agg(F.max("a_found").alias("a_found"), F.max("b_found").alias("b_found")).where("not (a_found and b_found)")
+        rows_of_bad = x.join(gone.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "source"))).alias("rows"))
+        found = gone.join(rows_of_bad.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"))
+        return _all([found.select(*_error("edge", ErrorType.NODE_NOT_FOUND, _not_found(), F.transform("rows", lambda r: r["source"]))), *_bad_ids(bad, "edge")])
+
+    out = _with_map_meta(base.where("a_found and b_found"), x)
+    if not values:
+        out = out.withColumns({c: none for c in ("atob", "btoa")} | {f"{c}_is_scalar": F.lit(False) for c in ("atob", "btoa")})
     return out.select("id", "src", "dst", *value, "meta", "ord"), errors

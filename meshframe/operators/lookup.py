@@ -8,8 +8,22 @@ from pyspark.sql import functions as F
 from meshframe.model import Network
 
 
+def get_node_by_id(net: Network, node: str) -> DataFrame:
+    """The node's row, or none."""
+    return net.nodes.where(F.col("id") == node)
+
+
+def get_edge_by_id(net: Network, edge: str) -> DataFrame:
+    """The edge's row, or none."""
+    return net.edges.where(F.col("id") == edge)
+
+
 def get_edge(net: Network, a: str, b: str) -> DataFrame:
-    """The last added edge from a to b as one row, or none. Direction matters. The filter reaches the scan."""
+    """The last added edge from a to b as one row, or none. Direction matters.
+
+    The filter reaches the scan of a stored network (sources.graphs.read_network); in one that is still to be built, the
+    last row of each id must be found before its ends are known.
+    """
     return net.edges.where((F.col("src") == a) & (F.col("dst") == b)).orderBy(F.desc("ord"), F.desc("id")).limit(1)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,36 @@ def mk_multi_id(s: SparkSession, d: str) -> DataFrame:
     return net.nodes.select("id", F.get("value", F.lit(0)).alias("last_doc"))
 
 
+def mk_multi_id_missing(s: SparkSession, d: str) -> DataFrame:
+    """The same where tags that begin with a vowel are empty and those with a digit null, and questions have no list: all of these are numbered."""
+    bare = F.transform("tags", lambda t: F.when(t.rlike("^[aeiou]"), "").otherwise(F.when(~t.rlike("[0-9]"), t)))
+    x = read(s, d, "documents").select("doc_id", F.when(F.col("post_type").isNull() | (F.col("post_type") != "question"), bare).alias("tags"))
+    none = s.createDataFrame([], "id string, a string, b string")
+    net = make_network(x, none, node_id="tags", node_values="doc_id", node_order=["doc_id"], edge_id="id", edge_a="a", edge_b="b", edge_order=["id"]).network
+    return net.nodes.select("id", F.get("value", F.lit(0)).alias("last_doc"))
+
+
+def mk_edge_guard(s: SparkSession, d: str) -> DataFrame:
+    """Edges whose tax is 0 lack the weight back, and so have neither."""
+    net = graphs.line(s, d, edge_values=("l_quantity", lambda _: F.when(F.col("l_tax") > 0, F.col("l_tax")))).network
+    return net.edges.select("id", F.size("atob").alias("n_ab"), F.size("btoa").alias("n_ba"))
+
+
+def mk_agg_errors(s: SparkSession, d: str) -> DataFrame:
+    """Aggregated line items with two ids each, the second missing of returned ones; large parts are no nodes."""
+    twice = F.array("id", F.when(F.col("l_returnflag") != "R", F.col("id")))
+    rows = graphs.line_rows(s, d).withColumn("ids", twice)
+    made = make_network(graphs.line_nodes(s, d, SMALL_PARTS), rows, node_id="id", edge_id="ids", edge_a="a", edge_b="b", node_order=["id"], edge_order=graphs.LINE_ORDER, aggregate_results=True)
+    return made.errors.groupBy("error", "entity_id", "message").agg(F.count(F.lit(1)).alias("n_errors"), F.sum(F.size("source")).alias("n_sources"))
+
+
+def mk_map_meta(s: SparkSession, d: str) -> DataFrame:
+    """Orders of a customer merged, as maps from priority to status: the last status of each priority."""
+    meta = lambda _: F.create_map("o_orderpriority", "o_orderstatus")
+    nodes = _by_customer(s, d, node_meta=meta, aggregate_results=True).network.nodes
+    return nodes.select("id", F.explode("meta").alias("priority", "status"))
+
+
 def _aggregated(s: SparkSession, d: str, mode: ValueMode) -> DataFrame:
     """Weights of line items by id: a list of quantity and tax (missing where 0), and only the quantity of returned items."""
     tax = F.when(F.col("l_tax") > 0, F.col("l_tax"))
@@ -122,6 +154,14 @@ def lk_get_edge(s: SparkSession, d: str) -> DataFrame:
     return lookup.get_edge(graphs.geo(s, d).network, "r0", "n0").select("id", "src", "dst")
 
 
+def lk_node(s: SparkSession, d: str) -> DataFrame:
+    return lookup.get_node_by_id(graphs.geo(s, d).network, "n3").select("id", F.col("meta.name").alias("name"))
+
+
+def lk_edge(s: SparkSession, d: str) -> DataFrame:
+    return lookup.get_edge_by_id(graphs.geo(s, d).network, "rn3").select("id", "src", "dst")
+
+
 def lk_get_edges(s: SparkSession, d: str) -> DataFrame:
     """The last event edge back from where each edge leads, and one that doesn't exist."""
     net = graphs.event(s, d).network
@@ -159,6 +199,18 @@ def mu_add_edge_errors(s: SparkSession, d: str) -> DataFrame:
     return mutate.add_edge(graphs.geo(s, d).network, _more_edges(s, d)).errors
 
 
+def mu_added_before(s: SparkSession, d: str) -> DataFrame:
+    """Errors of the same call when some of the nations' edges were added by an earlier one."""
+    before = graphs.geo(s, d).network.edges.where(F.col("id").isin("rn0", "rn1", "rn2"))
+    return mutate.add_edge(graphs.geo(s, d).network, _more_edges(s, d), added=before).errors
+
+
+def mu_removed_before(s: SparkSession, d: str) -> DataFrame:
+    """Errors of removing edges of which some were removed by an earlier call."""
+    before = _some_edges(s, d).where(F.length("id") < 5)
+    return mutate.remove_edge(graphs.geo(s, d).network, _some_edges(s, d), removed=before).errors
+
+
 def mu_add_node(s: SparkSession, d: str) -> DataFrame:
     """Segments join the graph with an edge to each of their customers; what then is there."""
     c = read(s, d, "customer")
@@ -287,6 +339,23 @@ def sp_all_layers(s: SparkSession, d: str) -> DataFrame:
     return _layers(s, d, None)
 
 
+def sp_trade_layers(s: SparkSession, d: str) -> DataFrame:
+    """Layer sizes over the trade graph from c0, to the end of the spread."""
+    state = select.spread(graphs.trade(s, d).network, _ids(s, "c0"))
+    return state.visited_nodes.groupBy("depth").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+def sp_trade_paths(s: SparkSession, d: str) -> DataFrame:
+    """Parents over the trade graph from c0, to the end of the spread."""
+    found = [x.path for x in select.spread_layers(graphs.trade(s, d).network, _ids(s, "c0"), keep_path=True) if x.path is not None]
+    return reduce(DataFrame.unionByName, found).select("node", "parent", "edge_id")
+
+
+def sp_toward(s: SparkSession, d: str) -> DataFrame:
+    """A spread that is led away from customers."""
+    return _depths(select.spread(graphs.geo(s, d).network, _ids(s, "s0"), toward=lambda c: ~F.col("node").startswith("c")))
+
+
 def sp_multi_seed(s: SparkSession, d: str) -> DataFrame:
     return _depths(select.spread(graphs.geo(s, d).network, _ids(s, "n0", "n1", "s2", "none")))
 
@@ -434,6 +503,12 @@ def pa_weighted(s: SparkSession, d: str) -> DataFrame:
     return x.agg(F.max("distance").alias("distance"))
 
 
+def pa_weighted_line(s: SparkSession, d: str) -> DataFrame:
+    """Distance of the cheapest way from o0 to o1 over all line items, weighted by quantity there and tax in percent back."""
+    net = graphs.line(s, d, edge_values=("l_quantity", lambda _: F.round(F.col("l_tax") * 100))).network
+    return paths.path(net, "o0", "o1", weighted=True).agg(F.max("distance").alias("distance"))
+
+
 def pa_absent(s: SparkSession, d: str) -> DataFrame:
     return paths.path(graphs.geo(s, d).network, "s0", "nowhere")
 
@@ -493,6 +568,21 @@ _NEAR = f"""e as {_TRADE}, adj as (select src as n, dst as m from e union all se
   walk as (select x as source, x as node, 0 as depth from (values ('s0'), ('s1')) t(x) union select source, m, depth + 1 from walk join adj on n = node where depth < 1),
   near as (select node from walk group by 1 having count(distinct source) = 2), shared as (select node from near where node not in ('s0', 's1'))"""
 
+_TWO = f"""e as {_SUPPLY}, adj as (select src as n, dst as m from e union all select dst, src from e),
+  zero as (select 's0' as node, 0 as depth union select m, depth + 1 from zero join adj on n = node where depth < {{}}), d0 as (select node, min(depth) as depth from zero group by 1),
+  one as (select 's1' as node, 0 as depth union select m, depth + 1 from one join adj on n = node where depth < {{}}), d1 as (select node, min(depth) as depth from one group by 1)"""
+#: Depth to which recursive SQL follows a spread to its end.
+_END = 40
+_PARENTS = "select b.node, arg_min(a.node, (a.node, id)) as parent, arg_min(id, (a.node, id)) as edge_id from dist a join adj on n = a.node join dist b on b.node = m and b.depth = a.depth + 1 group by 1"
+
+
+def _multi_id(lists: str) -> str:
+    return f"""with x as ({lists}), e as (select doc_id, unnest(range(len(v))) as pos, unnest(v) as t from x where v is not null union all select doc_id, 0, null from x where v is null),
+  n as (select doc_id, pos, cast(row_number() over (order by doc_id, pos) - 1 as varchar) as t from e where t is null or t in ('', 'NaN')),
+  u as (select * from e where t is not null and t not in ('', 'NaN') union all select * from n)
+select t as id, cast(arg_max(doc_id, (doc_id, pos)) as double) as last_doc from u group by 1"""
+
+
 SQL = {
     "fn_presence": """select id is not null as has_id, a is not null and b is not null as has_ends, coalesce(len(atob) > 0, false) as has_atob, coalesce(len(atob) = 1, false) as one_atob,
   coalesce(len(list_filter(btoa, lambda x: x is not null and not isnan(x))) > 0, false) as has_number, meta.kind is not null as has_kind, coalesce(regexp_matches(meta.kind, '[A-Za-z]'), false) as has_name, count(*) as n from iedge group by all""",
@@ -506,7 +596,15 @@ SQL = {
     "mk_orphan_errors": f"select 'NODE_NOT_FOUND' as error, id as entity_id, 'Could not find node b for this edge' as message, count(*) as n_errors from {_LINE} where l_partkey not in (select p_partkey from part where p_size <= 25) group by id",
     "mk_suppressed_errors": f"select 'NODE_NOT_FOUND' as error, count(*) as n_errors from {_LINE} where l_partkey not in (select p_partkey from part where p_size <= 25)",
     "mk_autoid": "select case when c_acctbal >= 0 then c_name else cast(row_number() over (partition by c_acctbal >= 0 order by c_custkey) - 1 as varchar) end as id, c_name as name from customer",
-    "mk_multi_id": "select t as id, cast(max(doc_id) as double) as last_doc from (select doc_id, unnest(tags) as t from documents) where t is not null and t <> '' group by 1",
+    "mk_multi_id": _multi_id("select doc_id, tags as v from documents"),
+    "mk_multi_id_missing": _multi_id("""select doc_id, case when post_type is distinct from 'question' then list_transform(tags, lambda t: case when regexp_matches(t, '^[aeiou]') then ''
+  when not regexp_matches(t, '[0-9]') then t end) end as v from documents"""),
+    "mk_edge_guard": f"select id, case when l_tax > 0 then 1 else 0 end as n_ab, case when l_tax > 0 then 1 else 0 end as n_ba from {_LINE} qualify row_number() over (partition by id order by ord desc) = 1",
+    "mk_agg_errors": f"""select 'BAD_ID' as error, cast(null as varchar) as entity_id, 'An edge was generated that has an invalid ID' as message, count(*) as n_errors, cast(count(*) as bigint) as n_sources
+  from lineitem where l_returnflag = 'R' having count(*) > 0
+union all select 'NODE_NOT_FOUND', id, 'Could not find node b for this edge', 1, cast(sum(case when l_returnflag = 'R' then 1 else 2 end) as bigint) from {_LINE}
+  group by id having not bool_or(l_partkey in (select p_partkey from part where p_size <= 25))""",
+    "mk_map_meta": "select cast(o_custkey as varchar) as id, o_orderpriority as priority, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) as status from orders group by o_custkey, o_orderpriority",
     "mk_agg_none": f"with {_AGG}, x as (select id, arg_max(v, ord) as v from a group by 1) select id, cast(unnest(range(len(v))) as int) as pos, unnest(v) as w from x",
     "mk_agg_override": f"""with {_AGG}, p as (select id, ord, unnest(range(len(v))) as pos, unnest(v) as w from a)
 select id, cast(pos as int) as pos, arg_max(w, ord) filter (where w is not null) as w from p group by 1, 2""",
@@ -516,11 +614,15 @@ select id, cast(row_number() over (partition by id order by ord, k) - 1 as int)
   arg_max(o_orderpriority, (o_orderdate, o_orderkey)) filter (where o_orderstatus = 'F') as priority, arg_max(o_totalprice, (o_orderdate, o_orderkey)) as value from orders group by o_custkey""",
     "mk_agg_partial_edges": f"select id, src, dst from {_SUPPLY}",
     "lk_get_edge": f"select id, src, dst from {_GEO} where src = 'r0' and dst = 'n0'",
+    "lk_node": "select 'n3' as id, n_name as name from nation where n_nationkey = 3",
+    "lk_edge": f"select id, src, dst from {_GEO} where id = 'rn3'",
     "lk_get_edges": f"select p.a, p.b, e.id as edge_id from (select distinct dst as a, src as b from {_EVENT} union all select 'click', 'nowhere') p left join (select src, dst, max(id) as id from {_EVENT} group by 1, 2) e on e.src = p.a and e.dst = p.b",
     "lk_has_node": "select 'n' || (n_nationkey + 10) as id, n_nationkey + 10 in (select n_nationkey from nation) as is_member from nation",
     "lk_atob_last": f"select src, dst, max(id) as edge_id from {_EVENT} group by 1, 2",
     "mu_add_edge": f"select id, src, dst from {_GEO} union all select id, src, dst from {_MORE}",
     "mu_add_edge_errors": "select 'edge' as kind, 'rn' || n_nationkey as entity_id, 'Edge already exists' as message from nation",
+    "mu_added_before": "select 'edge' as kind, 'rn' || n_nationkey as entity_id, 'Edge already exists' as message from nation where n_nationkey > 2",
+    "mu_removed_before": "select 'edge' as kind, 'ns' || c_custkey as entity_id, 'Edge does not exist' as message from customer where c_custkey not in (select s_suppkey from supplier) and c_custkey > 99",
     "mu_add_node": f"select 'node' as kind, id from {_GEO_NODES} union all select distinct 'node', c_mktsegment from customer union all select 'edge', id from {_GEO} union all select 'edge', 'm' || c_custkey from customer",
     "mu_remove_edge": f"select id, src, dst from {_GEO} where id not in (select 'ns' || c_custkey from customer)",
     "mu_remove_edge_errors": "select 'edge' as kind, 'ns' || c_custkey as entity_id, 'Edge does not exist' as message from customer where c_custkey not in (select s_suppkey from supplier)",
@@ -541,6 +643,32 @@ select id, case when src in (select id from g) then 'out' else 'in' end as dir f
     "nb_event_multiplicity": f"select node, nbr, count(*) as n from (select dst as node, src as nbr from {_EVENT} union all select src, dst from {_EVENT}) group by 1, 2",
     "sp_depths": _depth_sql(_GEO, _seed("r0"), 6),
     "sp_layers": f"with recursive {_bfs(_SUPPLY, _seed('s0'), 6)} select depth, count(*) as n_nodes from dist group by 1",
+    "sp_all_layers": f"""with recursive {_bfs(_SUPPLY, _seed('s0'), _END)}, n as (select depth, count(*) as n_nodes from dist group by 1)
+select depth, n_nodes from n union all select depth + 1, 0 from n where depth = (select max(depth) from n)
+  and exists (select 1 from adj join dist a on a.node = n join dist b on b.node = m where a.depth = b.depth and a.depth = (select max(depth) from dist))""",
+    "sp_all_paths": f"with recursive {_bfs(_SUPPLY, _seed('s0'), _END)} {_PARENTS}",
+    "sp_all_tree_edges": f"with recursive {_bfs(_SUPPLY, _seed('s0'), _END)} select e.id as edge_id, {_EDGE_DEPTH} from {_SUPPLY} e join dist a on a.node = src join dist b on b.node = dst where a.depth <> b.depth",
+    "sp_all_overlap": f"""with recursive e as {_SUPPLY}, adj as (select src as n, dst as m from e union all select dst, src from e),
+  walk as (select x as source, x as node from (values ('s0'), ('s1'), ('s2')) t(x) union select source, m from walk join adj on n = node)
+select node, count(*) as n_sources from walk group by 1 having count(*) > 1""",
+    "sp_trade_layers": f"with recursive {_bfs(_TRADE, _seed('c0'), 8)} select depth, count(*) as n_nodes from dist group by 1",
+    "sp_trade_paths": f"with recursive {_bfs(_TRADE, _seed('c0'), 8)} {_PARENTS}",
+    "sp_toward": f"with recursive {_bfs(_GEO, _seed('s0'), 8, 'select ' + chr(39) + 'c' + chr(39) + ' || c_custkey from customer')} select node, depth from dist",
+    "sp_chunked": f"""with recursive {_bfs(_SUPPLY, _seed('s0'), _END)}, parent as ({_PARENTS}),
+  rank as (select node, depth, (row_number() over (partition by depth order by node) - 1) // 20 as chunk from dist),
+  part as (select r.depth + 1 as depth, r.chunk, count(p.node) as n_nodes from rank r left join parent p on p.parent = r.node where r.depth < (select max(depth) from dist) group by 1, 2
+    union all select 0, 0, 1)
+select cast(row_number() over (order by depth, chunk) - 1 as int) as part, depth, n_nodes from part""",
+    "sp_waits": f"""with recursive {_bfs(_GEO, _seed('r0'), 8)}, walk1 as ({_seed('s0')} union select m, depth + 1 from walk1 join adj on n = node where depth < 8),
+  dist1 as (select node, min(depth) as depth from walk1 group by 1),
+  x as (select 0 as spread, depth, count(*) as n_nodes from dist group by 2 union all select 1, depth, count(*) from dist1 group by 2)
+select cast(row_number() over (order by depth, spread) - 1 as int) as turn, spread, depth, n_nodes from x""",
+    "sp_waits_others": f"""with recursive {_TWO.format(_END, _END)}, met as (select min(greatest(d0.depth, d1.depth)) as meet from d0 join d1 using (node) where d0.depth > 0),
+  x as (select 0 as spread, depth, count(*) as n_nodes from d1 where depth <= coalesce((select meet from met), {_END}) group by 2 union all select 1, depth, count(*) from d0 group by 2)
+select cast(row_number() over (order by depth, spread) - 1 as int) as turn, spread, depth, n_nodes from x""",
+    "sp_layering_completely": f"""with recursive {_TWO.format(4, 2)}, met as (select min(d0.depth) as meet from d0 join d1 using (node) where d0.depth > 0)
+select node, depth from d0 where depth <= coalesce((select meet from met), 4)""",
+    "sp_layering_others": f"with recursive {_TWO.format(4, 2)} select distinct cast(0 as int) as spread from d0 join d1 using (node) where d0.depth > 0",
     "sp_multi_seed": _depth_sql(_GEO, _seed("n0", "n1", "s2"), 6),
     "sp_maxdepth": _depth_sql(_TRADE, _seed("c0"), 2),
     "sp_paths": f"with recursive {_bfs(_SUPPLY, _seed('s0'), 4)} select b.node, arg_min(a.node, (a.node, id)) as parent, arg_min(id, (a.node, id)) as edge_id from dist a join adj on n = a.node join dist b on b.node = m and b.depth = a.depth + 1 group by 1",
@@ -567,5 +695,9 @@ select depth as step, node, cast(depth as double) as distance from back""",
     "pa_weighted": f"""with recursive e as {_SUPPLY}, adj as (select src as n, dst as m, ab as w from e union all select dst, src, 1.0 from e),
   walk as (select 's0' as node, 0.0::double as d, 0 as hops union select m, min(d + w), hops + 1 from walk join adj on n = node where hops < 24 group by m, hops)
 select min(d) as distance from walk where node = 's2'""",
+    "pa_weighted_line": f"""with recursive e as (select id, src, dst, l_quantity as ab, round(l_tax * 100) as ba from {_LINE} qualify row_number() over (partition by id order by ord desc) = 1),
+  adj as (select n, m, min(w) as w from (select src as n, dst as m, ab as w from e union all select dst, src, ba from e) group by 1, 2),
+  walk as (select 'o0' as node, 0.0::double as d, 0 as hops union select m, min(d + w), hops + 1 from walk join adj on n = node where hops < 16 group by m, hops)
+select min(d) as distance from walk where node = 'o1'""",
     "pa_absent": "select cast(null as int) as step, cast(null as varchar) as node, cast(null as double) as distance where false",
 }

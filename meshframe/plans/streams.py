@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.runtime import checkpoint_dir, read
+from meshframe.runtime import new_path, read
 from meshframe.streaming.ingest import NetworkStore, ingest
 
 
 def st_ingest(s: SparkSession, d: str) -> DataFrame:
     """match_edge as a stream into a network: nodes of both ends and the edges; the ids that are then there."""
-    checkpoint_dir(s)
-    at = f"{s.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    at = new_path(s)
     store = NetworkStore(s, f"{at}/store")
     none = F.expr("cast(array() as array<double>)")
     text = lambda c: F.col(c).cast("string")

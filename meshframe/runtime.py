@@ -9,10 +9,13 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
-#: Rows up to which a table counts as small enough to broadcast, once counted.
+#: Rows up to which a table counts as small enough to broadcast, once it is measured.
 BROADCAST_ROWS = 200_000
+#: Bytes, as text, up to which it does.
+BROADCAST_BYTES = 64 << 20
 
 
 _schemas: dict[tuple[str, str], StructType] = {}
@@ -42,6 +45,12 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named)
 
 
+def new_path(spark: SparkSession) -> str:
+    """A place for a table in the shared checkpoint folder."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, flag: Column | None = None) -> DataFrame:
     """Cut the lineage: df is written as a table to the shared checkpoint folder and read from there.
 
@@ -50,8 +59,7 @@ def cut(df: DataFrame, flag: Column | None = None) -> DataFrame:
     written: `n_rows` of the result is their number, `n_flagged` that of the rows where `flag` is true.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.lit(False) if flag is None else flag).alias("n_flagged")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -67,14 +75,15 @@ def drop(*tables: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `rows` rows; reads no more than it needs to tell."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most `rows` rows, which take at most `size` bytes as text; reads no more rows than it needs to tell."""
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return got[0] <= rows and got[1] <= size
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to be small, else df as it is (a shuffled join)."""
-    return F.broadcast(df) if is_small(df, rows) else df
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is found to be small, else df as it is (a shuffled join)."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
 def hot_values(df: DataFrame, key: str, rows: int) -> list:
@@ -99,5 +108,6 @@ def lookup(facts: DataFrame, key: str, dim: DataFrame, dim_key: str, value: str,
     join = lambda f, x: f.join(x, f[key] == x["__k"], how).drop("__k")
     if not hot:
         return join(facts, d)
-    is_hot = F.col(key).isin(hot)
-    return join(facts.where(~is_hot | F.col(key).isNull()), d).unionByName(join(facts.where(is_hot), F.broadcast(d.where(F.col("__k").isin(hot)))))
+    few = F.broadcast(facts.sparkSession.createDataFrame([(h,) for h in hot], T.StructType([T.StructField("__h", facts.schema[key].dataType)])))
+    of = lambda x, c, kind: x.join(few, x[c] == few["__h"], kind)
+    return join(of(facts, key, "left_anti"), d).unionByName(join(of(facts, key, "left_semi"), F.broadcast(of(d, "__k", "left_semi"))))

@@ -3,32 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import islice, takewhile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshframe.model import Network
 from meshframe.operators.build import NetworkResult, make_network
-from meshframe.runtime import read
+from meshframe.runtime import new_path, read
 
 
 def tag(letter: str, c) -> F.Column:
     return F.concat(F.lit(letter), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
 
 
+#: Rows of a provider that the driver holds at once.
+CHUNK = 50_000
+
+
 def rows_of(spark: SparkSession, source, schema=None) -> DataFrame:
-    """Rows of a provider: a DataFrame, a list of rows, a generator or a function that gives rows until a false one."""
+    """Rows of a provider: a DataFrame, a list of rows, a generator or a function that gives rows until a false one.
+
+    The driver holds CHUNK rows at a time: more are written to the shared folder as they come. Without a schema, that of
+    the first chunk holds for all.
+    """
     if isinstance(source, DataFrame):
         return source
     if callable(source):
         source = iter(source, None)
     if not isinstance(source, Iterable):
         raise TypeError("no rows")
-    taken = []
-    for row in source:
-        if not row:
-            break
-        taken.append(row)
-    return spark.createDataFrame(taken, schema)
+    rows, path = takewhile(bool, source), ""
+    while chunk := list(islice(rows, CHUNK)):
+        x = spark.createDataFrame(chunk, schema)
+        schema = x.schema
+        if not path and len(chunk) < CHUNK:
+            return x
+        path = path or new_path(spark)
+        x.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
 
 
 def read_rows(spark: SparkSession, path: str, kind: str = "parquet", schema=None, **options) -> DataFrame:
@@ -43,6 +56,11 @@ def write_network(net, path: str, kind: str = "parquet") -> None:
     net.edges.write.format(kind).mode("overwrite").save(f"{path}/edges")
 
 
+def read_network(spark: SparkSession, path: str, kind: str = "parquet") -> Network:
+    """A network that write_network has stored: filters and columns of lookups reach its files."""
+    return Network(spark.read.format(kind).load(f"{path}/nodes"), spark.read.format(kind).load(f"{path}/edges"))
+
+
 def _made(nodes: DataFrame, edges: DataFrame, **more) -> NetworkResult:
     return make_network(nodes, edges, node_id="id", edge_id="id", edge_a="a", edge_b="b", node_order=["id"], edge_order=more.pop("edge_order", ["id"]), ids_complete=True, **more)
 
