@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meshframe.model import LayerPriority, Network
 from meshframe.operators.index import dense_index
-from meshframe.runtime import cut, lookup
+from meshframe.runtime import BROADCAST_ROWS, cut, drop, lookup
 
 
 def neighbors(net: Network, nodes: DataFrame, exclude: DataFrame | None = None, include_edge_to_excluded: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -50,6 +50,17 @@ class SpreadState:
     #: What other spreads have done to this one: ended it, or taken nodes (node) over that it may not expand any more.
     ended: bool = False
     taken: DataFrame | None = None
+    #: Tables written on the way, which layers and visited frames read.
+    tables: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Delete the tables of the spread; its layers and frames can't be read afterwards."""
+        drop(*self.tables)
+        self.tables, self.visited_nodes, self.visited_edges = [], None, None
+
+    def cut(self, df: DataFrame, flag: Column | None = None) -> DataFrame:
+        self.tables.append(cut(df, flag))
+        return self.tables[-1]
 
 
 def _union(x: DataFrame | None, y: DataFrame) -> DataFrame:
@@ -85,15 +96,17 @@ def spread_layers(
     state.cancelled). Every round looks at what the others have visited by then, so they may run in lock step; a spread
     that has been ended, or whose nodes were taken, heeds it from its next round on.
 
-    A round is a join of the frontier with the adjacency, in which frontier nodes are distinct and hubs are split
-    (see lookup), and an anti join with what is visited; its result is written, so rounds don't grow the plan.
+    A round is a join of the distinct frontier with the adjacency and one with what is visited; its result is written, so
+    rounds don't grow the plan. A frontier counted to be small is broadcast, so that the adjacency isn't shuffled; beyond
+    that, hubs are split by adaptive execution (spark.sql.adaptive.skewJoin). Layers and visited frames read the tables of
+    the rounds, which stay until state.release().
     """
     state = state if state is not None else SpreadState()
-    adj = adjacency if adjacency is not None else cut(net.adjacency())
+    adj = adjacency if adjacency is not None else state.cut(net.adjacency())
     first = start.select("node").where("node is not null").distinct()
     first = first.join(net.nodes.select(F.col("id").alias("__id")), F.col("node") == F.col("__id"), "left_semi")
     source = F.col("node") if by_source else F.lit("*")
-    frontier = cut(first.select(source.alias("source"), "node"))
+    frontier = state.cut(first.select(source.alias("source"), "node"))
     layered = bool(layers) and priority != LayerPriority.BLENDS
     visited = frontier.withColumn("depth", F.lit(0))
     edges_seen: DataFrame | None = None
@@ -101,7 +114,7 @@ def spread_layers(
     if not frontier.n_rows:
         return
     yield Layer(0, frontier, None, None)
-    depth = 0
+    depth, n_frontier = 0, frontier.n_rows
     while (max_depth is None or depth < max_depth) and not state.ended:
         owners = {k: x.visited_nodes.select("node").distinct() for k, x in enumerate(layers) if x.visited_nodes is not None} if layered else {}
         others = None
@@ -110,7 +123,8 @@ def spread_layers(
         f = frontier.select(F.col("source").alias("__s"), F.col("node").alias("__n"))
         if state.taken is not None:
             f = f.join(state.taken.select(F.col("node").alias("__o")), F.col("__n") == F.col("__o"), "left_anti")
-        reach = f.join(adj, F.col("__n") == F.col("node")).select(F.col("__s").alias("source"), "node", "nbr", "edge_id", "dir")
+        f = F.broadcast(f) if n_frontier <= BROADCAST_ROWS else f
+        reach = adj.join(f, F.col("__n") == F.col("node")).select(F.col("__s").alias("source"), "node", "nbr", "edge_id", "dir")
         seen = visited.select(F.col("source").alias("__s"), F.col("node").alias("__n"), F.col("depth").alias("nbr_depth"))
         reach = reach.join(seen, (F.col("source") == F.col("__s")) & (F.col("nbr") == F.col("__n")), "left").drop("__s", "__n")
         reach = reach.where(F.col("nbr_depth").isNull() | (F.col("nbr_depth") == depth))
@@ -120,22 +134,26 @@ def spread_layers(
             reach = candidate.select("source", F.col("parent").alias("node"), F.col("node").alias("nbr"), "edge_id", "dir", "nbr_depth")
         if others is not None and priority == LayerPriority.TERMINATES:
             reach = reach.join(others.select(F.col("node").alias("__o")), F.col("nbr") == F.col("__o"), "left_anti")
-        reach = cut(reach)
+        reach = state.cut(reach, F.col("nbr_depth").isNull())
         new = reach.where("nbr_depth is null").groupBy("source", "nbr").agg(F.min(F.struct("node", "edge_id")).alias("from"))
-        new = cut(new.select("source", F.col("nbr").alias("node"), F.col("from.node").alias("parent"), F.col("from.edge_id").alias("edge_id")))
+        new = new.select("source", F.col("nbr").alias("node"), F.col("from.node").alias("parent"), F.col("from.edge_id").alias("edge_id"))
+        n_frontier = reach.n_flagged  # at least as many rows as new nodes
+        if n_frontier > BROADCAST_ROWS:  # smaller ones are found again where they are read
+            new = state.cut(new)
+            n_frontier = new.n_rows
         out = reach if not exclude_same_depth_edges else reach.where("nbr_depth is null")
         forward = F.col("dir") == "out"
         ends = F.struct(F.when(forward, F.col("node")).otherwise(F.col("nbr")).alias("a"), F.when(forward, F.col("nbr")).otherwise(F.col("node")).alias("b"))
         edges = out.groupBy("source", "edge_id").agg(F.min(ends).alias("e"), F.min("node").alias("by")).select("source", "edge_id", F.col("e.a").alias("src_node"), F.col("e.b").alias("dst_node"), "by")
         depth += 1
-        empty = not new.n_rows
+        empty = not n_frontier
         if empty and not reach.n_rows:
             return
         nodes = new.select("source", "node")
         visited = visited.unionByName(nodes.withColumn("depth", F.lit(depth)))
         edges_seen = _union(edges_seen, edges.select("source", "edge_id").withColumn("depth", F.lit(depth)))
         if depth % 4 == 0:
-            visited, edges_seen = cut(visited), cut(edges_seen)
+            visited, edges_seen = state.cut(visited), state.cut(edges_seen)
         state.visited_nodes, state.visited_edges = visited, edges_seen
         met = False
         if others is not None:
@@ -149,26 +167,25 @@ def spread_layers(
                         layers[k].ended = True
             elif priority == LayerPriority.OVERRIDES:
                 for k, o in owners.items():
-                    hit = cut(mine.join(o, "node", "left_semi").distinct())
+                    hit = state.cut(mine.join(o, "node", "left_semi").distinct())
                     if hit.n_rows:
-                        layers[k].taken = cut(_union(layers[k].taken, hit).distinct())
-                        state.overridden = cut(_union(state.overridden, hit).distinct())
+                        layers[k].taken = state.cut(_union(layers[k].taken, hit).distinct())
+                        state.overridden = state.cut(_union(state.overridden, hit).distinct())
         path = new if keep_path else None
         if max_nodes_per_execution is None or empty:
             yield Layer(depth, nodes, edges.drop("by"), path)
         else:
-            yield from _parts(depth, frontier, new, edges, max_nodes_per_execution, keep_path)
+            yield from _parts(state, depth, frontier, new, n_frontier, edges, max_nodes_per_execution, keep_path)
         if empty or met:
             return
         frontier = nodes
 
 
-def _parts(depth: int, frontier: DataFrame, new: DataFrame, edges: DataFrame, size: int, keep_path: bool) -> Iterator[Layer]:
+def _parts(state: SpreadState, depth: int, frontier: DataFrame, new: DataFrame, rows: int, edges: DataFrame, size: int, keep_path: bool) -> Iterator[Layer]:
     """Parts of a layer: the frontier in chunks of `size` by id, with what each chunk is the first to reach."""
-    ranked = cut(dense_index(frontier.select("node").distinct(), ["node"], "__rank").select("node", F.floor(F.col("__rank") / size).alias("chunk")))
-    rows = new.n_rows
-    nodes = cut(lookup(new, "parent", ranked, "node", "chunk", "chunk", rows))
-    edges = cut(lookup(edges, "by", ranked, "node", "chunk", "chunk", rows).drop("by"))
+    ranked = state.cut(dense_index(frontier.select("node").distinct(), ["node"], "__rank").select("node", F.floor(F.col("__rank") / size).alias("chunk")))
+    nodes = state.cut(lookup(new, "parent", ranked, "node", "chunk", "chunk", rows))
+    edges = state.cut(lookup(edges, "by", ranked, "node", "chunk", "chunk", rows).drop("by"))
     for k in range(ranked.agg(F.max("chunk")).first()[0] + 1):
         here = nodes.where(F.col("chunk") == k).drop("chunk")
         yield Layer(depth, here.select("source", "node"), edges.where(F.col("chunk") == k).drop("chunk"), here if keep_path else None)
@@ -180,7 +197,7 @@ def spread(net: Network, start: DataFrame, results: Callable[[Layer], object] |
     for layer in spread_layers(net, start, state=state, **options):
         answer = results(layer) if results else None
         if answer and (answer.get("stop") if isinstance(answer, dict) else getattr(answer, "stop", False)):
-            state.visited_nodes = state.visited_edges = None
+            state.release()
             break
     return state
 

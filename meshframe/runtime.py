@@ -51,19 +51,20 @@ def new_path(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, flag: Column | None = None) -> DataFrame:
+def cut(df: DataFrame, flag: Column | None = None, also: Column | None = None) -> DataFrame:
     """Cut the lineage: df is written as a table to the shared checkpoint folder and read from there.
 
     A written table carries no constraints or statistics of the plan that made it, which grow with every round of a loop
     where checkpoint() hands them on; and it is columnar, compressed and of known size. The rows are counted as they are
-    written: `n_rows` of the result is their number, `n_flagged` that of the rows where `flag` is true.
+    written: `n_rows` of the result is their number, `n_flagged` that of the rows where `flag` is true, `also` the aggregate asked for.
     """
     spark = df.sparkSession
     path = new_path(spark)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.lit(False) if flag is None else flag).alias("n_flagged")).write.parquet(path)
+    counts = [F.count(F.lit(1)).alias("n_rows"), F.count_if(F.lit(False) if flag is None else flag).alias("n_flagged"), (F.count(F.lit(1)) if also is None else also).alias("also")]
+    df.observe(seen, *counts).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.written_to, out.n_rows, out.n_flagged = path, seen.get["n_rows"], seen.get["n_flagged"]
+    out.written_to, out.n_rows, out.n_flagged, out.also = path, seen.get["n_rows"], seen.get["n_flagged"], seen.get["also"]
     return out
 
 
