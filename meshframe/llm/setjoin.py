@@ -1,16 +1,23 @@
 """All pairs of records whose sets overlap above a similarity threshold: T-occurrence list merging.
 
 Exact copies become one class. Elements are ordered by frequency, rarest first. Two sets with Jaccard similarity >= t share
-an element among the first few of each (prefix), so the inverted lists are partitioned by prefix element: a set is sent to
-the partition of each of its prefix elements, as list content only for the still shorter prefix that suffices for the
-smaller set of a pair. In a partition, every set probes the inverted lists of the others: the lists of its elements are
-merged with a heap that skips what can't reach the required count, the longest lists are left out of the merge and searched
-by bisection for the candidates that remain.
-
-A partition of an element in more than `HOT` sets is split by the next two elements that a pair has in common (a pair with
-the required overlap has them within two more places of the prefix), so a frequent element is no hot group. A pair is
-emitted only where the partition's key is its first common elements: once. A partition that is still too large for a task
-is split by the sets that probe it.
+an element among the first few of each (prefix), so the inverted lists are partitioned by prefix element, and by the size of
+the listed set in steps of 1 / t: a set is list content in the partitions of its own step, for the still shorter prefix that
+suffices for the smaller set of a pair, and probes those of the two or three steps that its smaller partners can be of. In a
+partition, every set probes the inverted lists of the others: the lists of its elements are merged with a heap that skips
+what can't reach the required count, the longest lists are left out of the merge and searched by bisection for the
+candidates that remain.
+
+No frequent element makes a hot group, and none loses a pair:
+
+* Where sets are so small that their prefixes have few combinations, and every pair of the step must share that many
+  elements, a partition of an element in more than `HOT` sets is keyed by the first two or three common elements instead
+  (at most `MORE` times as many rows as the prefix has places; the depth depends on the step alone, so both sets of a pair
+  agree on it).
+* Any partition that is still too large is a grid: its listed sets are divided into blocks of about `LISTED` elements, and
+  the sets that probe them into parts of about `PROBED`; each cell is a group of its own.
+
+A pair is emitted only where the partition's key is its first common elements and one of the two probes: once.
 """
 
 from __future__ import annotations
@@ -19,14 +26,19 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain, groupby
+from math import comb, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.runtime import cut, hot_values, lookup, parts
+from meshframe.runtime import BROADCAST_ROWS, cut, drop, lookup
 
-#: Number of sets that hold an element, beyond which its partition is split by two further elements.
+#: Number of sets that hold an element, beyond which its partitions are keyed by further common elements where these are few.
 HOT = 2000
+#: Rows that such keys may make, as a multiple of the places of a prefix.
+MORE = 4
+#: Elements of the listed sets of a cell, and of the sets that probe it.
+LISTED, PROBED = 1 << 20, 1 << 22
 #: Members up to which a class of exact copies is expanded into pairs of members; beyond it, see expand().
 EXPAND = 100
 
@@ -49,27 +61,54 @@ def _ranked(found: DataFrame) -> DataFrame:
     """(side, rep, els, dfs): the items of each class by frequency, rarest first, and their frequencies."""
     one = found.select("side", "rep", F.explode("items").alias("e")).withColumn("se", F.concat_ws(":", "side", F.col("e").cast("string")))
     df = one.groupBy("se").agg(F.count(F.lit(1)).alias("df"))
-    one = lookup(one, "se", df, "se", "df", "df", one.count())
+    one = lookup(one, "se", df, "se", "df", "df", found.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0])
     x = one.groupBy("side", "rep").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("x"))
     return x.select("side", "rep", F.col("x.e").alias("els"), F.col("x.df").alias("dfs"))
 
 
+def _step(n: Column, num: int, den: int) -> Column:
+    """The step of a set's size, ascending: sizes of a step differ by less than 1 / t."""
+    return n if num == den else F.floor(F.ln(n) / F.lit(log(den / num))).cast("int")
+
+
+def key_depths(num: int, den: int) -> list[int]:
+    """By step, how many common elements can key a pair of a frequent first one; later steps: 1.
+
+    All pairs of a step must share as many, and no prefix of a set that probes it may have too many combinations.
+    """
+    out: list[int] = []
+    while num < den:
+        lo, hi = (int((den / num) ** (len(out) + k) * (1 + (2 * k - 1) * 1e-9)) + k for k in (0, 1))
+        required, n = -(-max(lo, 1) * num // den), hi * den // num + 1
+        prefix = n + 1 - -(-n * num // den)
+        depth = max(d for d in (1, 2, 3) if d == 1 or d <= required and comb(prefix + d - 1, d) <= MORE * prefix)
+        if depth == 1 and prefix > 2 * MORE:
+            break
+        out.append(depth)
+    return out
+
+
 def _keys(ranked: DataFrame, num: int, den: int) -> DataFrame:
-    """(side, key, listed, rep, els): each class once for each partition that it is sent to; t = num / den.
+    """(side, step, key, listed, rep, els): each class once for each partition that it is sent to; t = num / den.
 
     Its probing prefix suffices for partners of any size (overlap >= t n), its listed prefix for partners that aren't
-    smaller (overlap >= 2 t n / (1 + t)).
+    smaller (overlap >= 2 t n / (1 + t)). The k-th common element of a pair is within k - 1 more places.
     """
     n = F.size("els")
     x = ranked.withColumn("probing", n - F.ceil(n * num / den).cast("int") + 1).withColumn("listing", n - F.ceil(n * (2 * num) / (num + den)).cast("int") + 1)
-    x = x.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("probing") - 1)))
-    df = F.element_at("dfs", F.col("i") + 1)
-    el = lambda c: F.element_at("els", c + 1)
-    mild = x.where((df > 1) & (df <= HOT)).select("side", F.array(el(F.col("i"))).alias("key"), (F.col("i") < F.col("listing")).alias("listed"), "rep", "els")
-    hot = x.where(df > HOT).withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("probing"))))
-    hot = hot.where(F.col("j") < n).withColumn("l", F.explode(F.sequence(F.col("j") + 1, F.col("probing") + 1))).where(F.col("l") < n)
-    hot = hot.select("side", F.array(el(F.col("i")), el(F.col("j")), el(F.col("l"))).alias("key"), (F.col("l") < F.col("listing") + 2).alias("listed"), "rep", "els")
-    return mild.unionByName(hot)
+    x = x.withColumn("own", _step(n, num, den)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("probing") - 1))).where(F.element_at("dfs", F.col("i") + 1) > 1)
+    x = x.withColumn("step", F.explode(F.sequence(_step(F.ceil(n * num / den), num, den), F.col("own"))))
+    deep = F.array(*[F.lit(d) for d in key_depths(num, den) or [1]])
+    x = x.withColumn("depth", F.when(F.element_at("dfs", F.col("i") + 1) > HOT, F.coalesce(F.get(deep, F.col("step")), F.lit(1))).otherwise(1))
+    el = lambda c: F.element_at("els", F.col(c) + 1)
+
+    def rows(y: DataFrame, *at: str) -> DataFrame:
+        listed = (F.col("step") == F.col("own")) & (F.col(at[-1]) < F.col("listing") + (len(at) - 1))
+        return y.select("side", "step", F.array(*[el(c) for c in at]).alias("key"), listed.alias("listed"), "rep", "els")
+
+    two = x.where("depth > 1").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("probing")))).where(F.col("j") < n)
+    three = two.where("depth = 3").withColumn("l", F.explode(F.sequence(F.col("j") + 1, F.col("probing") + 1))).where(F.col("l") < n)
+    return rows(x.where("depth = 1"), "i").unionByName(rows(two.where("depth = 2"), "i", "j")).unionByName(rows(three, "i", "j", "l"))
 
 
 def merge_skip(lists: list[list[int]], need: int, lo: int, hi: int) -> list[tuple[int, int]]:
@@ -165,7 +204,7 @@ def _pairs_of(side: str, key: tuple, group: Iterator[tuple[bool, bool, int, list
 
 
 def _join(num: int, den: int):
-    names = ("side", "key", "salt", "listed", "probes", "rep", "els")
+    names = ("side", "key", "step", "block", "part", "listed", "probes", "rep", "els")
 
     def run(batches):
         import pyarrow as pa
@@ -180,8 +219,8 @@ def _join(num: int, den: int):
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["side", "rep_lo", "rep_hi", "overlap"])
 
-        for (side, key, _), group in groupby(rows(), key=lambda r: (r[0], tuple(r[1]), r[2])):
-            for pair in _pairs_of(side, key, (r[3:] for r in group), num, den):
+        for (side, key, *_), group in groupby(rows(), key=lambda r: (r[0], tuple(r[1]), *r[2:5])):
+            for pair in _pairs_of(side, key, (r[5:] for r in group), num, den):
                 out.append(pair)
                 if len(out) > 10_000:
                     yield batch()
@@ -191,26 +230,33 @@ def _join(num: int, den: int):
     return run
 
 
-def _salted(keyed: DataFrame, rows: int) -> DataFrame:
-    """keyed with `salt` and `probes`: a partition that is too large for a task is split by the sets that probe it; its
-    lists are in every part of it, and each listed set probes in one."""
-    name = F.concat_ws(",", "side", F.col("key").cast("array<string>"))
-    named = keyed.withColumn("name", name)
-    hot = hot_values(named.where(F.size("key") > 1), "name", rows)
-    if not hot:
-        return keyed.withColumn("salt", F.lit(0)).withColumn("probes", F.lit(True))
-    n = parts(keyed.sparkSession)
-    own = F.when(F.col("name").isin(hot), F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")).otherwise(0)
-    every = F.when(F.col("name").isin(hot) & F.col("listed"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array("own"))
-    return named.withColumn("own", own).withColumn("salt", F.explode(every)).withColumn("probes", F.col("salt") == F.col("own")).drop("name", "own")
+def _in_cells(keyed: DataFrame) -> DataFrame:
+    """keyed with (block, part, probes): a partition that is too large for a task becomes a grid of cells. A set is listed in
+    all parts of its block and probes all blocks in its part; in any cell, it does one of the two or both."""
+    size = F.size("els")
+    total = keyed.groupBy("side", "step", "key").agg(F.sum(F.when(F.col("listed"), size).otherwise(0)).alias("n_listed"), F.sum(size).alias("n_probing"))
+    total = total.where((F.col("n_listed") > LISTED) | ((F.col("n_probing") > PROBED) & (F.col("n_listed") > 0)))
+    large = cut(total.select(F.struct("side", "step", "key").alias("__p"), F.ceil(F.col("n_listed") / LISTED).cast("int").alias("blocks"), F.ceil(F.col("n_probing") / PROBED).cast("int").alias("parts")))
+    if not large.n_rows:
+        drop(large)
+        return keyed.select("*", F.lit(0).alias("block"), F.lit(0).alias("part"), F.lit(True).alias("probes"))
+    large = F.broadcast(large) if large.n_rows <= BROADCAST_ROWS else large
+    x = keyed.join(large, F.struct("side", "step", "key") == F.col("__p"), "left").drop("__p").fillna(1, ["blocks", "parts"])
+    x = x.withColumn("own_block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("own_part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int"))
+    cell = lambda b, p: F.struct(b.alias("block"), p.alias("part"))
+    probing = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: cell(b, F.col("own_part")))
+    listing = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: cell(F.col("own_block"), p))
+    x = x.select("*", F.inline(F.when(F.col("listed"), F.array_union(probing, listing)).otherwise(probing)))
+    return x.withColumn("listed", F.col("listed") & (F.col("block") == F.col("own_block"))).withColumn("probes", F.col("part") == F.col("own_part"))
 
 
 def class_pairs(found: DataFrame, num: int, den: int) -> DataFrame:
     """(side, rep_lo, rep_hi, overlap) for all pairs of classes with |A & B| / |A | B| >= num / den, compared exactly."""
     ranked = cut(_ranked(found))
-    keyed = _salted(_keys(ranked, num, den), ranked.n_rows)
-    keyed = keyed.repartition("side", "key", "salt").sortWithinPartitions("side", "key", "salt", F.desc("listed"))
-    return keyed.select("side", "key", "salt", "listed", "probes", "rep", "els").mapInArrow(_join(num, den), "side string, rep_lo bigint, rep_hi bigint, overlap int")
+    group = ["side", "key", "step", "block", "part"]
+    keyed = _in_cells(_keys(ranked, num, den))
+    keyed = keyed.repartition(*group).sortWithinPartitions(*group, F.desc("listed"))
+    return keyed.select(*group, "listed", "probes", "rep", "els").mapInArrow(_join(num, den), "side string, rep_lo bigint, rep_hi bigint, overlap int")
 
 
 def _members(member: DataFrame, found: DataFrame) -> DataFrame:
@@ -223,7 +269,7 @@ def expand(member: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
     """(side, node_lo, node_hi): pairs of nodes from pairs of classes, and pairs within classes.
 
     A class of more than EXPAND copies is not expanded into pairs of its members: each member comes out paired with the
-    smallest of them, and partners are paired with the smallest only; members() has its whole membership.
+    smallest of them, and partners are paired with the smallest only; links() has every node's class.
     """
     nodes = cut(_members(member, found))
     one = lambda c, out: F.coalesce(c, F.array(F.col(out)))

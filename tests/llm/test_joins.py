@@ -10,12 +10,12 @@ from meshframe.llm import groups, setjoin
 random.seed(11)
 
 
-def brute(sets):
-    """(side, lo, hi) with |A & B| / |A | B| >= 0.7 among sets of at least 4."""
+def brute(sets, num=7, den=10, least=4):
+    """(side, lo, hi) with |A & B| / |A | B| >= num / den among sets of at least `least`."""
     out = set()
-    for (s, a), (t, b) in combinations(sorted((k for k in sets if len(sets[k]) >= 4), key=repr), 2):
+    for (s, a), (t, b) in combinations(sorted((k for k in sets if len(sets[k]) >= least), key=repr), 2):
         x, y = sets[s, a], sets[t, b]
-        if s == t and 10 * len(x & y) >= 7 * len(x | y):
+        if s == t and den * len(x & y) >= num * len(x | y):
             out.add((s, min(a, b), max(a, b)))
     return out
 
@@ -40,21 +40,42 @@ def frame(spark, sets):
     return spark.createDataFrame(data, "side string, node bigint, items array<bigint>").withColumn("k", F.lit("clash")).withColumn("rep", F.lit(1))
 
 
-def found(df):
-    member, classes = setjoin.classes(df, 4)
-    return setjoin.expand(member, classes, setjoin.class_pairs(classes, 7, 10))
+def found(df, num=7, den=10, least=4):
+    member, classes = setjoin.classes(df, least)
+    return setjoin.expand(member, classes, setjoin.class_pairs(classes, num, den))
 
 
-@pytest.mark.parametrize("hot, hubs, salted", [(2000, 12, False), (3, 12, False), (3, 5, True), (1, 8, True)])
-def test_against_brute_force(spark, monkeypatch, hot, hubs, salted):
+@pytest.mark.parametrize("hot, hubs, size", [(2000, 12, 1 << 20), (3, 12, 1 << 20), (3, 5, 40), (1, 8, 10)])
+def test_against_brute_force(spark, monkeypatch, hot, hubs, size):
     monkeypatch.setattr(setjoin, "HOT", hot)
-    if salted:
-        monkeypatch.setattr(setjoin, "hot_values", lambda df, key, rows: [x[0] for x in df.groupBy(key).count().where("count > 3").select(key).collect()])
+    monkeypatch.setattr(setjoin, "LISTED", size)
+    monkeypatch.setattr(setjoin, "PROBED", 2 * size)
     sets = made(120, hubs)
     got = rows(found(frame(spark, sets)))
     assert len(got) == len(set(got)) and set(got) == brute(sets)
 
 
+@pytest.mark.parametrize("num, den, hot, size", [(1, 2, 1, 1 << 20), (1, 2, 1, 8), (9, 10, 1, 20), (1, 5, 1, 30), (1, 1, 1, 30)])
+def test_small_sets_and_other_thresholds(spark, monkeypatch, num, den, hot, size):
+    """Sets of one element up, all of it frequent: pairs with fewer common elements than a long key has aren't lost."""
+    monkeypatch.setattr(setjoin, "HOT", hot)
+    monkeypatch.setattr(setjoin, "LISTED", size)
+    monkeypatch.setattr(setjoin, "PROBED", size)
+    sets = {("a", i): {1, 2, 100 + i} for i in range(8)} | {("a", 20 + i): set(random.sample(range(6), random.randrange(1, 4))) for i in range(40)}
+    sets |= {("b", i): set(random.sample(range(30), random.randrange(15, 30))) for i in range(40)}
+    got = rows(found(frame(spark, sets), num, den, 1))
+    assert len(got) == len(set(got)) and set(got) - {x for x in got if max(x[1:]) > 9000} == brute(sets, num, den, 1)
+
+
+def test_rows_grow_with_the_prefix(spark, monkeypatch):
+    """A set of frequent elements is sent to a few times as many partitions as its prefix has places, whatever its size."""
+    monkeypatch.setattr(setjoin, "HOT", 1)
+    for n in (4, 8, 16, 23, 40, 1000):
+        ranked = spark.createDataFrame([("a", 1, list(range(n)), [9] * n)], "side string, rep bigint, els array<bigint>, dfs array<bigint>")
+        prefix = n - -(-7 * n // 10) + 1
+        assert setjoin._keys(ranked, 7, 10).count() <= 3 * setjoin.MORE * prefix, n
+
+
 def test_many_copies(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "EXPAND", 3)
     sets = {("a", i): {1, 2, 3, 4, 5} for i in range(10, 15)} | {("a", 20): {1, 2, 3, 4}, ("a", 21): {9, 8, 7, 6}}
