@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshframe.functions.presence import canonical_uid
@@ -65,30 +65,26 @@ def _replayed(spark: SparkSession, d: str):
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    for _, state in _replayed(spark, d):
-        last = state
-    return last.refs.where("orphan").select(F.col("ref").alias("edge_row"), "side")
+    *_, (_, last) = _replayed(spark, d)
+    return last.orphans().select(F.col("ref").alias("edge_row"), "side")
 
 
-def _counts(refs: DataFrame) -> DataFrame:
-    x = refs.where("orphan").groupBy("side", F.date_format("at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n_orphans"))
-    return x.select(F.lit("test_edge").alias("referring"), "side", "month", "n_orphans")
+def _month() -> Column:
+    return F.date_format("at", "yyyy-MM").alias("month")
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     """Orphan references per referring table, side and month of the reference."""
-    for _, state in _replayed(spark, d):
-        last = state
-    return _counts(last.refs)
+    *_, (_, last) = _replayed(spark, d)
+    return last.counts(_month()).select(F.lit("test_edge").alias("referring"), "side", "month", "n_orphans")
 
 
 def p5_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """The same counts after each batch, as pending at that time; the last has no time."""
-    shots = None
-    for at, state in _replayed(spark, d):
-        x = _counts(state.refs).withColumn("taken_at", F.lit(at.isoformat(sep=" ") if at else None).cast("string"))
-        shots = x if shots is None else shots.unionByName(x)
-    return shots
+    states = list(_replayed(spark, d))
+    taken = spark.createDataFrame([(s.batch, at.isoformat(sep=" ") if at else None) for at, s in states], "batch int, taken_at string")
+    x = states[-1][1].snapshots(_month()).join(F.broadcast(taken), "batch")  # one row a batch
+    return x.select(F.lit("test_edge").alias("referring"), "side", "month", "n_orphans", "taken_at")
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_edges, p3_entries, p3_median, p5_found, p5_counts, p5_snapshots)}

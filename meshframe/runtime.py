@@ -68,12 +68,16 @@ def cut(df: DataFrame, flag: Column | None = None, also: Column | None = None) -
     return out
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by cut() that no later step reads."""
     for t in tables:
-        sc = t.sparkSession.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(t.written_to)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        delete(t.sparkSession, t.written_to)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:

@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 from conftest import rows
@@ -41,6 +42,36 @@ def test_against_brute_force(spark):
         assert got == brute(parents, refs, at), at
 
 
+def test_batches_touch_their_keys_only(spark):
+    """What a batch reads of the log and what it writes doesn't depend on the size of the state."""
+    written = []
+    for n in (40, 400):
+        refs = spark.range(n).selectExpr("concat('k', id) as key", "timestamp_ntz'2023-01-10' as at", "id as ref", "'a' as side")
+        parents = spark.range(n).selectExpr("concat('k', id) as key", "timestamp_ntz'2023-01-01' as at", "1 as opened", "1 as seen").where("key not in ('k1', 'k2')")
+        state = orphans.advance(None, parents, refs)
+        assert {r.key for r in state.orphans().collect()} == {"k1", "k2"}
+        one = spark.createDataFrame([("k1", T0 + timedelta(days=3), 1, 1), ("k3", T0 + timedelta(days=4), -1, 0)], "key string, at timestamp_ntz, opened bigint, seen bigint")
+        touched = orphans.cut(one.selectExpr("key", "at as since", "true as seen").withColumn("bucket", state.bucket(F.col("key"))), also=F.min("since"))
+        plan = orphans.affected(state, touched)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: [^\n]*bucket#\d+ (IN|INSET|=)", plan) and re.search(r"PushedFilters: [^\n]*GreaterThanOrEqual\(at,2023-01-04", plan), plan
+        after = orphans.advance(state, one, refs.limit(0))
+        written.append([after.log(k).where(F.col("batch") == 1).count() for k in ("index", "refs")])
+        assert {r.key for r in after.orphans().collect()} == {"k2", "k3"} and {r.key for r in state.orphans().collect()} == {"k1", "k2"}
+        late = spark.createDataFrame([("k5", T0 + timedelta(days=30), -1, 0)], "key string, at timestamp_ntz, opened bigint, seen bigint")
+        last = orphans.advance(after, late, refs.where("key = 'k2'"))  # after the reference's date; and a reference once more
+        assert sorted(r.key for r in last.orphans().collect()) == ["k2", "k2", "k3"] and last.counts().first().n_orphans == 3
+        assert [(r.batch, r.n_orphans) for r in last.snapshots().orderBy("batch").collect()] == [(0, 2), (1, 2), (2, 3)]
+        whole = rows(last.refs)
+        assert rows(orphans.compacted(last).refs) == whole
+    assert written[0] == written[1] == [2, 2]
+
+
+def test_many_touched_keys(spark, monkeypatch):
+    """Keys that aren't broadcast meet references by salt, with the same result."""
+    monkeypatch.setattr(orphans, "BROADCAST_ROWS", 0)
+    test_against_brute_force(spark)
+
+
 def test_empty(spark):
     events = spark.createDataFrame([], "key string, at timestamp_ntz, opened bigint, seen bigint")
     refs = spark.createDataFrame([("a", None, 1, "a")], "key string, at timestamp_ntz, ref bigint, side string")
