@@ -1,17 +1,17 @@
 """All pairs of records whose sets overlap above a similarity threshold: T-occurrence list merging.
 
 Exact copies become one class. Elements are ordered by frequency, rarest first. Two sets with Jaccard similarity >= t share
-an element among the first few of each (prefix), so the inverted lists are partitioned by prefix element, and by the size of
-the listed set in steps of 1 / t: a set is list content in the partitions of its own step, for the still shorter prefix that
-suffices for the smaller set of a pair, and probes those of the two or three steps that its smaller partners can be of. In a
-partition, every set probes the inverted lists of the others: the lists of its elements are merged with a heap that skips
+an element among the first few of each (prefix), so the inverted lists are partitioned by prefix element: a set probes the
+partition of each of its prefix elements, and is list content there only for the still shorter prefix that suffices for the
+smaller set of a pair. Partitions of elements in more than `HOT` sets are parted by the size of the listed set, in steps of
+1 / t: a set is listed in its own step and probes the two or three that its smaller partners can be of. In a partition, every set probes the inverted lists of the others: the lists of its elements are merged with a heap that skips
 what can't reach the required count, the longest lists are left out of the merge and searched by bisection for the
 candidates that remain.
 
 No frequent element makes a hot group, and none loses a pair:
 
 * Where sets are so small that their prefixes have few combinations, and every pair of the step must share that many
-  elements, a partition of an element in more than `HOT` sets is keyed by the first two or three common elements instead
+  elements, a partition of such an element is keyed by the first two or three common elements instead
   (at most `MORE` times as many rows as the prefix has places; the depth depends on the step alone, so both sets of a pair
   agree on it).
 * Any partition that is still too large is a grid: its listed sets are divided into blocks of about `LISTED` elements, and
@@ -35,6 +35,8 @@ from meshframe.runtime import BROADCAST_ROWS, cut, drop, lookup
 
 #: Number of sets that hold an element, beyond which its partitions are keyed by further common elements where these are few.
 HOT = 2000
+#: The step of a partition that isn't parted by size.
+ANY = -1
 #: Rows that such keys may make, as a multiple of the places of a prefix.
 MORE = 4
 #: Elements of the listed sets of a cell, and of the sets that probe it.
@@ -59,9 +61,12 @@ def classes(sets: DataFrame, at_least: int) -> tuple[DataFrame, DataFrame]:
 
 def _ranked(found: DataFrame) -> DataFrame:
     """(side, rep, els, dfs): the items of each class by frequency, rarest first, and their frequencies."""
-    one = found.select("side", "rep", F.explode("items").alias("e")).withColumn("se", F.concat_ws(":", "side", F.col("e").cast("string")))
-    df = one.groupBy("se").agg(F.count(F.lit(1)).alias("df"))
-    one = lookup(one, "se", df, "se", "df", "df", found.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0])
+    one = found.select("side", "rep", F.explode("items").alias("e")).withColumn("se", F.struct("side", "e"))
+    df = cut(one.groupBy("se").agg(F.count(F.lit(1)).alias("df")), also=F.sum("df"))
+    if df.n_rows <= BROADCAST_ROWS:  # ids and counts: a few MB
+        one = one.join(F.broadcast(df.withColumnRenamed("se", "__k")), F.col("se") == F.col("__k"))
+    else:
+        one = lookup(one, "se", df, "se", "df", "df", df.also)
     x = one.groupBy("side", "rep").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("x"))
     return x.select("side", "rep", F.col("x.e").alias("els"), F.col("x.df").alias("dfs"))
 
@@ -97,13 +102,14 @@ def _keys(ranked: DataFrame, num: int, den: int) -> DataFrame:
     n = F.size("els")
     x = ranked.withColumn("probing", n - F.ceil(n * num / den).cast("int") + 1).withColumn("listing", n - F.ceil(n * (2 * num) / (num + den)).cast("int") + 1)
     x = x.withColumn("own", _step(n, num, den)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("probing") - 1))).where(F.element_at("dfs", F.col("i") + 1) > 1)
-    x = x.withColumn("step", F.explode(F.sequence(_step(F.ceil(n * num / den), num, den), F.col("own"))))
+    steps = F.sequence(_step(F.ceil(n * num / den), num, den), F.col("own"))
+    x = x.withColumn("step", F.explode(F.when(F.element_at("dfs", F.col("i") + 1) > HOT, steps).otherwise(F.array(F.lit(ANY)))))
     deep = F.array(*[F.lit(d) for d in key_depths(num, den) or [1]])
-    x = x.withColumn("depth", F.when(F.element_at("dfs", F.col("i") + 1) > HOT, F.coalesce(F.get(deep, F.col("step")), F.lit(1))).otherwise(1))
+    x = x.withColumn("depth", F.when(F.col("step") > ANY, F.coalesce(F.get(deep, F.col("step")), F.lit(1))).otherwise(1))
     el = lambda c: F.element_at("els", F.col(c) + 1)
 
     def rows(y: DataFrame, *at: str) -> DataFrame:
-        listed = (F.col("step") == F.col("own")) & (F.col(at[-1]) < F.col("listing") + (len(at) - 1))
+        listed = F.col("step").isin(F.lit(ANY), F.col("own")) & (F.col(at[-1]) < F.col("listing") + (len(at) - 1))
         return y.select("side", "step", F.array(*[el(c) for c in at]).alias("key"), listed.alias("listed"), "rep", "els")
 
     two = x.where("depth > 1").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("probing")))).where(F.col("j") < n)
