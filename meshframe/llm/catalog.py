@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshframe.functions.presence import STAND_INS
 from meshframe.llm import groups, leak, packing, sentences, setjoin, survive
+from meshframe.llm.words import fold
 from meshframe.runtime import cut, read
 
 
@@ -120,7 +121,30 @@ with recursive e as (select a, b from match_edge where a <> b union select b, a
   best as (select id as node_id, min(other) as group_id from g group by 1)
 """
 
+def _folded() -> str:
+    """Rows (c, f) of the characters that words() compares in another form, f. Hangul stays composed: alike on both sides."""
+    codes = [*range(0x41, 0x5B), *range(0x80, 0xAC00), *range(0xF900, 0x1FFFF), *range(0xE0000, 0xE0200)]
+    pairs = [(chr(i), f) for i in codes if (f := fold(chr(i))) != chr(i)]
+    return ", ".join(f"({ord(c)}, '{f.replace(chr(39), chr(39) * 2)}')" for c, f in pairs)
+
+
+_GRAMS = f"""fold as (select chr(i) as c, f from (values {_folded()}) t(i, f)),
+  texts as (select true as is_item, item_id as id, text, row_number() over () as r from eval_item where item_id is not null and text is not null
+    union all select false, doc_id, text, -row_number() over () from documents where text is not null),
+  chars as (select r, unnest(regexp_extract_all(text, '(?s).')) as c, unnest(range(length(text))) as pos from texts),
+  parts as (select r, pos, unnest(regexp_extract_all(f, '(?s).')) as c, unnest(range(length(f))) as k from (select r, pos, coalesce(f, c) as f from chars left join fold using (c)) where f <> ''),
+  runs as (select *, regexp_full_match(c, '[\\p{{L}}\\p{{N}}]') as is_word, sum(case when is_word then 0 else 1 end) over (partition by r order by pos, k) as run from parts),
+  words as (select r, row_number() over (partition by r order by run) as n, string_agg(c, '' order by pos, k) as w, min(pos) as a, max(pos) + 1 as b from runs where is_word group by r, run),
+  grams as (select r, n, a, last_value(b) over t as b, string_agg(w, ' ') over t as g, count(*) over t as size from words window t as (partition by r order by n rows between current row and {leak.LENGTH - 1} following)),
+  hits as (select distinct d.r, d.n, d.a, d.b, x.id as item_id from grams i join texts x on x.r = i.r join grams d on d.g = i.g where i.r > 0 and d.r < 0 and i.size = {leak.LENGTH} and d.size = {leak.LENGTH})"""
+
 SQL = {
+    "p7_found": f"with {_GRAMS} select t.id as doc_id, item_id from (select distinct r, item_id from hits) h join texts t using (r)",
+    "p7_spans": f"""with {_GRAMS}, gaps as (select *, case when n - lag(n) over (partition by r order by n) <= {leak.LENGTH} then 0 else 1 end as new from (select distinct r, n, a, b from hits)),
+  spans as (select *, sum(new) over (partition by r order by n) as span from gaps),
+  whole as (select r, span, min(n) as n0, max(n) as n1, min(a) as start_pos, max(b) as end_pos from spans group by 1, 2)
+select t.id as doc_id, start_pos, end_pos, n1 + {leak.LENGTH} - n0 as n_words, array_to_string(list_sort(list(distinct item_id)), ',') as items
+from whole w join hits h on h.r = w.r and h.n between n0 and n1 join texts t on t.r = w.r group by w.r, t.id, start_pos, end_pos, n0, n1""",
     "p1_found": f"with {_SETS} select side, node_lo, node_hi from p",
     "p1_classes": f"""
 with {_SETS}, c as (select side, id, v, min(id) over (partition by side, v) as class_id from s),

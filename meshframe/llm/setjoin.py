@@ -1,6 +1,6 @@
 """All pairs of records whose sets overlap above a similarity threshold: T-occurrence list merging.
 
-Exact copies become one class. Elements are ordered by frequency, rarest first. Two sets with Jaccard similarity >= t share
+Exact copies become one class. Elements are ordered by frequency, rare ones first. Two sets with Jaccard similarity >= t share
 an element among the first few of each (prefix), so the inverted lists are partitioned by prefix element: a set probes the
 partition of each of its prefix elements, and is list content there only for the still shorter prefix that suffices for the
 smaller set of a pair. Partitions of elements in more than `HOT` sets are parted by the size of the listed set, in steps of
@@ -37,6 +37,8 @@ from meshframe.runtime import BROADCAST_ROWS, cut, drop, lookup
 HOT = 2000
 #: The step of a partition that isn't parted by size.
 ANY = -1
+#: Number of sets that hold an element, up to which it counts as rare.
+FEW = 8
 #: Rows that such keys may make, as a multiple of the places of a prefix.
 MORE = 4
 #: Elements of the listed sets of a cell, and of the sets that probe it.
@@ -60,14 +62,18 @@ def classes(sets: DataFrame, at_least: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _ranked(found: DataFrame) -> DataFrame:
-    """(side, rep, els, dfs): the items of each class by frequency, rarest first, and their frequencies."""
+    """(side, rep, els, dfs): the items of each class by frequency, rarest first, and their frequencies.
+
+    Elements of up to FEW sets count as equally rare, so only the frequencies of the others have to be looked up.
+    """
     one = found.select("side", "rep", F.explode("items").alias("e")).withColumn("se", F.struct("side", "e"))
-    df = cut(one.groupBy("se").agg(F.count(F.lit(1)).alias("df")), also=F.sum("df"))
+    df = one.groupBy("se").agg(F.count(F.lit(1)).alias("df"))
+    df = cut(df.where(F.col("df") > FEW), also=F.sum("df"))
     if df.n_rows <= BROADCAST_ROWS:  # ids and counts: a few MB
-        one = one.join(F.broadcast(df.withColumnRenamed("se", "__k")), F.col("se") == F.col("__k"))
+        one = one.join(F.broadcast(df.withColumnRenamed("se", "__k")), F.col("se") == F.col("__k"), "left")
     else:
-        one = lookup(one, "se", df, "se", "df", "df", df.also)
-    x = one.groupBy("side", "rep").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("x"))
+        one = lookup(one, "se", df, "se", "df", "df", df.also, "left")
+    x = one.groupBy("side", "rep").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1).cast("bigint")).alias("df"), "e"))).alias("x"))
     return x.select("side", "rep", F.col("x.e").alias("els"), F.col("x.df").alias("dfs"))
 
 
@@ -101,7 +107,7 @@ def _keys(ranked: DataFrame, num: int, den: int) -> DataFrame:
     """
     n = F.size("els")
     x = ranked.withColumn("probing", n - F.ceil(n * num / den).cast("int") + 1).withColumn("listing", n - F.ceil(n * (2 * num) / (num + den)).cast("int") + 1)
-    x = x.withColumn("own", _step(n, num, den)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("probing") - 1))).where(F.element_at("dfs", F.col("i") + 1) > 1)
+    x = x.withColumn("own", _step(n, num, den)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("probing") - 1)))
     steps = F.sequence(_step(F.ceil(n * num / den), num, den), F.col("own"))
     x = x.withColumn("step", F.explode(F.when(F.element_at("dfs", F.col("i") + 1) > HOT, steps).otherwise(F.array(F.lit(ANY)))))
     deep = F.array(*[F.lit(d) for d in key_depths(num, den) or [1]])

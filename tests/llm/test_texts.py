@@ -19,13 +19,26 @@ def test_words():
 
 def test_fm_index():
     rng = np.random.default_rng(2)
-    text = rng.integers(1, 5, 500)
-    index = leak.FMIndex(text, 5)
-    phrases = rng.integers(1, 5, (60, 4))
-    lo, hi = index.search(phrases)
-    for p, a, b in zip(phrases, lo, hi, strict=True):
-        want = [i for i in range(497) if (text[i : i + 4] == p).all()]
-        assert sorted(index.locate(np.arange(a, b))) == want
+    for n, symbols in ((500, 5), (1, 2), (40, 2), (300, 200), (64, 3)):
+        text = rng.integers(1, symbols, n)
+        if n == 64:
+            text = np.tile([1, 2, 1, 1], 16)  # long repeats
+        order = leak.suffix_order(np.append(text, 0), symbols)
+        assert order.tolist() == sorted(range(n + 1), key=lambda i: [*text[i:], 0])
+        index = leak.FMIndex(**leak.FMIndex.build(text, symbols))
+        phrases = rng.integers(1, symbols, (60, 4))
+        lo, hi = index.search(phrases)
+        for p, a, b in zip(phrases, lo, hi, strict=True):
+            want = [i for i in range(n - 3) if (text[i : i + 4] == p).all()]
+            assert sorted(index.locate(np.arange(a, b))) == want
+
+
+def test_index_is_searched_again(spark):
+    """One table of shards answers for other phrases than those it was built beside."""
+    w = ITEM.split()
+    shards = leak.index(spark.createDataFrame([(1, ITEM), (2, "x y " + ITEM), (3, " ".join(w[::-1]))], "doc_id bigint, text string"))
+    ask = lambda text: {r.doc_id for r in leak.search(shards, spark.createDataFrame([(7, text)], "item_id bigint, text string"), False).collect()}
+    assert (ask(ITEM), ask(" ".join(w[::-1])), ask("x y " + " ".join(w[:10])), ask("x " * 12)) == ({1, 2}, {3}, {2}, set())
 
 
 def test_leaks(spark, monkeypatch):
@@ -50,7 +63,9 @@ def test_leaks(spark, monkeypatch):
     assert rows(leak.leaks(d, e)) == sorted(want, key=repr)
     monkeypatch.setattr(leak, "BLOCK_CHARS", 10)
     assert rows(leak.leaks(d, e)) == sorted(want, key=repr)
+    many = rows(leak.removal_spans(d, e))
     monkeypatch.undo()
+    assert many == rows(leak.removal_spans(d, e))
     spans = {r.doc_id: r for r in leak.removal_spans(d.where("doc_id is not null"), e).collect()}
     assert docs[0][1][spans[1].start_pos : spans[1].end_pos] == ITEM and spans[1]["items"] == "1,3" and spans[1].n_words == 17
     assert leak.leaks(d.limit(0), e).isEmpty() and leak.leaks(d, e.limit(0)).isEmpty()
