@@ -54,20 +54,39 @@ def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d).select("uid", "n_rows", F.when(F.col("node_value").isNotNull(), value).alias("node_value"), F.col("name")["value"].alias("name"), F.col("str_metric")["value"].alias("str_metric"))
 
 
-#: Capacity of p6's containers in tokens, and the ranks of the tokenizer that measures texts.
+#: Capacity of p6's containers in tokens, and where the ranks of the tokenizer that measures texts are unless the session's
+#: setting spark.meshframe.tokenizer names another file.
 P6_CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: A mixture to train on: half of a window's tokens from these sources, the other half from all the rest by their sizes.
+P6_TARGETS = {"stackpond": 0.25, "wiki_import": 0.125, "codebarn": 0.125}
+#: Containers of a window of the mixture.
+P6_WINDOW = 16
+#: Containers beyond the least number, as a share of it.
+P6_SPARE = 0.01
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return packing.measured(read(spark, d, "documents"), spark.conf.get("spark.meshframe.tokenizer", TOKENIZER))
 
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(packing.measured(read(spark, d, "documents"), TOKENIZER), P6_CAPACITY)
+    return packing.pack(_sizes(spark, d), P6_CAPACITY)
+
+
+def p6_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Packed so that windows hold P6_TARGETS while the sources last."""
+    return packing.pack(_sizes(spark, d), P6_CAPACITY, P6_TARGETS, P6_WINDOW)
 
 
-def p6_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Containers used, the least number that the tokens need, and the share of their space that is filled."""
-    x = p6_pack(spark, d).groupBy("container").agg(F.sum("size").alias("size"))
-    x = x.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("size").alias("n_tokens"))
-    return x.select("n_containers", "n_tokens", F.ceil(F.col("n_tokens") / P6_CAPACITY).alias("least_containers"), F.round(F.col("n_tokens") / (F.col("n_containers") * P6_CAPACITY), 5).alias("filled"))
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that p6_pack places, and how often it breaks a rule of packing."""
+    return packing.faults(p6_pack(spark, d), P6_CAPACITY, P6_SPARE)
+
+
+def p6_mixture_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The same of p6_mixture, with the windows off their targets."""
+    return packing.faults(p6_mixture(spark, d), P6_CAPACITY, P6_SPARE, P6_TARGETS, P6_WINDOW)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +101,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_sizes, p4_found, p4_nodes, p6_pack, p6_summary, p7_found, p7_spans, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_sizes, p4_found, p4_nodes, p6_pack, p6_mixture, p6_checks, p6_mixture_checks, p7_found, p7_spans, p8_found)}
 
 _WORDS = ", ".join("'" + s.replace("'", "''") + "'" for s in STAND_INS)
 
@@ -138,7 +157,12 @@ _GRAMS = f"""fold as (select chr(i) as c, f from (values {_folded()}) t(i, f)),
   grams as (select r, n, a, last_value(b) over t as b, string_agg(w, ' ') over t as g, count(*) over t as size from words window t as (partition by r order by n rows between current row and {leak.LENGTH - 1} following)),
   hits as (select distinct d.r, d.n, d.a, d.b, x.id as item_id from grams i join texts x on x.r = i.r join grams d on d.g = i.g where i.r > 0 and d.r < 0 and i.size = {leak.LENGTH} and d.size = {leak.LENGTH})"""
 
+_PLACED = """select 'texts' as what, count(distinct doc_id) as n from documents where text is not null
+union all select unnest(['texts in parts missing or repeated', 'containers beyond capacity', 'containers out of order', 'too many containers']), 0"""
+
 SQL = {
+    "p6_checks": _PLACED,
+    "p6_mixture_checks": f"{_PLACED} union all select unnest(['windows off target', 'fewer than three windows on target']), 0",
     "p7_found": f"with {_GRAMS} select t.id as doc_id, item_id from (select distinct r, item_id from hits) h join texts t using (r)",
     "p7_spans": f"""with {_GRAMS}, gaps as (select *, case when n - lag(n) over (partition by r order by n) <= {leak.LENGTH} then 0 else 1 end as new from (select distinct r, n, a, b from hits)),
   spans as (select *, sum(new) over (partition by r order by n) as span from gaps),

@@ -1,5 +1,7 @@
 from datetime import datetime
 
+import pytest
+import regex
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -70,6 +72,30 @@ def test_mixture(spark, monkeypatch):
     packed = packing.windows(df.select("doc_id", "source", F.lit(0).alias("piece"), F.col("n_tokens").alias("size")), 12000, 1200, 100, {"a": 0.75, "b": 0.25})
     got = {(r.window, r.source): r.n for r in packed.groupBy("window", "source").agg(F.sum("size").alias("n")).collect()}
     assert all(abs(got[w, "a"] - 750) <= 10 and abs(got[w, "b"] - 250) <= 10 for w in range(7))
+    # then "b" has windows of its own, as full as the others, and the packed containers hold what their windows hold
+    assert sum(got.values()) == 12000 and {w for w, _ in got} == set(range(12)) and all(got[w, "b"] == 1000 for w in range(8, 12))
+    packed = packing.pack(df, 100, {"a": 0.75, "b": 0.25}).collect()
+    again = {}
+    for r in packed:
+        again[r.window, r.source] = again.get((r.window, r.source), 0) + r.size
+    assert again == got and check(packed, {i: 10 for i in range(1200)}, 100) == 120
+    with pytest.raises(ValueError):
+        packing.windows(df, 1, 1, 100, {"a": 0.0})
+
+
+def test_mixture_with_other_sources(spark, monkeypatch):
+    """Sources without a target share the rest by their sizes; many windows, uneven items, carried over super-windows."""
+    monkeypatch.setattr(packing, "SUPER", 3)
+    sizes = {i: 5 + (i * 31) % 60 for i in range(2000)}
+    df = spark.createDataFrame([(i, "a" if i % 4 == 0 else f"o{i % 3}", n) for i, n in sizes.items()], "doc_id bigint, source string, n_tokens bigint")
+    packed = packing.pack(df, 100, {"a": 0.5}, 10)
+    assert rows(packing.faults(packed, 100, 0.06, {"a": 0.5}, 10)) == sorted([("texts", 2000), *((w, 0) for w in ("texts in parts missing or repeated", "containers beyond capacity", "containers out of order", "too many containers", "windows off target", "fewer than three windows on target"))], key=repr)
+    check(packed.collect(), sizes, 100)
+    of = {(r.window, r.source): r.n for r in packed.groupBy("window", "source").agg(F.sum("size").alias("n")).collect()}
+    assert abs(of[5, "a"] - 500) <= 65 and all(abs(of[5, f"o{k}"] - 500 / 3) <= 65 for k in range(3))
+    wrong = packed.withColumn("window", F.lit(0)).withColumn("place", F.col("place") + 1)
+    found = {r.what: r.n for r in packing.faults(wrong, 100, 0.02, {"a": 0.5}, 10).collect()}
+    assert found["containers out of order"] and found["fewer than three windows on target"]
 
 
 def test_best_fit():
@@ -83,5 +109,7 @@ def test_measured(spark):
     path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     got = {r.doc_id: (r.source, r.n_tokens) for r in packing.measured(df, path).collect()}
     t = packing.tokenizer(path)
+    by_hand = [*regex.findall(packing.PATTERN, text[2])]
+    assert got[2][1] == sum(len(t.encode_ordinary(x)) if len(x) < 1000 else len(t._encode_single_piece(x)) for x in by_hand)
     assert set(got) == {0, 1, 2, 4} and got[0] == ("", 0) and got[1] == ("src", len(t.encode_ordinary("one two"))) and got[4][1] == len(t.encode_ordinary(text[4]))
     assert rows(packing.measured(df.limit(0), path)) == []
