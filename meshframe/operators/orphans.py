@@ -153,25 +153,23 @@ def advance(state: OrphanState | None, events: DataFrame, refs: DataFrame) -> Or
     now = OrphanState(spark, new_path(spark), max(8, parts(spark))) if state is None else replace(state, batch=state.batch + 1)
     new = events.where("key is not null").groupBy("key", "at").agg(F.sum("opened").cast("bigint").alias("opened"), F.sum("seen").cast("bigint").alias("seen"))
     now.append("index", new.select("key", F.col("at").cast("timestamp_ntz").alias("at"), "opened", "seen"))
-    fresh = refs.where("key is not null").groupBy("key", F.col("at").cast("timestamp_ntz").alias("at"), "ref", "side").agg(F.count(F.lit(1)).alias("n"))
-    asked = fresh.select("*", F.lit(0).cast("bigint").alias("was"), F.col("n").alias("added"))
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    asked = refs.where("key is not null").select("key", F.col("at").cast("timestamp_ntz").alias("at"), "ref", "side", one.alias("n"), zero.alias("was"), one.alias("added"))
     touched = None
     if state is not None:
         since = F.min(F.when(F.col("opened") != 0, F.coalesce("at", F.lit("0001-01-01").cast("timestamp_ntz"))))
         mine = now.log("index").where(F.col("batch") == now.batch)
         touched = cut(mine.groupBy("key", "bucket").agg(since.alias("since"), (F.sum("seen") > 0).alias("seen")), also=F.min("since"))
         if touched.n_rows:
-            again = affected(state, touched)
-            asked = again.select("*", F.lit(0).cast("bigint").alias("added")).unionByName(asked)
-            # a reference that came before and comes again is one
-            asked = asked.groupBy("key", "at", "ref", "side").agg(F.sum("n").alias("n"), F.sum("was").alias("was"), F.sum("added").alias("added"))
+            asked = affected(state, touched).select("*", zero.alias("added")).unionByName(asked)
+    # rows alike are one, with their number; one that came before and comes again as well
+    asked = cut(asked.groupBy("key", "at", "ref", "side").agg(F.sum("n").alias("n"), F.sum("was").alias("was"), F.sum("added").alias("added")))
     keys = asked.select(F.col("key").alias("__k")).distinct()
     index = now.log("index").join(keys, F.col("key") == F.col("__k"), "left_semi").groupBy("key", "at").agg(F.sum("opened").alias("opened"), F.sum("seen").alias("seen"))
     found = probe(asked, index, ("n", "was", "added"))
     change = F.when(F.col("orphan"), F.col("n")).otherwise(0).cast("bigint") - F.col("was")
     now.append("refs", found.select("key", "at", "ref", "side", F.col("added").alias("n"), change.alias("change")).where("n > 0 or change <> 0"))
-    if touched is not None:
-        drop(touched)
+    drop(asked, *([] if touched is None else [touched]))
     return now
 
 
