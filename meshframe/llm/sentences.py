@@ -16,9 +16,11 @@ counts of the FIXED keys, whose number doesn't depend on the texts, are collecte
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
+from hashlib import blake2b
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ from meshframe.llm.blocks import blocks
 from meshframe.runtime import cut, drop, lookup
 
 ROUNDS = 4
+#: Characters of a word, beyond which its middle is known by a digest.
+LONG = 48
 #: Entries of a task's partial counts, after which they are handed on.
 FLUSH = 200_000
 #: Weights of the back-off distributions.
@@ -40,6 +44,7 @@ NEW = 0.001
 SURE = "。！？｡؟።፧।॥۔"
 OPEN_MARKS = ".!?…‼⁇⁈⁉"
 CLOSERS = "\"'”’»›)\\]）」』】》〉*_~“"
+_BEFORE_WHOLE = frozenset(SURE + OPEN_MARKS + CLOSERS.replace("\\", ""))
 ENDS = frozenset(SURE + OPEN_MARKS + CLOSERS.replace("\\", "") + ";")
 PAIRS = {"“": "”", "‘": "’", "«": "»", "„": "“”", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "»": "«"}
 
@@ -51,6 +56,7 @@ _SPACE = re.compile(r"\s*")
 _TOKEN = re.compile(r"\S+")
 _THAI = re.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])")
 _GREEK = re.compile("[Ͱ-ͽͿ-Ͽἀ-῿]")
+_CODES, _URLS = re.compile("\ue000+"), re.compile("\ue001+")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _AFTER = re.compile(r"[^\W\d_]{4}[.!?]\s+([^\W\d_])")
 _DIGITS = re.compile(r"\d+")
@@ -112,47 +118,81 @@ def _enclosures(s: str) -> list[tuple[int, int]]:
     return out
 
 
-def _norm(token: str, size: int = 24) -> str:
-    """A word as the model knows it: digits as one 0, code and addresses as one letter, cut to `size` characters."""
-    if token.isalpha() and CODE not in token and URL not in token:
-        return token[:size]
+def _norm(token: str) -> str:
+    """A word as the model knows it: digits as one 0, code and addresses as one letter, the middle of one longer than LONG as a digest of it."""
+    if len(token) <= LONG:
+        return _norm_short(token)
+    x = _normed(token)
+    if len(x) <= LONG:
+        return x
+    digest = blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return x[: LONG // 4] + "".join(chr(0xF100 + d) for d in digest) + x[-LONG // 4 :]  # letters of no case or script
+
+
+def _normed(token: str) -> str:
+    if token.isalpha():
+        return token
     x = _DIGITS.sub("0", _INVISIBLE.sub("", token))
-    x = re.sub(f"{CODE}+", CODE, x)
-    return re.sub(f"{URL}+", URL, x)[:size]
+    return _URLS.sub(URL, _CODES.sub(CODE, x)) if CODE in x or URL in x else x
+
+
+@lru_cache(1 << 16)
+def _norm_short(token: str) -> str:
+    return _normed(token)
 
 
 def _vague(token: str) -> bool:
     """Numbers, code, addresses and file names say little: the word behind them is looked at as well."""
-    return not _WORDLIKE.search(token) or CODE in token or URL in token or "." in token[:-1] or any(c.isdigit() for c in token)
+    return not token.isalpha() and (not _WORDLIKE.search(token) or CODE in token or URL in token or "." in token[:-1] or any(c.isdigit() for c in token))
 
 
-def right_word(s: str, i: int) -> str:
-    """The word at i as the model knows it; in scripts without spaces, its first two characters."""
-    m = _TOKEN.match(s, i)
-    if not m:
-        return ""
-    raw = m.group()
+def _cached_short(f):
+    """f of a token, kept if it is short."""
+    kept = lru_cache(1 << 16)(f)
+    return lambda token: kept(token) if len(token) <= LONG else f(token)
+
+
+@_cached_short
+def _right_of(raw: str) -> tuple[str, str, str | None]:
+    """What opens before a token, the word in it, and what of an unspaced script follows in it; None: the next token may."""
     front = _FRONT.match(raw)
     word = raw[front.end() :] if front else raw
     mark = ""
     if front:
         mark = "(" if front.group()[0] in "(（[" else "¿" if front.group()[-1] in "¿¡" else "" if front.group()[0] in "*_~" else '"'
     if not word:
-        return mark + raw[:2]
-    if _NO_SPACES.match(word) or "฀" <= word[0] < "຀":
-        return mark + word[:2]
+        return mark, raw[:2], ""
+    if _NO_SPACES.match(word) or "\u0e00" <= word[0] < "\u0e80":
+        return mark, word[:2], ""
     follows = ""
     if cjk := _NO_SPACES.search(word):
         word, follows = word[: cjk.start()], word[cjk.start() : cjk.start() + 2]
     word = _norm(_BACK.sub("", word) or word)
-    if _vague(word):
-        if not follows and (nxt := _TOKEN.match(s, _SPACE.match(s, m.end()).end())):
-            follows = _FRONT.sub("", nxt.group())
-            follows = follows[:2] if _NO_SPACES.match(follows) else _norm(_BACK.sub("", follows))
-            if cjk := _NO_SPACES.search(follows):
-                follows = follows[: cjk.start() + 1]
-        word = ("F" if "." in word and _WORDLIKE.search(word) and CODE not in word and URL not in word else word) + " " + follows
-    return mark + word
+    if not _vague(word):
+        return mark, word, ""
+    return mark, ("F" if "." in word and _WORDLIKE.search(word) and CODE not in word and URL not in word else word) + " ", follows or None
+
+
+@_cached_short
+def _following(raw: str) -> str:
+    """The word of the token behind a vague one."""
+    follows = _FRONT.sub("", raw)
+    follows = follows[:2] if _NO_SPACES.match(follows) else _norm(_BACK.sub("", follows))
+    if cjk := _NO_SPACES.search(follows):
+        follows = follows[: cjk.start() + 1]
+    return follows
+
+
+def right_word(s: str, i: int) -> str:
+    """The word at i as the model knows it; in scripts without spaces, its first two characters."""
+    m = _TOKEN.match(s, i)
+    if not m:
+        return ""
+    mark, word, follows = _right_of(m.group())
+    if follows is None:
+        nxt = _TOKEN.match(s, _SPACE.match(s, m.end()).end())
+        follows = _following(nxt.group()) if nxt else ""
+    return mark + word + follows
 
 
 def _opener(word: str) -> tuple[str, str]:
@@ -209,7 +249,7 @@ class Gaps:
     masked: the block's text behind its marker.
     """
 
-    __slots__ = ("sure", "runs", "end", "starts", "caseless", "masked")
+    __slots__ = ("sure", "runs", "end", "starts", "caseless", "masked", "tokens")
 
     def __init__(self, text: str, start: int, end: int, word: int, lowered: bool):
         self.sure: list[int] = []
@@ -219,22 +259,28 @@ class Gaps:
         base = word
         self.caseless = lowered or s.islower() or s.isupper()
         self.starts = [x] if (x := self._right(s, 0)) else []
-        size = len(s.rstrip())
-        inside = Inside(_enclosures(s) if _QUOTES.search(s) else [])
         marks = list(_MARK.finditer(s))
         thai = [m.end() for m in _THAI.finditer(s)]
+        if not marks and not thai:
+            return
+        size = len(s.rstrip())
+        inside = Inside(_enclosures(s) if _QUOTES.search(s) else [])
+        self.tokens = [m.start() for m in _TOKEN.finditer(s)]
+        greek = [m.start() for m in _GREEK.finditer(s)]
         for i in thai:
             if i not in inside:
                 self.sure.append(base + i)
         previous = -1  # where the word to the right of the last open gap begins
         begin = 0  # where the last certain sentence begins
+        since, upto = 0, 0  # where what stands behind the last mark begins
         for m in marks:
             i, j = m.span()
+            since, upto = upto, j
             mark = m.group()
             if i < begin:
                 continue
             if ";" in mark or ";" in mark:
-                if mark.strip(";;") == "" and (mark[0] == ";" or not _GREEK.search(s, max(begin, i - 40), i) or s[j : j + 1].isalnum()):
+                if mark.strip(";;") == "" and (mark[0] == ";" or not _mostly(greek, s, max(begin, since), i) or s[j : j + 1].isalnum()):
                     continue
             closed = False
             while c := _CLOSE.match(s, j):
@@ -287,12 +333,10 @@ class Gaps:
         word = right_word(s, i)
         return CASELESS + word.casefold() if self.caseless and word else word
 
-    @staticmethod
-    def _left_at(s: str, i: int) -> int:
-        k = i
-        while k > 0 and not s[k - 1].isspace() and i - k < 48:
-            k -= 1
-        return k
+    def _left_at(self, s: str, i: int) -> int:
+        """Where the word begins that a mark at i is part of or begins; in scripts without spaces, two characters before."""
+        k = self.tokens[bisect_right(self.tokens, i) - 1]
+        return max(k, i - 2) if i > k and _NO_SPACES.match(s, i - 1) else k
 
     def _first(self, s: str, i: int, begin: int) -> bool:
         return self._left_at(s, i) <= begin
@@ -300,16 +344,29 @@ class Gaps:
     def _left(self, s: str, i: int, j: int, m: re.Match, closed: bool, inside: Inside) -> str:
         if closed:
             opened = max((inside.partner[b] for b in range(i + 1, j) if b in inside.partner), default=-1)
-            before = s[max(0, opened - 40) : opened].rstrip() if opened >= 0 else "x"
-            whole = not before or before[-1] in SURE + OPEN_MARKS + CLOSERS.replace("\\", "")
-            return "\x02" + m.group()[-1] + s[j - 1] + ("w" if whole else "p" if before[-1] in ":：" else "")
+            k = opened - 1
+            while k >= 0 and s[k].isspace():
+                k -= 1
+            before = s[k] if k >= 0 else ""
+            whole = opened >= 0 and (not before or before in _BEFORE_WHOLE)
+            return "\x02" + m.group()[-1] + s[j - 1] + ("w" if whole else "p" if before and before in ":：" else "")
         if _NO_SPACES.match(s, i - 1):
             return "\x02" + m.group()[-1]
-        k = self._left_at(s, i)
-        word = _norm(_FRONT.sub("", s[k : m.start()]) or s[k : m.start()], 48) + _norm(m.group())  # the mark stays whatever is cut
+        word = _left_word(s[self._left_at(s, i) : i]) + m.group()[:24]  # many marks are as good as more
         return word.casefold() if self.caseless else word
 
 
+@_cached_short
+def _left_word(raw: str) -> str:
+    return _norm(_FRONT.sub("", raw) or raw)
+
+
+def _mostly(greek: list[int], s: str, begin: int, end: int) -> bool:
+    """Are Greek letters at least as many as Latin ones in s[begin:end]?"""
+    n = bisect_left(greek, end) - bisect_left(greek, begin)
+    return n > 0 and n >= sum(c.isalpha() for c in s[begin:end] if c.isascii())
+
+
 def gaps(text: str) -> list[tuple[int, int, Gaps]]:
     """(start, end, gaps) of each block.
 
