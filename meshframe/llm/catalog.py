@@ -101,7 +101,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_sizes, p4_found, p4_nodes, p6_pack, p6_mixture, p6_checks, p6_mixture_checks, p7_found, p7_spans, p8_found)}
+def p8_unmarked(spark: SparkSession, d: str) -> DataFrame:
+    """The same, with units that lack an end mark divided by the model over all gaps between words."""
+    return sentences.sentences(read(spark, d, "documents"), divide_unmarked=True)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_sizes, p4_found, p4_nodes, p6_pack, p6_mixture, p6_checks, p6_mixture_checks, p7_found, p7_spans, p8_found, p8_unmarked)}
 
 _WORDS = ", ".join("'" + s.replace("'", "''") + "'" for s in STAND_INS)
 

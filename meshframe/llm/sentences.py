@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.llm.blocks import blocks
+from meshframe.llm.unmarked import divided
 from meshframe.runtime import cut, drop, lookup
 
 ROUNDS = 4
@@ -497,7 +498,7 @@ def _inside_word(token: str) -> str:
     return front + _norm(_BACK.sub("", word) or word)
 
 
-_PARSED = "key string, n double, row_id string, doc_id bigint, pieces array<int>, runs array<string>"
+_PARSED = "key string, n double, row_id string, doc_id bigint, text string, pieces array<int>, runs array<string>"
 
 
 def _pieces(text: str, found: list[tuple[int, int, Gaps]]) -> tuple[list[int], list[str]]:
@@ -520,13 +521,18 @@ def _pieces(text: str, found: list[tuple[int, int, Gaps]]) -> tuple[list[int], l
     return pieces, runs
 
 
-def _parse(batches):
+def _parser(keep: bool):
+    """_parse, with the texts themselves if they are to be kept."""
+    return lambda batches: _parse(batches, keep)
+
+
+def _parse(batches, keep: bool = False):
     """Counts of certain events by key, and each text's pieces and open runs."""
     import pyarrow as pa
 
     task, n_texts = uuid4().hex, 0
     inside, seen, rights, kinds = Counter(), Counter(), Counter(), Counter()
-    kind = pa.schema([("key", pa.string()), ("n", pa.float64()), ("row_id", pa.string()), ("doc_id", pa.int64()), ("pieces", pa.list_(pa.int32())), ("runs", pa.list_(pa.string()))])
+    kind = pa.schema([("key", pa.string()), ("n", pa.float64()), ("row_id", pa.string()), ("doc_id", pa.int64()), ("text", pa.string()), ("pieces", pa.list_(pa.int32())), ("runs", pa.list_(pa.string()))])
 
     def counted():
         keys = Counter()
@@ -543,10 +549,10 @@ def _parse(batches):
         for x in (inside, seen, rights, kinds):
             x.clear()
         none = [None] * len(keys)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([list(keys), list(keys.values()), none, none, none, none], kind.types, strict=True)], schema=kind)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([list(keys), list(keys.values()), *[none] * 5], kind.types, strict=True)], schema=kind)
 
     for b in batches:
-        ids, docs, pieces, runs = [], [], [], []
+        ids, docs, texts, pieces, runs = [], [], [], [], []
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             found = gaps(text)
             for start, end, g in found:
@@ -566,12 +572,13 @@ def _parse(batches):
             n_texts += 1
             ids.append(f"{task}{n_texts:x}")
             docs.append(doc)
+            texts.append(text if keep else None)
             pieces.append(cut_up)
             runs.append(open_runs)
             if len(inside) + len(seen) + len(rights) + len(kinds) > FLUSH:
                 yield counted()
         none = [None] * len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([none, none, ids, docs, pieces, runs], kind.types, strict=True)], schema=kind)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([none, none, ids, docs, texts, pieces, runs], kind.types, strict=True)], schema=kind)
     yield counted()
 
 
@@ -658,32 +665,47 @@ def _decide(fixed: dict[str, float]):
     return run
 
 
+def _units(pieces: list[int], at: list[int] | None, found: list[str] | None) -> Iterator[tuple[int, int]]:
+    """Units of a text from its pieces and the decisions on its runs."""
+    decided, begin, last = dict(zip(at or (), found or (), strict=True)), -1, -1
+    for a, e, run, k in [*zip(*[iter(pieces)] * 4, strict=True), (0, 0, -1, -1)]:
+        if begin >= 0 and (run < 0 or decided[run][k] == "1"):
+            yield begin, last
+            begin = -1
+        if a < e:
+            begin, last = a if begin < 0 else begin, e
+
+
 def _assemble(batches):
     import pyarrow as pa
 
     for b in batches:
         docs, starts, ends = [], [], []
         for doc, pieces, at, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "pieces", "at", "ends")), strict=True):
-            decided, begin, last = dict(zip(at or (), found or (), strict=True)), -1, -1
-            for a, e, run, k in [*zip(*[iter(pieces)] * 4, strict=True), (0, 0, -1, -1)]:
-                if begin >= 0 and (run < 0 or decided[run][k] == "1"):
-                    docs.append(doc)
-                    starts.append(begin)
-                    ends.append(last)
-                    begin = -1
-                if a < e:
-                    begin, last = a if begin < 0 else begin, e
+            for a, e in _units(pieces, at, found):
+                docs.append(doc)
+                starts.append(a)
+                ends.append(e)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, starts, ends)], names=["doc_id", "start_pos", "end_pos"])
 
 
+def _assemble_texts(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        found = [list(_units(*x)) for x in zip(*(b.column(c).to_pylist() for c in ("pieces", "at", "ends")), strict=True)]
+        ends = [pa.array([[u[k] for u in x] for x in found], pa.list_(pa.int64())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), *ends], names=["doc_id", "text", "starts", "ends"])
+
+
 class _Corpus:
     """Texts read once: base (key, n) counts of certain events, texts with pieces and runs, distinct runs, the keys they ask for."""
 
-    def __init__(self, documents: DataFrame):
-        parsed = cut(documents.select("doc_id", "text").where("text is not null").mapInArrow(_parse, _PARSED))
+    def __init__(self, documents: DataFrame, keep: bool = False):
+        parsed = cut(documents.select("doc_id", "text").where("text is not null").mapInArrow(_parser(keep), _PARSED))
         base = parsed.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"))
         self.base = base.where("n > 0")
-        self.texts = parsed.where("row_id is not null").select("row_id", "doc_id", "pieces", "runs")
+        self.texts = parsed.where("row_id is not null").select("row_id", "doc_id", "text", "pieces", "runs")
         runs = self.texts.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).cast("double").alias("n"))
         self.runs = cut(runs.select(F.md5("run").alias("run_id"), "run", "n"))
         self.asked = cut(self.runs.select("run_id", "run").mapInArrow(_ask, "run_id string, key string"))
@@ -713,14 +735,22 @@ class _Corpus:
         return counts, added
 
     def units(self, counts: DataFrame) -> DataFrame:
+        """(doc_id, start_pos, end_pos)"""
+        return self._decided(counts, ["doc_id"]).mapInArrow(_assemble, "doc_id bigint, start_pos bigint, end_pos bigint")
+
+    def texts_with_units(self, counts: DataFrame) -> DataFrame:
+        """(doc_id, text, starts, ends), if the texts were kept"""
+        return self._decided(counts, ["doc_id", "text"]).mapInArrow(_assemble_texts, "doc_id bigint, text string, starts array<bigint>, ends array<bigint>")
+
+    def _decided(self, counts: DataFrame, cols: list[str]) -> DataFrame:
         decided = cut(self.judge(counts, _decide, "run_id string, ends string"))
         open_runs = self.texts.where(F.size("runs") > 0).select("row_id", F.posexplode("runs").alias("at", "run"))
         open_runs = cut(open_runs.select("row_id", "at", F.md5("run").alias("run_id")))
         ends = lookup(open_runs, "run_id", decided, "run_id", "ends", "ends", open_runs.n_rows)
         ends = ends.groupBy("row_id").agg(F.collect_list(F.struct("at", "ends")).alias("c")).select(F.col("row_id").alias("__r"), F.col("c.at").alias("at"), F.col("c.ends").alias("ends"))
-        whole = self.texts.where(F.size("runs") == 0).select("doc_id", "pieces", F.expr("cast(null as array<int>)").alias("at"), F.expr("cast(null as array<string>)").alias("ends"))
-        parted = self.texts.where(F.size("runs") > 0).join(ends, F.col("row_id") == F.col("__r")).select("doc_id", "pieces", "at", "ends")
-        return whole.unionByName(parted).mapInArrow(_assemble, "doc_id bigint, start_pos bigint, end_pos bigint")
+        whole = self.texts.where(F.size("runs") == 0).select(*cols, "pieces", F.expr("cast(null as array<int>)").alias("at"), F.expr("cast(null as array<string>)").alias("ends"))
+        parted = self.texts.where(F.size("runs") > 0).join(ends, F.col("row_id") == F.col("__r")).select(*cols, "pieces", "at", "ends")
+        return whole.unionByName(parted)
 
 
 def _sum(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -750,11 +780,14 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-def sentences(documents: DataFrame, table: DataFrame | None = None) -> DataFrame:
+def sentences(documents: DataFrame, table: DataFrame | None = None, divide_unmarked: bool = False) -> DataFrame:
     """(doc_id, start_pos, end_pos): one row a sentence unit of every text; without a table of counts, one is trained on them first.
 
-    Null, empty and blank texts have no units; repeated rows give repeated units; other columns are ignored.
+    Null, empty and blank texts have no units; repeated rows give repeated units; other columns are ignored. With
+    divide_unmarked, units without an end mark are divided by the model over all gaps (see unmarked.py), else they go on to
+    the end of their block.
     """
-    corpus = _Corpus(documents)
+    corpus = _Corpus(documents, divide_unmarked)
     counts = corpus.wanted(corpus.base if table is None else table)
-    return corpus.units(corpus.fit(counts)[0] if table is None else counts)
+    counts = corpus.fit(counts)[0] if table is None else counts
+    return divided(corpus.texts_with_units(counts), ENDS) if divide_unmarked else corpus.units(counts)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from meshframe.llm import blocks, leak, sentences
+from meshframe.llm import blocks, leak, sentences, unmarked
 from meshframe.llm.words import word_spans, words
 
 ITEM = "The ferryman of Koryor sells 226 copper lanterns before noon and keeps the résumé for his cousin"
@@ -148,3 +148,68 @@ def test_deep_enclosures():
     text = "( " * 40 + "He said «it is done. It is new» then."
     assert sentences._enclosures(text) == [(text.index("«"), text.index("»"))]
     assert len(sentences._enclosures("(" * 5000 + ")" * 5000)) == 5000
+
+
+@pytest.fixture(scope="module")
+def units_of(spark):
+    """Texts of sf0.01 by document, and their marked units."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    texts = {r.doc_id: r.text for r in d.select("doc_id", "text").collect()}
+    out = {i: [] for i in texts}
+    for r in sentences.sentences(d).orderBy("doc_id", "start_pos").collect():
+        out[r.doc_id].append((r.start_pos, r.end_pos))
+    return texts, out
+
+
+def test_all_gaps_without_marks(spark, units_of):
+    """Held-out documents without any punctuation or case: the model finds where their sentences end."""
+    texts, found = units_of
+    line = {i: [x for a, e in us if texts[i][e - 1] in sentences.ENDS and (x := [w for w, *_ in unmarked.words(texts[i][a:e])])] for i, us in found.items()}
+    known = spark.createDataFrame([(x,) for i, us in line.items() if i % 5 for x in us], "words array<string>")
+    asked = {str(i): us for i, us in line.items() if i % 5 == 0 and 1 < len(us) and sum(map(len, us)) <= unmarked.SPAN}
+    runs = spark.createDataFrame([(i, [w for x in us for w in x]) for i, us in asked.items()], "run_id string, run array<string>")
+    n_true = n_found = n_both = 0
+    for r in unmarked.decided(runs, unmarked.count(known)).collect():
+        true = set(np.cumsum([len(x) for x in asked[r.run_id]])[:-1] - 1)
+        got = {k for k, e in enumerate(r.ends) if e == "1"}
+        n_true, n_found, n_both = n_true + len(true), n_found + len(got), n_both + len(true & got)
+    assert n_true > 500 and n_both >= 0.9 * n_true and n_both >= 0.95 * n_found, (n_true, n_found, n_both)
+
+
+def test_divide_unmarked(spark, units_of):
+    """Sentences planted without marks, also in a script without spaces, come out apart; others stay as they are."""
+    texts, found = units_of
+    bare = lambda x: " ".join(w for w, *_ in unmarked.words(x))
+    marked = [texts[i][a:e] for i, us in found.items() for a, e in us if texts[i][e - 1] in sentences.ENDS]
+    short = lambda x: 20 < len(x) < 60 and "`" not in x and not any(c.isdigit() for c in x)
+    latin = sorted({bare(x) for x in marked if x.isascii() and short(x)})
+    han = sorted({bare(x).replace(" ", "") for x in marked if all("一" <= c <= "鿿" for c in x[:8]) and x.endswith("。") and len(x) < 40})
+    random.seed(8)
+    planted = {10**6 + k: random.sample(latin, 3) if k % 2 or len(han) < 3 else random.sample(han, 3) for k in range(40)}
+    rows_in = [(i, t) for i, t in texts.items()] + [(i, (" " if x[0].isascii() else "").join(x)) for i, x in planted.items()]
+    got = {i: [] for i, _ in rows_in}
+    for r in sentences.sentences(spark.createDataFrame(rows_in, "doc_id bigint, text string"), divide_unmarked=True).orderBy("doc_id", "start_pos").collect():
+        got[r.doc_id].append((r.start_pos, r.end_pos))
+    right = n = units = 0
+    text = dict(rows_in)
+    for i, x in planted.items():
+        assert "".join(text[i].split()) == "".join("".join(text[i][a:e].split()) for a, e in got[i])
+        mine = [text[i][a:e] for a, e in got[i]]
+        right, n, units = right + len(set(mine) & set(x)), n + 3, units + len(mine)
+    assert right >= 0.85 * n and right >= 0.85 * units, (right, n, units)
+    kept = sum(len(set(got[i]) & set(us)) for i, us in found.items())
+    assert kept >= 0.9 * sum(map(len, found.values()))
+    assert sentences.sentences(spark.createDataFrame([], "doc_id bigint, text string"), divide_unmarked=True).isEmpty()
+
+
+def test_runs_cover_all_gaps(monkeypatch):
+    """Long stretches are looked at in runs that share words; every gap is decided in one of them."""
+    monkeypatch.setattr(unmarked, "SPAN", 7)
+    monkeypatch.setattr(unmarked, "BESIDE", 2)
+    for n in (2, 7, 8, 9, 40):
+        line = [f"w{k}" for k in range(n)]
+        gaps = []
+        for first, (lo, hi), run in unmarked.runs(line):
+            assert run == line[first : first + len(run)] and hi < len(run)
+            gaps += range(first + lo, first + hi)
+        assert gaps == list(range(n - 1))
