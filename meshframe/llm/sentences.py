@@ -26,6 +26,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshframe.llm.arrow import lists
 from meshframe.llm.blocks import blocks
 from meshframe.llm.unmarked import divided
 from meshframe.runtime import cut, drop, lookup
@@ -681,7 +682,7 @@ def _assemble(batches):
 
     for b in batches:
         docs, starts, ends = [], [], []
-        for doc, pieces, at, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "pieces", "at", "ends")), strict=True):
+        for doc, pieces, at, found in zip(b.column("doc_id").to_pylist(), lists(b.column("pieces")), lists(b.column("at")), b.column("ends").to_pylist(), strict=True):
             for a, e in _units(pieces, at, found):
                 docs.append(doc)
                 starts.append(a)
@@ -693,7 +694,7 @@ def _assemble_texts(batches):
     import pyarrow as pa
 
     for b in batches:
-        found = [list(_units(*x)) for x in zip(*(b.column(c).to_pylist() for c in ("pieces", "at", "ends")), strict=True)]
+        found = [list(_units(*x)) for x in zip(lists(b.column("pieces")), lists(b.column("at")), b.column("ends").to_pylist(), strict=True)]
         ends = [pa.array([[u[k] for u in x] for x in found], pa.list_(pa.int64())) for k in (0, 1)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), *ends], names=["doc_id", "text", "starts", "ends"])
 

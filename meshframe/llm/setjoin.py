@@ -31,6 +31,7 @@ from math import comb, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshframe.llm.arrow import lists
 from meshframe.runtime import BROADCAST_ROWS, cut, drop, lookup
 
 #: Number of sets that hold an element, beyond which its partitions are keyed by further common elements where these are few.
@@ -223,7 +224,7 @@ def _join(num: int, den: int):
 
         def rows():
             for b in batches:
-                yield from zip(*(b.column(c).to_pylist() for c in names), strict=True)
+                yield from zip(*((lists(b.column(c)) if c in ("key", "els") else b.column(c).to_pylist()) for c in names), strict=True)
 
         out: list[tuple] = []
 
