@@ -351,6 +351,11 @@ def sp_trade_paths(s: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found).select("node", "parent", "edge_id")
 
 
+def sp_chain_depths(s: SparkSession, d: str) -> DataFrame:
+    """Depths along the chain of a customer's orders, from order 0: one or two nodes a layer."""
+    return _depths(select.spread(graphs.chain(s, d).network, _ids(s, "0")))
+
+
 def sp_toward(s: SparkSession, d: str) -> DataFrame:
     """A spread that is led away from customers."""
     return _depths(select.spread(graphs.geo(s, d).network, _ids(s, "s0"), toward=lambda c: ~F.col("node").startswith("c")))
@@ -536,6 +541,7 @@ _SUPPLY = """(select 's' || l_suppkey || '-p' || l_partkey as id, 's' || l_suppk
   from lineitem where l_quantity >= 50 group by l_suppkey, l_partkey)"""
 _TRADE = "(select distinct 'c' || o_custkey || '-s' || l_suppkey as id, 'c' || o_custkey as src, 's' || l_suppkey as dst from lineitem join orders on l_orderkey = o_orderkey)"
 _EVENT = "(select id, src, dst from (select cast(event_id as varchar) as id, event_type as src, lead(event_type) over (partition by user_id order by ts, event_id) as dst from events) where dst is not null)"
+_CHAIN = "(select id, src, dst from (select cast(o_orderkey as varchar) as id, cast(o_orderkey as varchar) as src, cast(lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as varchar) as dst from orders) where dst is not null)"
 _ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 _LINE = f"(select *, l_orderkey || '-' || l_linenumber as id, 'o' || l_orderkey as src, 'p' || l_partkey as dst, row_number() over (order by {_ORDER}) as ord from lineitem)"
 _ORPHAN = "p_partkey in (select p_partkey from part where p_size <= 25)"
@@ -653,6 +659,7 @@ select depth, n_nodes from n union all select depth + 1, 0 from n where depth =
 select node, count(*) as n_sources from walk group by 1 having count(*) > 1""",
     "sp_trade_layers": f"with recursive {_bfs(_TRADE, _seed('c0'), 8)} select depth, count(*) as n_nodes from dist group by 1",
     "sp_trade_paths": f"with recursive {_bfs(_TRADE, _seed('c0'), 8)} {_PARENTS}",
+    "sp_chain_depths": f"with recursive {_bfs(_CHAIN, _seed('0'), _END)} select node, depth from dist",
     "sp_toward": f"with recursive {_bfs(_GEO, _seed('s0'), 8, 'select ' + chr(39) + 'c' + chr(39) + ' || c_custkey from customer')} select node, depth from dist",
     "sp_chunked": f"""with recursive {_bfs(_SUPPLY, _seed('s0'), _END)}, parent as ({_PARENTS}),
   rank as (select node, depth, (row_number() over (partition by depth order by node) - 1) // 20 as chunk from dist),

@@ -68,6 +68,38 @@ def test_missing_and_listed_ids(spark):
     assert rows(net.nodes.select("id", "value")) == [("u", [1.0]), ("v", [4.0])]
 
 
+def test_missing_ids_in_lists(spark):
+    """A null list and null or empty entries are numbered in order of (row, place); an empty list makes nothing."""
+    n = spark.createDataFrame([(["x", NONE, ""], 1), (NONE, 2), ([], 3), (["NaN", "y"], 4)], "ids array<string>, k int")
+    e = spark.createDataFrame([(["e", NONE], "x", "0", 1), (NONE, "y", "3", 2), (["e"], "x", "y", 3)], "ids array<string>, a string, b string, k int")
+    make = lambda **more: make_network(n, e, node_id="ids", node_values="k", edge_id="ids", edge_a="a", edge_b="b", node_order=["k"], edge_order=["k"], **more)
+    r = make()
+    assert rows(r.network.nodes.select("id", "value")) == [("0", [1.0]), ("1", [1.0]), ("2", [2.0]), ("3", [4.0]), ("x", [1.0]), ("y", [4.0])]
+    assert rows(r.network.edges.select("id", "src", "dst")) == [("0", "x", "0"), ("1", "y", "3"), ("e", "x", "y")]
+    assert [x.error for x in r.errors.collect()] == ["DUPLICATE_EDGE_ID"]
+    merged = make(aggregate_results=True)  # a missing entry of an edge's list is an error there
+    assert rows(merged.network.edges.select("id", "src", "dst")) == [("0", "y", "3"), ("e", "x", "y")]
+    assert [(x.kind, x.error, x.entity_id, len(x.source)) for x in merged.errors.collect()] == [("edge", "BAD_ID", NONE, 1)]
+    assert make(aggregate_results=True, suppress_errors=[ErrorType.BAD_ID]).errors.isEmpty()
+
+
+def test_rows_without_id_are_errors(spark):
+    """Where ids are said to be complete, a row without one is left out and reported."""
+    r = built(spark, [("x", 1.0, 0), (NONE, 2.0, 1)], [("k", "x", "x", 0), ("", "x", "x", 1)], ids_complete=True)
+    assert rows(r.network.nodes.select("id")) == [("x",)] and rows(r.network.edges.select("id")) == [("k",)]
+    assert sorted((x.kind, x.error) for x in r.errors.collect()) == [("edge", "BAD_ID"), ("node", "BAD_ID")]
+    whole = built(spark, [(NONE, 1.0, 0)], [("k", "x", NONE, 0)], ids_complete=True, aggregate_results=True)
+    assert whole.network.nodes.isEmpty() and sorted((x.kind, x.error) for x in whole.errors.collect()) == [("edge", "NODE_NOT_FOUND"), ("node", "BAD_ID")]
+
+
+def test_map_meta_merges_by_key(spark):
+    n = spark.createDataFrame([("a", {"p": 1, "q": 1}, 0), ("a", {"q": 2, "r": 3, "p": NONE}, 1), ("b", NONE, 2), ("c", {}, 3)], "id string, m map<string,int>, k int")
+    e = spark.createDataFrame([("e", "a", NONE, {"x": 1}, 0), ("e", NONE, "b", {"x": 2, "y": 3}, 1)], "id string, a string, b string, m map<string,int>, k int")
+    net = make_network(n, e, node_id="id", edge_id="id", edge_a="a", edge_b="b", node_meta="m", edge_meta="m", node_order=["k"], edge_order=["k"], aggregate_results=True).network
+    assert {x.id: x.meta for x in net.nodes.collect()} == {"a": {"p": 1, "q": 2, "r": 3}, "b": NONE, "c": NONE}
+    assert [(x.src, x.dst, x.meta) for x in net.edges.collect()] == [("a", "b", {"x": 2, "y": 3})]
+
+
 def test_kinds_of_ids_differ(spark):
     n = spark.createDataFrame([(1,)], "id int")
     e = spark.createDataFrame([("1", "1", "1")], "id string, a string, b string")

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -32,6 +33,20 @@ def test_profile_heavy_percentile(spark):
         assert q.get(k) == (there[math.ceil(len(there) * 0.5) - 1] if there else None)
 
 
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 1.0])
+def test_percentile_of_narrow_slices(spark, monkeypatch, q):
+    """Values within an eighth of an octave, far beyond what a task sorts, beside spread, equal, infinite and negative ones."""
+    monkeypatch.setattr(skew, "SORTED", 5)
+    monkeypatch.setattr(skew, "WAYS", 4)
+    random.seed(4)
+    data = [(1, 1 + random.random() / 1000) for _ in range(400)] + [(1, 1.0000001)] * 300
+    data += [(2, x) for x in (float("inf"), -float("inf"), 0.0, -0.0, 1e-300, -1e300)] + [(3, 7.0)] * 50 + [(4, -1 - random.random() / 10**6) for _ in range(99)]
+    got = {r.k: r.percentile for r in skew.percentile(spark.createDataFrame(data, "k int, v double"), ["k"], "v", q).collect()}
+    for k in range(1, 5):
+        there = sorted(v for x, v in data if x == k)
+        assert got[k] == there[max(math.ceil(len(there) * q), 1) - 1]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k int, v double")
     assert skew.profile(df, ["k"], "v").isEmpty() and skew.percentile(df, ["k"], "v", 0.5).isEmpty()

@@ -2,9 +2,12 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from meshframe import runtime
 from meshframe.functions import presence
+from meshframe.operators import lookup as lookups
 from meshframe.operators.build import make_network
 from meshframe.runtime import checked_broadcast, cut, drop, hot_values, is_small, lookup
+from meshframe.sources import graphs
 from meshframe.sources.graphs import read_rows, rows_of, write_network
 from meshframe.streaming.ingest import NetworkStore, ingest
 
@@ -69,3 +72,31 @@ def test_predicates(spark):
     x = spark.createDataFrame([(0.0, [0.0], ""), (float("nan"), [], "a"), (None, None, None)], "n double, w array<double>, s string")
     got = x.select(presence.is_defined(F.col("n")), presence.is_identifier(F.col("n")), presence.is_identifier(F.col("s")), presence.is_weights(F.col("w")), presence.is_weight_number(F.col("w"), F.lit(True)), presence.number_present(F.col("n")))
     assert [tuple(r) for r in got.collect()] == [(True, True, False, True, True, True), (True, False, True, False, False, False), (False, False, False, False, False, False)]
+
+
+def test_large_providers_and_stored_networks(spark, monkeypatch, tmp_path):
+    """The driver holds a chunk of a provider's rows; a lookup in a stored network filters in the files."""
+    monkeypatch.setattr(graphs, "CHUNK", 10)
+    held = []
+
+    def provider():
+        for i in range(35):
+            held.append(i)
+            yield (f"n{i}", i)
+        yield None
+        raise AssertionError("read beyond the false row")
+
+    assert sorted(r.k for r in graphs.rows_of(spark, provider(), "id string, k int").collect()) == list(range(35)) == held
+    assert sorted(r.k for r in graphs.rows_of(spark, provider(), ["id", "k"]).collect()) == list(range(35))
+    assert graphs.rows_of(spark, [], "id string").isEmpty() and graphs.rows_of(spark, iter([("a",)] * 10), "id string").count() == 10
+    nodes, edges = spark.createDataFrame([("x",), ("y",)], "id string"), spark.createDataFrame([("e", "x", "y")], "id string, a string, b string")
+    made = make_network(nodes, edges, node_id="id", edge_id="id", edge_a="a", edge_b="b", node_order=["id"], edge_order=["id"]).network
+    graphs.write_network(made, str(tmp_path / "net"))
+    found = lookups.get_edge(graphs.read_network(spark, str(tmp_path / "net")), "x", "y")
+    assert [r.id for r in found.collect()] == ["e"]
+    assert "EqualTo(src,x)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    wide = spark.range(10).selectExpr("repeat('x', 1000) as t")
+    assert runtime.is_small(wide) and not runtime.is_small(wide, size=5000) and not runtime.is_small(wide, rows=9)
