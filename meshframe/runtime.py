@@ -35,10 +35,12 @@ def parts(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; only where none is named (tests), a temporary one."""
+    """Use the folder that the cluster names; only where none is named and all runs on this machine (tests), a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not named:
             named = tempfile.mkdtemp(prefix="meshframe-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)

@@ -12,7 +12,7 @@ from meshframe.operators.build import make_network
 GRAPH = st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11)), min_size=1, max_size=25)
 
 
-@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture], derandomize=True)
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture], derandomize=True)
 @given(GRAPH)
 def test_graph(spark, pairs):
     nodes = spark.createDataFrame([(i,) for i in range(12)], "id int")
