@@ -60,7 +60,7 @@ _THAI = re.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])")
 _GREEK = re.compile("[Ͱ-ͽͿ-Ͽἀ-῿]")
 _CODES, _URLS = re.compile("\ue000+"), re.compile("\ue001+")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-_AFTER = re.compile(r"[^\W\d_]{4}[.!?]\s+([^\W\d_])")
+_AFTER = re.compile(r"[.!?](?<=[^\W\d_]{4}.)\s+([^\W\d_])", re.S)
 _DIGITS = re.compile(r"\d+")
 _FRONT = re.compile("^[\"'“”‘’«»„「」『』(（\\[【《*_~¿¡]+")
 _BACK = re.compile("[\"'“”‘’«»„「」『』)）\\]】》*_~.,;:!?…。，、！？；：]+$")
@@ -517,7 +517,8 @@ def _pieces(text: str, found: list[tuple[int, int, Gaps]]) -> tuple[list[int], l
         for (a, run, k), (e, *_) in zip(at, [*at[1:], (end,)], strict=True):
             part = text[a:e]
             bare = part.strip()
-            a += len(part) - len(part.lstrip()) if bare else 0
+            if part[:1].isspace() and bare:
+                a += len(part) - len(part.lstrip())
             pieces += (a, a + len(bare), run, k)
     return pieces, runs
 

@@ -213,3 +213,28 @@ def test_runs_cover_all_gaps(monkeypatch):
             assert run == line[first : first + len(run)] and hi < len(run)
             gaps += range(first + lo, first + hi)
         assert gaps == list(range(n - 1))
+
+
+def test_planted_boundaries(spark, model):
+    """Sentences that are whole blocks of their own, put together in paragraphs: the model finds where they meet."""
+    single = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("text", "lang").collect():
+        for a, e, g in sentences.gaps(r.text):
+            bare = r.text[a:e].strip()
+            if g.end and not g.runs and not g.sure and not r.text[a : e - len(g.masked)].strip() and bare[-1] in ".!?。！？" and 15 < len(bare) < 200 and "\n" not in bare:
+                single.setdefault("none" if bare[-1] in "。！？" else (r.lang or "")[:2].lower(), set()).add(bare)
+    random.seed(6)
+    n_true = n_found = n_both = 0
+    for lang, texts in sorted(single.items()):
+        if len(texts) < 6:
+            continue
+        for _ in range(40):
+            chosen = random.sample(sorted(texts), 3)
+            gap = "" if lang == "none" else " "
+            at, true = 0, set()
+            for x in chosen:
+                true.add((at, at + len(x)))
+                at += len(x) + len(gap)
+            got = set(sentences.units(gap.join(chosen), model))
+            n_true, n_found, n_both = n_true + 3, n_found + len(got), n_both + len(true & got)
+    assert n_true >= 500 and n_both >= 0.97 * n_true and n_both >= 0.97 * n_found, (n_true, n_found, n_both)
