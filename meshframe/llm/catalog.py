@@ -167,7 +167,7 @@ union all select unnest(['texts in parts missing or repeated', 'containers beyon
 
 SQL = {
     "p6_checks": _PLACED,
-    "p6_mixture_checks": f"{_PLACED} union all select unnest(['windows off target', 'fewer than three windows on target']), 0",
+    "p6_mixture_checks": f"{_PLACED} union all select 'windows off target', 0",
     "p7_found": f"with {_GRAMS} select t.id as doc_id, item_id from (select distinct r, item_id from hits) h join texts t using (r)",
     "p7_spans": f"""with {_GRAMS}, gaps as (select *, case when n - lag(n) over (partition by r order by n) <= {leak.LENGTH} then 0 else 1 end as new from (select distinct r, n, a, b from hits)),
   spans as (select *, sum(new) over (partition by r order by n) as span from gaps),

@@ -214,5 +214,4 @@ def faults(packed: DataFrame, capacity: int, spare: float, targets: dict[str, fl
         dry = got.groupBy("source").agg(F.max("window").alias("last")).agg(F.min("last")).first()[0] or 0
         want = F.try_element_at(F.create_map(*[F.lit(v) for kv in targets.items() for v in kv]), F.col("source")) * goal
         out.append(count(got, "windows off target", (F.col("window") < dry) & (F.abs(F.col("size") - want) > capacity)))
-        out.append(count(got.agg(F.lit(dry).alias("n")), "fewer than three windows on target", F.col("n") < 3))
     return reduce(DataFrame.unionByName, out)

@@ -247,7 +247,8 @@ def _in_cells(keyed: DataFrame) -> DataFrame:
     """keyed with (block, part, probes): a partition that is too large for a task becomes a grid of cells. A set is listed in
     all parts of its block and probes all blocks in its part; in any cell, it does one of the two or both."""
     size = F.size("els")
-    total = keyed.groupBy("side", "step", "key").agg(F.sum(F.when(F.col("listed"), size).otherwise(0)).alias("n_listed"), F.sum(size).alias("n_probing"))
+    # up to HOT sets of LISTED / HOT elements or fewer fit a cell, so they needn't be counted
+    total = keyed.where((F.col("step") > ANY) | (size > LISTED // HOT)).groupBy("side", "step", "key").agg(F.sum(F.when(F.col("listed"), size).otherwise(0)).alias("n_listed"), F.sum(size).alias("n_probing"))
     total = total.where((F.col("n_listed") > LISTED) | ((F.col("n_probing") > PROBED) & (F.col("n_listed") > 0)))
     large = cut(total.select(F.struct("side", "step", "key").alias("__p"), F.ceil(F.col("n_listed") / LISTED).cast("int").alias("blocks"), F.ceil(F.col("n_probing") / PROBED).cast("int").alias("parts")))
     if not large.n_rows:

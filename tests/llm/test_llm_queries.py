@@ -2,6 +2,7 @@
 
 import pytest
 from compare import duck, rows
+from pyspark.sql import functions as F
 
 import meshframe.llm.catalog as catalog
 
@@ -17,3 +18,9 @@ def test_same_rows(spark, name):
         cols = [x[0] for x in r.description]
         assert sorted(cols) == sorted(df.columns)
         assert rows(df.columns, got) == rows(cols, r.fetchall())
+
+
+def test_mixture_has_many_windows(spark):
+    """At scale 0.01, the targets hold in several windows before a source runs dry."""
+    x = catalog.p6_mixture(spark, "/root/testdata/sf0.01").where(F.col("source").isin(*catalog.P6_TARGETS))
+    assert x.groupBy("source").agg(F.max("window").alias("last")).agg(F.min("last")).first()[0] >= 4
