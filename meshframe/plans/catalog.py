@@ -323,22 +323,13 @@ def sp_depths(s: SparkSession, d: str) -> DataFrame:
     return _depths(select.spread(graphs.geo(s, d).network, _ids(s, "r0")))
 
 
-def _layers(s: SparkSession, d: str, max_depth: int | None) -> DataFrame:
+def sp_layers(s: SparkSession, d: str) -> DataFrame:
+    """Layer sizes over the supply graph from s0, as the callback sees them, with the last layer without nodes if edges are left for it."""
     seen: list[tuple[int, int]] = []
-    select.spread(graphs.supply(s, d).network, _ids(s, "s0"), lambda layer: seen.append((layer.depth, layer.nodes.count())), max_depth=max_depth)
+    select.spread(graphs.supply(s, d).network, _ids(s, "s0"), lambda layer: seen.append((layer.depth, layer.nodes.count())))
     return s.createDataFrame(seen, "depth int, n_nodes bigint")
 
 
-def sp_layers(s: SparkSession, d: str) -> DataFrame:
-    """Layer sizes over the supply graph from s0, as the callback sees them; to depth 6, as its SQL."""
-    return _layers(s, d, 6)
-
-
-def sp_all_layers(s: SparkSession, d: str) -> DataFrame:
-    """sp_layers to the end of the spread, with the last layer without nodes if edges are left for it."""
-    return _layers(s, d, None)
-
-
 def sp_trade_layers(s: SparkSession, d: str) -> DataFrame:
     """Layer sizes over the trade graph from c0, to the end of the spread."""
     state = select.spread(graphs.trade(s, d).network, _ids(s, "c0"))
@@ -347,8 +338,7 @@ def sp_trade_layers(s: SparkSession, d: str) -> DataFrame:
 
 def sp_trade_paths(s: SparkSession, d: str) -> DataFrame:
     """Parents over the trade graph from c0, to the end of the spread."""
-    found = [x.path for x in select.spread_layers(graphs.trade(s, d).network, _ids(s, "c0"), keep_path=True) if x.path is not None]
-    return reduce(DataFrame.unionByName, found).select("node", "parent", "edge_id")
+    return _parents(graphs.trade(s, d).network, _ids(s, "c0"))
 
 
 def sp_chain_depths(s: SparkSession, d: str) -> DataFrame:
@@ -370,20 +360,12 @@ def sp_maxdepth(s: SparkSession, d: str) -> DataFrame:
 
 
 def sp_paths(s: SparkSession, d: str) -> DataFrame:
-    return _parents(s, d, 4)
-
-
-def sp_all_paths(s: SparkSession, d: str) -> DataFrame:
-    """sp_paths to the end of the spread."""
-    return _parents(s, d, None)
+    return _parents(graphs.supply(s, d).network, _ids(s, "s0"))
 
 
-def _parents(s: SparkSession, d: str, max_depth: int | None) -> DataFrame:
-    found = [layer.path for layer in select.spread_layers(graphs.supply(s, d).network, _ids(s, "s0"), keep_path=True, max_depth=max_depth) if layer.path is not None]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.select("node", "parent", "edge_id")
+def _parents(net, start: DataFrame) -> DataFrame:
+    found = [layer.path for layer in select.spread_layers(net, start, keep_path=True) if layer.path is not None]
+    return reduce(DataFrame.unionByName, found).select("node", "parent", "edge_id")
 
 
 def sp_edges(s: SparkSession, d: str) -> DataFrame:
@@ -396,25 +378,11 @@ def sp_no_same_depth(s: SparkSession, d: str) -> DataFrame:
 
 def sp_tree_edges(s: SparkSession, d: str) -> DataFrame:
     """Edges that lead to a node not reached before."""
-    return _tree_edges(s, d, 4)
-
-
-def sp_all_tree_edges(s: SparkSession, d: str) -> DataFrame:
-    """sp_tree_edges to the end of the spread."""
-    return _tree_edges(s, d, None)
-
-
-def _tree_edges(s: SparkSession, d: str, max_depth: int | None) -> DataFrame:
-    state = select.spread(graphs.supply(s, d).network, _ids(s, "s0"), max_depth=max_depth, exclude_same_depth_edges=True)
+    state = select.spread(graphs.supply(s, d).network, _ids(s, "s0"), exclude_same_depth_edges=True)
     return state.visited_edges.select("edge_id", "depth")
 
 
 def sp_overlap(s: SparkSession, d: str) -> DataFrame:
-    return select.overlap(select.spread(graphs.supply(s, d).network, _ids(s, "s0", "s1", "s2"), by_source=True, max_depth=3))
-
-
-def sp_all_overlap(s: SparkSession, d: str) -> DataFrame:
-    """sp_overlap to the end of the spread."""
     return select.overlap(select.spread(graphs.supply(s, d).network, _ids(s, "s0", "s1", "s2"), by_source=True))
 
 
@@ -648,13 +616,12 @@ select id, case when src in (select id from g) then 'out' else 'in' end as dir f
     "nb_exclude_edges": f"select dst as node, src as nbr, id as edge_id, 'in' as dir from {_GEO} where dst in ('n0', 'n1') union all select src, dst, id, 'out' from {_GEO} where src in ('n0', 'n1')",
     "nb_event_multiplicity": f"select node, nbr, count(*) as n from (select dst as node, src as nbr from {_EVENT} union all select src, dst from {_EVENT}) group by 1, 2",
     "sp_depths": _depth_sql(_GEO, _seed("r0"), 6),
-    "sp_layers": f"with recursive {_bfs(_SUPPLY, _seed('s0'), 6)} select depth, count(*) as n_nodes from dist group by 1",
-    "sp_all_layers": f"""with recursive {_bfs(_SUPPLY, _seed('s0'), _END)}, n as (select depth, count(*) as n_nodes from dist group by 1)
+    "sp_layers": f"""with recursive {_bfs(_SUPPLY, _seed('s0'), _END)}, n as (select depth, count(*) as n_nodes from dist group by 1)
 select depth, n_nodes from n union all select depth + 1, 0 from n where depth = (select max(depth) from n)
   and exists (select 1 from adj join dist a on a.node = n join dist b on b.node = m where a.depth = b.depth and a.depth = (select max(depth) from dist))""",
-    "sp_all_paths": f"with recursive {_bfs(_SUPPLY, _seed('s0'), _END)} {_PARENTS}",
-    "sp_all_tree_edges": f"with recursive {_bfs(_SUPPLY, _seed('s0'), _END)} select e.id as edge_id, {_EDGE_DEPTH} from {_SUPPLY} e join dist a on a.node = src join dist b on b.node = dst where a.depth <> b.depth",
-    "sp_all_overlap": f"""with recursive e as {_SUPPLY}, adj as (select src as n, dst as m from e union all select dst, src from e),
+    "sp_paths": f"with recursive {_bfs(_SUPPLY, _seed('s0'), _END)} {_PARENTS}",
+    "sp_tree_edges": f"with recursive {_bfs(_SUPPLY, _seed('s0'), _END)} select e.id as edge_id, {_EDGE_DEPTH} from {_SUPPLY} e join dist a on a.node = src join dist b on b.node = dst where a.depth <> b.depth",
+    "sp_overlap": f"""with recursive e as {_SUPPLY}, adj as (select src as n, dst as m from e union all select dst, src from e),
   walk as (select x as source, x as node from (values ('s0'), ('s1'), ('s2')) t(x) union select source, m from walk join adj on n = node)
 select node, count(*) as n_sources from walk group by 1 having count(*) > 1""",
     "sp_trade_layers": f"with recursive {_bfs(_TRADE, _seed('c0'), 8)} select depth, count(*) as n_nodes from dist group by 1",
@@ -678,13 +645,8 @@ select node, depth from d0 where depth <= coalesce((select meet from met), 4)"""
     "sp_layering_others": f"with recursive {_TWO.format(4, 2)} select distinct cast(0 as int) as spread from d0 join d1 using (node) where d0.depth > 0",
     "sp_multi_seed": _depth_sql(_GEO, _seed("n0", "n1", "s2"), 6),
     "sp_maxdepth": _depth_sql(_TRADE, _seed("c0"), 2),
-    "sp_paths": f"with recursive {_bfs(_SUPPLY, _seed('s0'), 4)} select b.node, arg_min(a.node, (a.node, id)) as parent, arg_min(id, (a.node, id)) as edge_id from dist a join adj on n = a.node join dist b on b.node = m and b.depth = a.depth + 1 group by 1",
     "sp_edges": f"with recursive {_bfs(_GEO, _seed('s0'), 6)} select e.id as edge_id, {_EDGE_DEPTH} from {_GEO} e join dist a on a.node = src join dist b on b.node = dst",
     "sp_no_same_depth": f"with recursive {_bfs(_EVENT, _seed('click'), 3)} select e.id as edge_id, {_EDGE_DEPTH} from {_EVENT} e join dist a on a.node = src join dist b on b.node = dst where a.depth <> b.depth",
-    "sp_tree_edges": f"with recursive {_bfs(_SUPPLY, _seed('s0'), 4)} select e.id as edge_id, {_EDGE_DEPTH} from {_SUPPLY} e join dist a on a.node = src join dist b on b.node = dst where a.depth <> b.depth",
-    "sp_overlap": f"""with recursive e as {_SUPPLY}, adj as (select src as n, dst as m from e union all select dst, src from e),
-  walk as (select x as source, x as node, 0 as depth from (values ('s0'), ('s1'), ('s2')) t(x) union select source, m, depth + 1 from walk join adj on n = node where depth < 3)
-select node, count(distinct source) as n_sources from walk group by 1 having count(distinct source) > 1""",
     "sp_stop": f"with recursive {_bfs(_GEO, _seed('s0'), 2)} select depth, count(*) as n_nodes, true as cleared from dist group by 1",
     "sp_layering_blends": _depth_sql(_SUPPLY, _seed("s0"), 4),
     "sp_layering_overrides": f"""with recursive e as {_SUPPLY}, adj as (select src as n, dst as m from e union all select dst, src from e),

@@ -127,7 +127,7 @@ def test_spreads_to_the_end(spark):
     """Over the supply graph: golden layers of SURVEY 7.3, and plain Python."""
     tables = "/root/testdata/sf0.01"
     golden = [1, 13, 3, 37, 14, 147, 50, 452, 30, 227, 1, 4, 1, 7]
-    sizes = [r.n_nodes for r in catalog.sp_all_layers(spark, tables).orderBy("depth").collect()]
+    sizes = [r.n_nodes for r in catalog.sp_layers(spark, tables).orderBy("depth").collect()]
     assert [n for n in sizes if n] == golden
     tables = "/root/testdata/sf0.001"
     edges = [(r.id, r.src, r.dst) for r in graphs.supply(spark, tables).network.edges.select("id", "src", "dst").collect()]
@@ -140,17 +140,16 @@ def test_spreads_to_the_end(spark):
         return out
 
     d = depths("s0")
-    assert max(d.values()) > 6  # deeper than sp_layers, sp_paths and sp_tree_edges go
     parents = {}
     for e, a, b in edges:
         for x, y in ((a, b), (b, a)):
             if x in d and d[y] == d[x] + 1:
                 parents[y] = min(parents.get(y, ("~", "~")), (x, e))
-    assert rows(catalog.sp_all_paths(spark, tables)) == sorted(((y, *p) for y, p in parents.items()), key=repr)
-    assert rows(catalog.sp_all_tree_edges(spark, tables)) == sorted(((e, min(d[a], d[b]) + 1) for e, a, b in edges if a in d and d[a] != d[b]), key=repr)
+    assert rows(catalog.sp_paths(spark, tables)) == sorted(((y, *p) for y, p in parents.items()), key=repr)
+    assert rows(catalog.sp_tree_edges(spark, tables)) == sorted(((e, min(d[a], d[b]) + 1) for e, a, b in edges if a in d and d[a] != d[b]), key=repr)
     reached = [set(depths(x)) for x in ("s0", "s1", "s2")]
     n = {x: sum(x in r for r in reached) for x in set().union(*reached)}
-    assert rows(catalog.sp_all_overlap(spark, tables)) == sorted(((x, k) for x, k in n.items() if k > 1), key=repr)
+    assert rows(catalog.sp_overlap(spark, tables)) == sorted(((x, k) for x, k in n.items() if k > 1), key=repr)
     parts = catalog.sp_chunked(spark, tables).collect()
     assert sum(r.n_nodes for r in parts) == len(d) and max(r.depth for r in parts) >= max(d.values())
 

@@ -9,7 +9,7 @@ import meshframe.plans.streams as streams
 
 SF = "/root/testdata/sf0.001"
 PARTS = [catalog, dealt, streams]
-NAMES = ["fn_presence", "mk_nodes_geo", "mk_dup_edges_last", "mk_orphan_errors", "mk_autoid", "mk_multi_id", "mk_multi_id_missing", "mk_edge_guard", "mk_agg_errors", "mk_map_meta", "mk_agg_override", "mk_agg_concat", "mk_agg_meta", "lk_get_edges", "mu_add_node", "mu_removed_edges", "mu_added_before", "mu_removed_before", "so_union_edges", "nb_event_multiplicity", "sp_depths", "sp_paths", "sp_all_layers", "sp_chunked", "sp_waits_others", "sp_layering_completely", "sp_toward", "sh_connection_nodes", "pa_hops", "pa_weighted", "p3_found", "p3_edges", "p3_median", "p5_found", "p5_snapshots", "st_ingest"]
+NAMES = ["fn_presence", "mk_nodes_geo", "mk_dup_edges_last", "mk_orphan_errors", "mk_autoid", "mk_multi_id", "mk_multi_id_missing", "mk_edge_guard", "mk_agg_errors", "mk_map_meta", "mk_agg_override", "mk_agg_concat", "mk_agg_meta", "lk_get_edges", "mu_add_node", "mu_removed_edges", "mu_added_before", "mu_removed_before", "so_union_edges", "nb_event_multiplicity", "sp_depths", "sp_paths", "sp_layers", "sp_chunked", "sp_waits_others", "sp_layering_completely", "sp_toward", "sh_connection_nodes", "pa_hops", "pa_weighted", "p3_found", "p3_edges", "p3_median", "p5_found", "p5_snapshots", "st_ingest"]
 
 
 @pytest.mark.parametrize("name", NAMES)
