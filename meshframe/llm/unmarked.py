@@ -182,16 +182,22 @@ def _worded(ends: frozenset):
 
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         names = [c.split()[0] for c in _UNITS.split(", ")]
-        task, made = uuid4().hex, 0
+        task, made, rows = uuid4().hex, 0, []
+
+        def out():
+            cols = list(zip(*rows, strict=True)) or [[] for _ in names]
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
         for b in batches:
-            rows = []
             for doc, text, starts, stops in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "starts", "ends")), strict=True):
                 for a, e in zip(starts, stops, strict=True):
                     made += 1
                     found = words(text[a:e])
                     rows.append((doc, f"{task}{made:x}", a, e, text[e - 1] in ends, [w for w, *_ in found], [a + i for _, i, _ in found], [a + j for *_, j in found]))
-            cols = list(zip(*rows, strict=True)) or [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+                if len(rows) > 10_000:
+                    yield out()
+        yield out()
 
     return go
 
