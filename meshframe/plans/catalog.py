@@ -11,7 +11,7 @@ from meshframe.functions import presence
 from meshframe.model import ErrorType, LayerPriority, ValueMode
 from meshframe.operators import clone, lookup, mutate, paths, select, setops
 from meshframe.operators.build import make_network
-from meshframe.runtime import read
+from meshframe.runtime import new_path, read
 from meshframe.sources import graphs
 
 # ---- building
@@ -486,6 +486,32 @@ def pa_absent(s: SparkSession, d: str) -> DataFrame:
     return paths.path(graphs.geo(s, d).network, "s0", "nowhere")
 
 
+# ---- sources and sinks
+
+
+def io_network(s: SparkSession, d: str) -> DataFrame:
+    """The geo graph stored and read again."""
+    path = new_path(s)
+    graphs.write_network(graphs.geo(s, d).network, path)
+    return graphs.read_network(s, path).edges.select("id", "src", "dst")
+
+
+def io_rows(s: SparkSession, d: str) -> DataFrame:
+    """The nations written in each format and read again with their schema."""
+    nations, out = read(s, d, "nation"), []
+    for kind in ("parquet", "orc", "json", "csv"):
+        path = new_path(s)
+        nations.write.format(kind).save(path)
+        out.append(graphs.read_rows(s, path, kind, nations.schema).select(F.lit(kind).alias("kind"), "n_nationkey", "n_name", "n_regionkey"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def io_provider(s: SparkSession, d: str) -> DataFrame:
+    """Rows of a generator, up to its first false one."""
+    rows = ((i, f"x{i}") if i < 1000 else None for i in range(1010))
+    return graphs.rows_of(s, rows, "id bigint, name string")
+
+
 # ---- predicates
 
 
@@ -496,7 +522,7 @@ def fn_presence(s: SparkSession, d: str) -> DataFrame:
     return e.groupBy(*[c.alias(k) for k, c in flags.items()]).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if name[:3] in ("mk_", "lk_", "mu_", "cl_", "so_", "nb_", "sp_", "sh_", "pa_", "fn_")}
+QUERIES = {name: f for name, f in list(globals().items()) if name[:3] in ("mk_", "lk_", "mu_", "cl_", "so_", "nb_", "sp_", "sh_", "pa_", "io_", "fn_")}
 
 # ---- SQL
 
@@ -558,6 +584,9 @@ select t as id, cast(arg_max(doc_id, (doc_id, pos)) as double) as last_doc from
 
 
 SQL = {
+    "io_network": f"select id, src, dst from {_GEO}",
+    "io_rows": "select kind, n_nationkey, n_name, n_regionkey from nation, (select unnest(['parquet', 'orc', 'json', 'csv']) as kind)",
+    "io_provider": "select range as id, 'x' || range as name from range(1000)",
     "fn_presence": """select id is not null as has_id, a is not null and b is not null as has_ends, coalesce(len(atob) > 0, false) as has_atob, coalesce(len(atob) = 1, false) as one_atob,
   coalesce(len(list_filter(btoa, lambda x: x is not null and not isnan(x))) > 0, false) as has_number, meta.kind is not null as has_kind, coalesce(regexp_matches(meta.kind, '[A-Za-z]'), false) as has_name, count(*) as n from iedge group by all""",
     "mk_nodes_geo": f"select id, name from {_GEO_NODES}",

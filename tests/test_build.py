@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meshframe.functions import weights
 from meshframe.model import ErrorType, ValueMode
+from meshframe.operators import build
 from meshframe.operators.build import make_network
 from meshframe.operators.index import dense_index
 
@@ -139,6 +140,20 @@ def test_value_modes(spark, mode, steps, want):
     assert (r.v, r.s) == ((want, False) if isinstance(want, list) else ([want], True))
 
 
+def test_accessors(spark):
+    """A name, a Column or a function of the frame; None is a null."""
+    x = spark.createDataFrame([("a", 1)], "id string, k int")
+    assert build.is_accessor_string("id") and not build.is_accessor_string(F.col("id"))
+    got = x.select(*[build.access(x, a).alias(f"c{i}") for i, a in enumerate(("id", F.col("k") + 1, lambda df: df["k"] * 3, NONE))])
+    assert rows(got) == [("a", 2, 3, NONE)]
+
+
+def test_aggregates_have_no_duplicates(spark):
+    """Duplicate ids are the point of the mode; deleting while processing changes nothing."""
+    r = built(spark, [("x", 1.0, 0), ("x", 2.0, 1)], [("k", "x", "x", 0), ("k", "x", "x", 1)], aggregate_results=True, delete_while_processing=True)
+    assert r.errors.isEmpty() and r.network.nodes.count() == r.network.edges.count() == 1
+
+
 def test_dense_index(spark):
     x = dense_index(spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(5), ["x"], "n")
     assert x.where("x <> n").isEmpty() and x.count() == 1000
