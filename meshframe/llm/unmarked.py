@@ -113,7 +113,7 @@ def count(sentences: DataFrame) -> DataFrame:
             keys.clear()
             return x
 
-        for b in batches:
+        for b in _slices(batches):
             for found in b.column("words").to_pylist():
                 keys.update(event_keys(found))
                 if len(keys) > FLUSH:
@@ -128,6 +128,13 @@ def count(sentences: DataFrame) -> DataFrame:
     return cut(events.unionByName(followed).unionByName(whole))
 
 
+def _slices(batches, rows: int = 500):
+    """The batches in parts, so that few rows with long lists are Python objects at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 class _Asked(dict):
     def get(self, key, default=None):
         self[key] = None
@@ -137,7 +144,7 @@ class _Asked(dict):
 def _ask(batches):
     import pyarrow as pa
 
-    for b in batches:
+    for b in _slices(batches):
         ids, keys = [], []
         for i, run in zip(b.column("run_id").to_pylist(), b.column("run").to_pylist(), strict=True):
             asked = _Asked()
@@ -151,7 +158,7 @@ def _decide(total: float, distinct: float):
     def go(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in _slices(batches):
             ids, ends = [], []
             for i, run, keys, counts in zip(*(b.column(c).to_pylist() for c in ("run_id", "run", "keys", "counts")), strict=True):
                 ids.append(i)
