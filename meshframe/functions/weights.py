@@ -24,7 +24,7 @@ def is_scalar(kind: T.DataType) -> bool:
 
 
 def merged(rows: DataFrame, mode: ValueMode, channels: list[tuple[str, str]], aggs: list[Column]) -> DataFrame:
-    """(id, aggs..., value, scalar of each channel): rows (id, ord, ...) of an id combined in order of ord, in one pass.
+    """(id, aggs..., value, scalar of each channel): rows (id, ord, ...) of an id combined in order of ord, in one pass (OVERRIDE: two).
 
     aggs are aggregations of the rows by id. A channel is a pair (value, scalar); rows whose value is null or an empty list
     don't take part in it: what is missing never overwrites, and a channel without any value is null.
@@ -52,8 +52,8 @@ def merged(rows: DataFrame, mode: ValueMode, channels: list[tuple[str, str]], ag
 
 
 def _overridden(rows: DataFrame, channels: list[tuple[str, str]], aggs: list[Column]) -> DataFrame:
-    """A row comes once for itself (channel -1) and once a slot of its lists (a number is slot -1): the last list that
-    reaches a slot and the last number in it are combined by slot, then the slots by id."""
+    """One narrow row a slot of all channels' lists (a number is slot -1): the last list that reaches a slot and the last
+    number in it are combined by slot, then the slots by id, and join the aggregations of the rows themselves."""
     slot = lambda k, pos, w: F.struct(F.lit(k).alias("c"), pos.alias("pos"), w.alias("w"))
     none = F.expr("cast(array() as array<struct<c:int,pos:int,w:double>>)")
 
@@ -61,12 +61,11 @@ def _overridden(rows: DataFrame, channels: list[tuple[str, str]], aggs: list[Col
         return F.coalesce(F.transform(v, lambda w, i: slot(k, F.when(F.col(s), F.lit(-1)).otherwise(i.cast("int")), w)), none)
 
     lists = [slots(k, v, s) for k, (v, s) in enumerate(channels)]
-    x = rows.select("*", F.inline(F.concat(F.array(slot(-1, F.lit(-1), F.lit(None).cast("double"))), *lists)))
-    whole = F.col("c") == -1
-    at, w = F.when(~whole, F.col("ord")), F.col("w")
-    first = x.groupBy("id", "c", "pos").agg(F.when(whole, F.struct(*aggs) if aggs else F.lit(None).cast("struct<x:int>")).alias("__b"), F.max(at).alias("reached"), F.max_by(F.struct("ord", "w"), F.when(w.isNotNull(), at)).alias("w"))
+    x = rows.select("id", "ord", F.inline(F.concat(*lists)))
+    w = F.col("w")
+    first = x.groupBy("id", "c", "pos").agg(F.max("ord").alias("reached"), F.max_by(F.struct("ord", "w"), F.when(w.isNotNull(), F.col("ord"))).alias("w"))
     of = lambda k, c: F.when(F.col("c") == k, c)
-    per = [F.first("__b", True).alias("__b")]
+    per = []
     for k, (v, _) in enumerate(channels):
         per += [F.array_sort(F.collect_list(of(k, F.struct("pos", "reached", "w")))).alias(f"__a{k}")]
         per += [F.max(of(k, F.when(F.col("pos") < 0, F.col("reached")))).alias(f"__n{k}"), F.max(of(k, F.when(F.col("pos") >= 0, F.col("reached")))).alias(f"__l{k}")]
@@ -80,7 +79,11 @@ def _overridden(rows: DataFrame, channels: list[tuple[str, str]], aggs: list[Col
         scalar = F.coalesce(number_at > list_at, number_at.isNotNull())
         there = number_at.isNotNull() | list_at.isNotNull()
         cols += [F.when(there, F.when(scalar, number).otherwise(taken)).alias(v), F.when(there, scalar).alias(s)]
-    return out.select("id", "__b.*", *cols) if aggs else out.select("id", *cols)
+    out = out.select("id", *cols)
+    if not aggs:
+        return out
+    base = rows.groupBy("id").agg(*aggs)
+    return base.join(out.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").drop("__id")
 
 
 def combine(rows: DataFrame, mode: ValueMode, value: str, scalar: str) -> DataFrame:
