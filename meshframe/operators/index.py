@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshframe.runtime import cut
+from meshframe import runtime
 
 
-def dense_index(df: DataFrame, order: list, name: str) -> DataFrame:
+def dense_index(df: DataFrame, order: list, name: str, cut: Callable[[DataFrame], DataFrame] = runtime.cut) -> DataFrame:
     """df with a bigint column `name`: 0, 1, 2, ... in the order of `order` (which should be total).
 
     The rows are range-partitioned and sorted, numbered within their partitions, and shifted by the sizes of the
-    partitions before: one row a partition is all that meets in one task.
+    partitions before: one row a partition is all that meets in one task. `cut` writes the rows.
     """
     x = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshframe.model import LayerPriority, Network
 from meshframe.operators.index import dense_index
-from meshframe.runtime import BROADCAST_ROWS, cut, drop, lookup
+from meshframe.runtime import BROADCAST_ROWS, cut, drop
 
 
 def neighbors(net: Network, nodes: DataFrame, exclude: DataFrame | None = None, include_edge_to_excluded: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -30,12 +30,16 @@ def neighbors(net: Network, nodes: DataFrame, exclude: DataFrame | None = None,
 
 @dataclass(frozen=True)
 class Layer:
-    """One execution layer: nodes (source, node), edges (source, edge_id, src_node, dst_node), path (source, node, parent, edge_id)."""
+    """One execution layer: nodes (source, node), edges (source, edge_id, src_node, dst_node), path (source, node, parent, edge_id).
+
+    Of a spread with mark_parts, all three have a column `chunk` as well: 0 to n_parts - 1, the part of each row; a part may have none.
+    """
 
     depth: int
     nodes: DataFrame
     edges: DataFrame | None
     path: DataFrame | None
+    n_parts: int = 1
 
 
 @dataclass
@@ -58,8 +62,8 @@ class SpreadState:
         drop(*self.tables)
         self.tables, self.visited_nodes, self.visited_edges = [], None, None
 
-    def cut(self, df: DataFrame, flag: Column | None = None) -> DataFrame:
-        self.tables.append(cut(df, flag))
+    def cut(self, df: DataFrame, flag: Column | None = None, also: Column | None = None) -> DataFrame:
+        self.tables.append(cut(df, flag, also))
         return self.tables[-1]
 
 
@@ -76,6 +80,7 @@ def spread_layers(
     keep_path: bool = False,
     max_depth: int | None = None,
     max_nodes_per_execution: int | None = None,
+    mark_parts: bool = False,
     layers: list[SpreadState] | None = None,
     priority: LayerPriority = LayerPriority.BLENDS,
     toward: Callable[[DataFrame], Column] | None = None,
@@ -87,8 +92,9 @@ def spread_layers(
     Layer 0 holds the start nodes that are members. Each edge comes once, at the layer where the first of its ends is
     expanded. A last layer without nodes still comes if edges are left for it, and ends the spread; max_depth cuts before
     it. by_source spreads from every start node on its own. The parent of a node is the smallest (parent, edge) that
-    reaches it. max_nodes_per_execution cuts a layer into parts by node id that share their depth. `toward` keeps
-    candidates (source, node, parent, edge_id) for which its Column is true.
+    reaches it. max_nodes_per_execution cuts a layer into parts by node id that share their depth; each is a Layer, or with
+    mark_parts the layer stays one Layer whose rows name their part, so that one job can serve any number of parts.
+    `toward` keeps candidates (source, node, parent, edge_id) for which its Column is true.
 
     layers and priority: BLENDS ignores earlier spreads; OVERRIDES takes over the nodes of theirs that it reaches, where they
     may not go on (state.overridden, and `taken` of their states); TERMINATES takes no node of theirs; COMPLETELY_TERMINATES
@@ -107,36 +113,39 @@ def spread_layers(
     first = first.join(net.nodes.select(F.col("id").alias("__id")), F.col("node") == F.col("__id"), "left_semi")
     source = F.col("node") if by_source else F.lit("*")
     frontier = state.cut(first.select(source.alias("source"), "node"))
+    part = [] if max_nodes_per_execution is None else ["chunk"]
     layered = bool(layers) and priority != LayerPriority.BLENDS
     visited = frontier.withColumn("depth", F.lit(0))
     edges_seen: DataFrame | None = None
     state.visited_nodes, state.visited_edges = visited, edges_seen
     if not frontier.n_rows:
         return
-    yield Layer(0, frontier, None, None)
-    depth, n_frontier = 0, frontier.n_rows
+    yield Layer(0, frontier.withColumn("chunk", F.lit(0)) if part and mark_parts else frontier, None, None)
+    depth, n_frontier, n_parts = 0, frontier.n_rows, 1
+    if part:
+        frontier, n_parts = _chunked(state, frontier, n_frontier, max_nodes_per_execution, by_source)
     while (max_depth is None or depth < max_depth) and not state.ended:
         owners = {k: x.visited_nodes.select("node").distinct() for k, x in enumerate(layers) if x.visited_nodes is not None} if layered else {}
         others = None
         for o in owners.values():
             others = _union(others, o)
-        f = frontier.select(F.col("source").alias("__s"), F.col("node").alias("__n"))
+        f = frontier.select(F.col("source").alias("__s"), F.col("node").alias("__n"), *part)
         if state.taken is not None:
             f = f.join(state.taken.select(F.col("node").alias("__o")), F.col("__n") == F.col("__o"), "left_anti")
         f = F.broadcast(f) if n_frontier <= BROADCAST_ROWS else f
-        reach = adj.join(f, F.col("__n") == F.col("node")).select(F.col("__s").alias("source"), "node", "nbr", "edge_id", "dir")
+        reach = adj.join(f, F.col("__n") == F.col("node")).select(F.col("__s").alias("source"), "node", "nbr", "edge_id", "dir", *part)
         seen = visited.select(F.col("source").alias("__s"), F.col("node").alias("__n"), F.col("depth").alias("nbr_depth"))
         reach = reach.join(seen, (F.col("source") == F.col("__s")) & (F.col("nbr") == F.col("__n")), "left").drop("__s", "__n")
         reach = reach.where(F.col("nbr_depth").isNull() | (F.col("nbr_depth") == depth))
         if toward is not None:
-            candidate = reach.select("source", F.col("nbr").alias("node"), F.col("node").alias("parent"), "edge_id", "dir", "nbr_depth")
+            candidate = reach.select("source", F.col("nbr").alias("node"), F.col("node").alias("parent"), "edge_id", "dir", *part, "nbr_depth")
             candidate = candidate.where(F.col("nbr_depth").isNotNull() | toward(candidate))
-            reach = candidate.select("source", F.col("parent").alias("node"), F.col("node").alias("nbr"), "edge_id", "dir", "nbr_depth")
+            reach = candidate.select("source", F.col("parent").alias("node"), F.col("node").alias("nbr"), "edge_id", "dir", *part, "nbr_depth")
         if others is not None and priority == LayerPriority.TERMINATES:
             reach = reach.join(others.select(F.col("node").alias("__o")), F.col("nbr") == F.col("__o"), "left_anti")
         reach = state.cut(reach, F.col("nbr_depth").isNull())
-        new = reach.where("nbr_depth is null").groupBy("source", "nbr").agg(F.min(F.struct("node", "edge_id")).alias("from"))
-        new = new.select("source", F.col("nbr").alias("node"), F.col("from.node").alias("parent"), F.col("from.edge_id").alias("edge_id"))
+        new = reach.where("nbr_depth is null").groupBy("source", "nbr").agg(F.min(F.struct("node", "edge_id", *part)).alias("from"))
+        new = new.select("source", F.col("nbr").alias("node"), F.col("from.node").alias("parent"), F.col("from.edge_id").alias("edge_id"), *[F.col(f"from.{c}").alias(c) for c in part])
         n_frontier = reach.n_flagged  # at least as many rows as new nodes
         if n_frontier > BROADCAST_ROWS:  # smaller ones are found again where they are read
             new = state.cut(new)
@@ -144,11 +153,18 @@ def spread_layers(
         out = reach if not exclude_same_depth_edges else reach.where("nbr_depth is null")
         forward = F.col("dir") == "out"
         ends = F.struct(F.when(forward, F.col("node")).otherwise(F.col("nbr")).alias("a"), F.when(forward, F.col("nbr")).otherwise(F.col("node")).alias("b"))
-        edges = out.groupBy("source", "edge_id").agg(F.min(ends).alias("e"), F.min("node").alias("by")).select("source", "edge_id", F.col("e.a").alias("src_node"), F.col("e.b").alias("dst_node"), "by")
+        by = [F.min(c).alias(c) for c in part]  # chunks are in the order of ids, so this is the chunk of the smaller end
+        edges = out.groupBy("source", "edge_id").agg(F.min(ends).alias("e"), *by).select("source", "edge_id", F.col("e.a").alias("src_node"), F.col("e.b").alias("dst_node"), *part)
         depth += 1
         empty = not n_frontier
         if empty and not reach.n_rows:
             return
+        n_before = 1 if empty else n_parts
+        if part and empty:  # a layer without nodes is one part
+            edges = edges.withColumn("chunk", F.lit(0))
+        elif part:
+            new, n_parts = _chunked(state, new, n_frontier, max_nodes_per_execution, by_source)
+            n_frontier = new.n_rows
         nodes = new.select("source", "node")
         visited = visited.unionByName(nodes.withColumn("depth", F.lit(depth)))
         edges_seen = _union(edges_seen, edges.select("source", "edge_id").withColumn("depth", F.lit(depth)))
@@ -171,24 +187,41 @@ def spread_layers(
                     if hit.n_rows:
                         layers[k].taken = state.cut(_union(layers[k].taken, hit).distinct())
                         state.overridden = state.cut(_union(state.overridden, hit).distinct())
-        path = new if keep_path else None
-        if max_nodes_per_execution is None or empty:
-            yield Layer(depth, nodes, edges.drop("by"), path)
+        path = new.select("source", "node", "parent", "edge_id", *part) if keep_path else None
+        whole = Layer(depth, new.select("source", "node", *part), edges, path, n_before)
+        if not part or mark_parts:
+            yield whole
         else:
-            yield from _parts(state, depth, frontier, new, n_frontier, edges, max_nodes_per_execution, keep_path)
+            yield from _parts(state, whole)
         if empty or met:
             return
-        frontier = nodes
+        frontier = nodes if not part else new.select("source", "node", F.col("own").alias("chunk"))
 
 
-def _parts(state: SpreadState, depth: int, frontier: DataFrame, new: DataFrame, rows: int, edges: DataFrame, size: int, keep_path: bool) -> Iterator[Layer]:
-    """Parts of a layer: the frontier in chunks of `size` by id, with what each chunk is the first to reach."""
-    ranked = state.cut(dense_index(frontier.select("node").distinct(), ["node"], "__rank").select("node", F.floor(F.col("__rank") / size).alias("chunk")))
-    nodes = state.cut(lookup(new, "parent", ranked, "node", "chunk", "chunk", rows))
-    edges = state.cut(lookup(edges, "by", ranked, "node", "chunk", "chunk", rows).drop("by"))
-    for k in range(ranked.agg(F.max("chunk")).first()[0] + 1):
+def _chunked(state: SpreadState, new: DataFrame, rows: int, size: int, by_source: bool) -> tuple[DataFrame, int]:
+    """new (written) with the chunk of `size` nodes by id that each node is expanded in, and how many chunks there are.
+
+    Its column is `own` beside a `chunk` in which the node was reached, else `chunk`.
+    """
+    if rows <= BROADCAST_ROWS:  # few enough for one task
+        ranked = new.withColumn("__rank", F.dense_rank().over(Window.orderBy("node")) - 1)
+    elif by_source:
+        ids = dense_index(new.select("node").distinct(), ["node"], "__rank", state.cut).select(F.col("node").alias("__id"), "__rank")
+        ranked = new.join(ids, F.col("node") == F.col("__id")).drop("__id")
+    else:
+        ranked = dense_index(new, ["node"], "__rank", state.cut)
+    name = "own" if "chunk" in new.columns else "chunk"
+    out = state.cut(ranked.withColumn(name, F.floor(F.col("__rank") / size)).drop("__rank"), also=F.max(name))
+    return out, out.also + 1
+
+
+def _parts(state: SpreadState, whole: Layer) -> Iterator[Layer]:
+    """A Layer for each part of a marked one."""
+    nodes = whole.nodes if whole.path is None else whole.path
+    edges = state.cut(whole.edges) if whole.n_parts > 1 else whole.edges
+    for k in range(whole.n_parts):
         here = nodes.where(F.col("chunk") == k).drop("chunk")
-        yield Layer(depth, here.select("source", "node"), edges.where(F.col("chunk") == k).drop("chunk"), here if keep_path else None)
+        yield Layer(whole.depth, here.select("source", "node"), edges.where(F.col("chunk") == k).drop("chunk"), here if whole.path is not None else None)
 
 
 def spread(net: Network, start: DataFrame, results: Callable[[Layer], object] | None = None, **options) -> SpreadState:

@@ -400,8 +400,14 @@ def sp_stop(s: SparkSession, d: str) -> DataFrame:
 
 def sp_chunked(s: SparkSession, d: str) -> DataFrame:
     """Parts of at most 20 nodes expanded at once: sizes of the parts' results."""
-    seen = [(k, x.depth, x.nodes.count()) for k, x in enumerate(select.spread_layers(graphs.supply(s, d).network, _ids(s, "s0"), max_nodes_per_execution=20))]
-    return s.createDataFrame(seen, "part int, depth int, n_nodes bigint")
+    sizes, n = [], 0
+    for x in select.spread_layers(graphs.supply(s, d).network, _ids(s, "s0"), max_nodes_per_execution=20, mark_parts=True):
+        row = lambda part, one: [part.cast("int").alias("part"), F.lit(x.depth).alias("depth"), F.lit(one).cast("bigint").alias("n_nodes")]  # noqa: B023, E731
+        sizes += [s.range(n, n + x.n_parts, 1, 1).select(*row(F.col("id"), 0)), x.nodes.select(*row(F.col("chunk") + n, 1))]
+        n += x.n_parts
+    if not sizes:  # no such node
+        return s.createDataFrame([], "part int, depth int, n_nodes bigint")
+    return reduce(DataFrame.unionByName, sizes).groupBy("part", "depth").agg(F.sum("n_nodes").alias("n_nodes"))
 
 
 def _layered(s: SparkSession, d: str, priority: LayerPriority):

@@ -154,6 +154,66 @@ def test_spreads_to_the_end(spark):
     assert sum(r.n_nodes for r in parts) == len(d) and max(r.depth for r in parts) >= max(d.values())
 
 
+def test_many_parts_few_jobs(spark, monkeypatch):
+    """s0 - 2,000 parts - a supplier each: parts of 20 nodes are 102 in three layers, which don't take a job each."""
+    nodes = spark.createDataFrame([("s0",)] + [(f"{c}{i}",) for c in "pt" for i in range(2000)], "id string")
+    edges = spark.createDataFrame([(f"{x}{i}", *e) for i in range(2000) for x, e in (("a", ("s0", f"p{i}")), ("b", (f"t{i}", f"p{i}")))], "id string, a string, b string")
+    made = make_network(nodes, edges, node_id="id", edge_id="id", edge_a="a", edge_b="b", node_order=["id"], edge_order=["id"], ids_complete=True)
+    monkeypatch.setattr(catalog.graphs, "supply", lambda *_: made)
+    spark.range(1).count()
+    last = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    first = last()
+    parts = sorted(tuple(r) for r in catalog.sp_chunked(spark, "").select("part", "depth", "n_nodes").collect())
+    jobs = last() - first
+    assert parts == [(0, 0, 1), (1, 1, 2000), *[(2 + k, 2, 20) for k in range(100)]]
+    assert 0 < jobs < len(parts), jobs
+
+
+@pytest.mark.parametrize(("by_source", "few"), [(False, True), (True, True), (False, False), (True, False)])
+def test_parts_marked_and_apart(spark, monkeypatch, by_source, few):
+    """Marked parts are the parts that come one by one, and plain Python's: a ring with chords, whose layers have edges inside."""
+    if not few:
+        monkeypatch.setattr(select, "BROADCAST_ROWS", 2)
+    n, size = 24, 3
+    name = lambda i: f"n{i % n:02}"
+    edges = [(f"e{i:02}", name(i), name(i + 1)) for i in range(n)] + [(f"f{i:02}", name(i), name(i * 5 + 2)) for i in range(n)]
+    net = make_network(spark.createDataFrame([(name(i),) for i in range(n)], "id string"), spark.createDataFrame(edges, "id string, a string, b string"), node_id="id", edge_id="id", edge_a="a", edge_b="b", node_order=["id"], edge_order=["id"]).network
+    start = ids(spark, "n00", "n07")
+    options = {"by_source": by_source, "keep_path": True, "max_nodes_per_execution": size}
+
+    want = []  # (depth, chunk, path, edges), layer after layer
+    depth = {(s if by_source else "*", s): 0 for s in ("n00", "n07")}
+    front, seen = set(depth), set()
+    while front:
+        chunk = {x: k // size for k, x in enumerate(sorted({x for _, x in front}))}
+        k, found, taken = len({d for d, *_ in want}) + 1, {}, {}
+        for e, a, b in edges:
+            for x, y in ((a, b), (b, a)):
+                for s in {s for s, v in front if v == x}:
+                    if (s, e) not in seen:
+                        taken[s, e] = min(taken.get((s, e), n), chunk[x])
+                    if (s, y) not in depth:
+                        found[s, y] = min(found.get((s, y), ("~", "~")), (x, e))
+        if not taken:
+            break
+        for c in range(max(chunk.values()) + 1 if found else 1):
+            want.append((k, c, sorted((*y, *f) for y, f in found.items() if chunk[f[0]] == c), sorted(x for x, at in taken.items() if not found or at == c)))
+        seen |= set(taken)
+        depth |= dict.fromkeys(found, k)
+        front = set(found)
+
+    apart = [(x.depth, rows(x.path), sorted((r.source, r.edge_id) for r in x.edges.collect())) for x in select.spread_layers(net, start, **options) if x.depth]
+    assert apart == [(d, p, e) for d, _, p, e in want]
+    marked = []
+    for x in select.spread_layers(net, start, mark_parts=True, **options):
+        path, found = (x.path.collect(), x.edges.collect()) if x.depth else ([], [])
+        assert x.depth or (x.n_parts == 1 and {r.chunk for r in x.nodes.collect()} == {0})
+        for c in range(x.n_parts if x.depth else 0):
+            marked.append((x.depth, c, sorted((r.source, r.node, r.parent, r.edge_id) for r in path if r.chunk == c), sorted((r.source, r.edge_id) for r in found if r.chunk == c)))
+            assert rows(x.nodes.where(F.col("chunk") == c).select("source", "node")) == sorted(p[:2] for p in marked[-1][2])
+    assert marked == want and max(c for _, c, *_ in want) > 1
+
+
 def test_layered_in_lock_step(spark):
     """Two spreads over a chain 0 - 1 - ... - 9, from 0 and from 6: they meet while both still run."""
     nodes = spark.createDataFrame([(str(i),) for i in range(10)], "id string")
